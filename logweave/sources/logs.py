@@ -100,29 +100,32 @@ def _pick(m: Column, first: str, second: str) -> Column:
     return F.when(F.map_contains_key(m, first), m[first]).otherwise(m[second])
 
 
-def parse_json_entry(df: DataFrame, line: str = "line") -> DataFrame:
-    """LP7 + LP8 for JSON lines; a line that is not a JSON object is parsed as plain text."""
-    l = F.col(line)
-    m = F.from_json(l, "map<string,string>")
-    x = df.withColumn("_m", m)
-    mm = F.col("_m")
-    msg = F.coalesce(_pick(mm, "message", "msg"), l)   # a null message counts as missing
-    lvl = F.upper(_pick(mm, "level", "severity"))
+def entry_from_map(m: Column, raw: Column) -> list[Column]:
+    """LP7 + LP8: entry fields of a decoded JSON object (as map<string,string>).
+
+    Returns the columns ts, level, message, parsed_error, file_reference,
+    line_reference, metadata_json."""
+    msg = F.coalesce(_pick(m, "message", "msg"), raw)   # a null message counts as missing
+    lvl = F.upper(_pick(m, "level", "severity"))
     lvl = F.when(lvl.isNull() | (lvl == ""), parse_level(msg)).otherwise(lvl)
-    ts_raw = _pick(mm, "timestamp", "time")
-    f_raw, l_raw = mm["file"], mm["line"]
+    f_raw, l_raw = m["file"], m["line"]
     missing = (f_raw.isNull() | (f_raw == "")) & (l_raw.isNull() | (l_raw == ""))
     ref = parse_file_ref(msg)
-    err = _pick(mm, "error", "exception")
+    err = _pick(m, "error", "exception")
     err = F.when(err.isNull() | (err == ""), parse_error(msg)).otherwise(err)
-    meta = F.map_filter(mm, lambda k, v: ~k.isin(CONSUMED_KEYS))
-    js = x.filter(mm.isNotNull()).select(
-        "*", parse_ts(ts_raw).alias("ts"), lvl.alias("level"), msg.alias("message"),
-        err.alias("parsed_error"),
-        F.when(missing, ref["file"]).otherwise(f_raw).alias("file_reference"),
-        F.when(missing, ref["line"]).otherwise(l_raw.try_cast("int")).alias("line_reference"),
-        F.when(F.size(meta) > 0, meta).alias("metadata_json")).drop("_m", line)
-    plain = parse_plain(x.filter(mm.isNull()).drop("_m").withColumnRenamed(line, "_text"), "_text")
+    meta = F.map_filter(m, lambda k, v: ~k.isin(CONSUMED_KEYS))
+    return [parse_ts(_pick(m, "timestamp", "time")).alias("ts"), lvl.alias("level"), msg.alias("message"),
+            err.alias("parsed_error"),
+            F.when(missing, ref["file"]).otherwise(f_raw).alias("file_reference"),
+            F.when(missing, ref["line"]).otherwise(l_raw.try_cast("int")).alias("line_reference"),
+            F.when(F.size(meta) > 0, meta).alias("metadata_json")]
+
+
+def parse_json_entry(df: DataFrame, line: str = "line") -> DataFrame:
+    """JSON lines -> entries; a line that is not a JSON object is parsed as plain text."""
+    x = df.withColumn("_m", F.from_json(F.col(line), "map<string,string>"))
+    js = x.filter(F.col("_m").isNotNull()).select("*", *entry_from_map(F.col("_m"), F.col(line))).drop("_m", line)
+    plain = parse_plain(x.filter(F.col("_m").isNull()).drop("_m").withColumnRenamed(line, "_text"), "_text")
     return js.unionByName(plain)
 
 
