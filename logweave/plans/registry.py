@@ -43,4 +43,5 @@ def r4(c: str | Column) -> Column:
 
 def load_all() -> None:
     # importing the catalog modules fills the registry
-    from . import catalog_deps, catalog_graph, catalog_logs, catalog_otlp, catalog_parse, catalog_vectors  # noqa: F401
+    from . import (catalog_code, catalog_deps, catalog_graph, catalog_logs, catalog_otlp,  # noqa: F401
+                   catalog_parse, catalog_vectors)
