@@ -44,4 +44,5 @@ def r4(c: str | Column) -> Column:
 def load_all() -> None:
     # importing the catalog modules fills the registry
     from . import (catalog_analytics, catalog_code, catalog_deps, catalog_graph, catalog_logs, catalog_otlp,  # noqa: F401
-                   catalog_models, catalog_parse, catalog_streams, catalog_triage, catalog_vectors)
+                   catalog_models, catalog_parse, catalog_sources, catalog_streams, catalog_triage,
+                   catalog_vectors)
