@@ -66,8 +66,11 @@ def dedup_flag(df: DataFrame, keys: list, ts: str, seconds: float, order: str,
     x = x.withColumn("_start", (gap.isNull() | (gap >= w_us)).cast("int"))
     x = x.withColumn("_island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     cols = df.columns
+    def by_time(a, b):
+        return F.when(a["_us"] < b["_us"], -1).when(a["_us"] > b["_us"], 1) \
+                .when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)
     g = x.groupBy(*kn, "_island").agg(
-        F.array_sort(F.collect_list(F.struct("_us", F.col(order).alias("_o"), *cols))).alias("_rows"))
+        F.array_sort(F.collect_list(F.struct("_us", F.col(order).alias("_o"), *cols)), by_time).alias("_rows"))
     # fold: (time, order) of the kept rows of the island, in time order
     kept = F.aggregate(
         F.col("_rows"), F.array().cast("array<struct<_us:bigint,_o:bigint>>"),

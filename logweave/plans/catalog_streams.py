@@ -105,3 +105,19 @@ def stream_late_rows(spark, sf):
     s = ST.stream_concepts(_logs_stream(spark, sf))
     _, q, _ = ST.run_available(s, "late", mode="update", foreach_batch=_latest_batches)
     return spark.createDataFrame([(ST.late_rows(q),)], "dropped_by_watermark long")
+
+
+@register("ingest_loop")
+def ingest_loop(spark, sf):
+    """SK8: log documents streamed in four files, one per micro-batch, through
+    parse -> filter -> concepts with per-batch idempotent deltas."""
+    from ..streaming import ingest as IN
+    from .views import view
+    src = ST.scratch(spark, "ingest-in")
+    lines = view(spark, sf, "v_log_lines").withColumn(
+        "service_name", F.concat(F.lit("svc-"), (F.col("doc_id") % 8).cast("string"))).withColumn("source", F.lit("file"))
+    lines.repartition(4, "doc_id").write.parquet(src)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    state = ST.scratch(spark, "ingest-state")
+    ST.run_available(stream, "ingest", foreach_batch=lambda b, i, out: IN.ingest_batch(state)(b, i))
+    return IN.concept_table(spark, state)
