@@ -30,6 +30,7 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
     and call :func:`configure` on it."""
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     if driver_memory:
         b = b.config("spark.driver.memory", driver_memory)
