@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import concept_rank
@@ -66,24 +66,45 @@ def trend(trimmed: DataFrame) -> DataFrame:
                         .otherwise(F.lit("stable")))
 
 
+def _trend_of(sums: Column, n_buckets: Column) -> Column:
+    recent, older = sums["recent"], sums["older"]
+    ratio = recent / F.when(older == 0, F.lit(1)).otherwise(older)
+    return F.when(n_buckets < 2, F.lit("unknown")).when(ratio > RISING, F.lit("rising")) \
+            .when(ratio < FALLING, F.lit("falling")).otherwise(F.lit("stable"))
+
+
 def rollup_concepts(df: DataFrame, ts: str = "ts", level: str = "level", service: str = "service_name",
                     order: str = "log_id", hours: int = HISTOGRAM_HOURS) -> DataFrame:
-    """LC7: one row per concept: occurrences, highest severity (earliest wins ties),
-    first and last seen, kept hour buckets and trend.
-
-    Input: entries with ``concept_id`` and ``template`` (see :func:`with_templates`).
+    """LC7 + LC8 + LC9: one row per concept: occurrences, highest severity
+    (earliest wins ties), first and last seen, number of kept hour buckets and
+    trend.
+
+    One pass over the entries builds (concept, hour) partials (count, first,
+    last, best severity); a second aggregation folds them per concept, keeping
+    the newest ``hours`` buckets (a list bounded by the time span, not by the
+    number of entries) for the trend. No branch re-reads the entries.
+    Input: entries with ``concept_id`` and ``template``.
     """
     sev_key = F.struct(concept_rank(F.col(level)).alias("r"), (-F.unix_micros(F.col(ts))).alias("t"),
                        (-F.col(order)).alias("o"))
-    base = df.groupBy("concept_id").agg(
-        F.first(service).alias("service_name"),
-        F.first("template").alias("template"),
-        F.count(F.lit(1)).alias("total_occurrences"),
-        F.max_by(F.col(level), sev_key).alias("severity"),
-        F.min(ts).alias("first_seen_at"),
-        F.max(ts).alias("last_seen_at"))
-    tr = trend(trim_histogram(hourly_counts(df, ts), hours))
-    return base.join(tr.select("concept_id", "n_buckets", "trend"), "concept_id")
+    hourly = df.groupBy("concept_id", F.date_trunc("hour", F.col(ts)).alias("bucket")).agg(
+        F.first(service).alias("service_name"), F.first("template").alias("template"),
+        F.count(F.lit(1)).alias("n"), F.max_by(F.col(level), sev_key).alias("_sev"), F.max(sev_key).alias("_key"),
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    g = hourly.groupBy("concept_id").agg(
+        F.first("service_name").alias("service_name"), F.first("template").alias("template"),
+        F.sum("n").alias("total_occurrences"), F.max_by("_sev", "_key").alias("severity"),
+        F.min("_first").alias("first_seen_at"), F.max("_last").alias("last_seen_at"),
+        F.collect_list(F.struct(F.col("bucket"), F.col("n"))).alias("_h"))
+    newest = F.slice(F.sort_array(F.col("_h"), asc=False), 1, hours)
+    sums = F.aggregate(newest, F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("recent"),
+                                        F.lit(0).cast("bigint").alias("older")),
+                       lambda acc, b: F.struct((acc["i"] + 1).alias("i"),
+                                               (acc["recent"] + F.when(acc["i"] < 3, b["n"]).otherwise(0)).alias("recent"),
+                                               (acc["older"] + F.when((acc["i"] >= 3) & (acc["i"] < 6), b["n"])
+                                                .otherwise(0)).alias("older")))
+    return g.withColumn("n_buckets", F.size(newest).cast("bigint")).withColumn("trend", _trend_of(sums, F.col("n_buckets"))) \
+            .drop("_h")
 
 
 def concepts_for_service(concepts: DataFrame, service: str, severity: str | None = None, n: int = 50) -> DataFrame:

@@ -160,7 +160,8 @@ def topology_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 6, exclud
     the pair being tested."""
     und = edges.select(F.col("source_entity").alias("a"), F.col("target_entity").alias("b")) \
         .unionByName(edges.select(F.col("target_entity").alias("a"), F.col("source_entity").alias("b"))).distinct()
-    p = pairs.select(F.col("source_entity").alias("src"), F.col("target_entity").alias("dst")).distinct()
+    und = _cut(und)  # the adjacency is joined once per hop: materialise it once
+    p = _cut(pairs.select(F.col("source_entity").alias("src"), F.col("target_entity").alias("dst")).distinct())
     frontier = p.select("src", "dst", F.col("src").alias("node"), F.array(F.col("src")).alias("path"))
     visited = frontier.select("src", "dst", "node")
     found = None
@@ -208,6 +209,7 @@ def causal_chain(edges: DataFrame, starts: DataFrame, direction: str = "upstream
         a = e.select(F.col(via).alias("via"), F.col(nb).alias("nbr"), "source_entity", "target_entity",
                      "promotion_level", "confidence")
         adj = a if adj is None else adj.unionByName(a)
+    adj = _cut(adj)  # joined once per hop: materialise it once
     st = starts.select(F.col("start").alias("start")).distinct()
     frontier = st.select("start", F.col("start").alias("node"))
     visited = frontier

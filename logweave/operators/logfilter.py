@@ -66,6 +66,7 @@ def dedup_flag(df: DataFrame, keys: list, ts: str, seconds: float, order: str,
     x = x.withColumn("_start", (gap.isNull() | (gap >= w_us)).cast("int"))
     x = x.withColumn("_island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     cols = df.columns
+    # (the window output is already partitioned by key: grouping by island adds no shuffle)
     def by_time(a, b):
         return F.when(a["_us"] < b["_us"], -1).when(a["_us"] > b["_us"], 1) \
                 .when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)
@@ -91,10 +92,10 @@ def dedup_window(df: DataFrame, keys: list, ts: str, seconds: float, order: str)
 def rate_flag(df: DataFrame, service: str, ts: str, n: int, order: str, out: str = "kept") -> DataFrame:
     """First ``n`` rows per service and clock hour (in ts, order order) are kept.
 
-    A hot (service, hour) group is split into minute sub-buckets: rows of a
-    bucket whose preceding buckets already hold ``n`` rows are dropped, rows of a
-    bucket that ends within the budget are kept, and only the one boundary bucket
-    per group is ranked, so no task ranks a whole hot group.
+    A hot (service, hour) group is split into minute sub-buckets: per-minute
+    counts give each bucket its offset in the hour, and rows are ranked only
+    inside their minute, so no task ranks a whole hot group; buckets wholly
+    inside or outside the budget are decided by their offset alone.
     """
     if n is None or n <= 0:
         return df.withColumn(out, F.lit(True))
@@ -105,12 +106,10 @@ def rate_flag(df: DataFrame, service: str, ts: str, n: int, order: str, out: str
     wc = Window.partitionBy("_svc", "_hour").orderBy("_min").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wc), F.lit(0)))
     x = x.join(counts, ["_svc", "_hour", "_min"])
-    whole = x.filter((F.col("_off") + F.col("_n") <= n) | (F.col("_off") >= n)) \
-             .withColumn(out, F.col("_off") < n)
-    edge = x.filter((F.col("_off") < n) & (F.col("_off") + F.col("_n") > n))
     wr = Window.partitionBy("_svc", "_hour", "_min").orderBy(F.col(ts), F.col(order))
-    edge = edge.withColumn(out, F.col("_off") + F.row_number().over(wr) <= n)
-    return whole.unionByName(edge).drop("_svc", "_hour", "_min", "_n", "_off")
+    flag = F.when(F.col("_off") + F.col("_n") <= n, F.lit(True)).when(F.col("_off") >= n, F.lit(False)) \
+            .otherwise(F.col("_off") + F.row_number().over(wr) <= n)
+    return x.withColumn(out, flag).drop("_svc", "_hour", "_min", "_n", "_off")
 
 
 def rate_limit(df: DataFrame, service: str, ts: str, n: int, order: str) -> DataFrame:
