@@ -57,8 +57,14 @@ def rstrip_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"{WS_CLASS}+$", "")
 
 
+NON_WS_RE = "[^" + WS_CLASS[1:]   # any character that is not whitespace
+# zero-width split after each line break (\r\n counts once), keeping the break
+SPLIT_AFTER_BREAK = rf"(?<=\r\n|[\n\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]|\r(?!\n))"
+_CHUNK_T = "array<struct<content:string,start_line:int,end_line:int>>"
+
+
 def is_blank(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS_CLASS}+", "") == ""
+    return ~c.rlike(NON_WS_RE)
 
 
 def eligible(df: DataFrame, content: str = "content") -> DataFrame:
@@ -66,29 +72,43 @@ def eligible(df: DataFrame, content: str = "content") -> DataFrame:
     return df.filter(~is_blank(F.col(content)) & (F.octet_length(content) <= MAX_FILE_BYTES))
 
 
-def _n_lines(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(SPLITLINES_RE), 0))
+def split_lines(content: Column) -> Column:
+    """``str.splitlines(keepends=True)``."""
+    return F.filter(F.split(content, SPLIT_AFTER_BREAK), lambda x: x != "")
+
+
+def nonblank_index(lines: Column) -> Column:
+    """Per line: its 0-based index when it holds a non-blank character, else -1."""
+    return F.transform(lines, lambda l, i: F.when(l.rlike(NON_WS_RE), i).otherwise(F.lit(-1)))
 
 
 def _chunk(content: Column, start: Column, end: Column) -> Column:
     return F.struct(content.alias("content"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"))
 
 
-def sliding_chunks(lines: Column, offset: Column, size: int = MAX_CHUNK_LINES, overlap: int = OVERLAP_LINES,
+def _last_nonblank(nb: Column, a: Column, b: Column) -> Column:
+    """Largest non-blank line index in [a, b) (-1 when none)."""
+    return F.coalesce(F.array_max(F.slice(nb, a + 1, F.greatest(b - a, F.lit(0)))), F.lit(-1))
+
+
+def sliding_chunks(lines: Column, nb: Column, base, n, size: int = MAX_CHUNK_LINES, overlap: int = OVERLAP_LINES,
                    min_lines: int = MIN_CHUNK_LINES) -> Column:
-    """CI5: windows of ``size`` lines every ``size - overlap`` lines; the last
-    window reaches the end; blank windows or windows under ``min_lines`` (after
-    trailing whitespace is stripped) are dropped. Line numbers are 1-based plus
-    ``offset``."""
+    """CI5: windows of ``size`` lines every ``size - overlap`` lines over
+    ``lines[base : base + n]``; the last window reaches the end; windows that are
+    blank or span fewer than ``min_lines`` lines once trailing whitespace is
+    stripped are dropped. ``nb`` is :func:`nonblank_index` of ``lines`` (a
+    materialised column), so a window is judged without scanning its text."""
     step = max(1, size - overlap)
-    n = F.size(lines)
+    base = F.lit(base) if isinstance(base, int) else base
     k = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step)).cast("int")
-    starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), k * step, F.lit(step)))
+    starts = F.when(n <= 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), k * step, F.lit(step)))
     wins = F.transform(starts, lambda w: F.struct(
         w.alias("w"), F.least(w + size, n).alias("e"),
-        rstrip_ws(F.array_join(F.slice(lines, w + 1, F.least(w + size, n) - w), "")).alias("t")))
-    kept = F.filter(wins, lambda x: ~is_blank(x["t"]) & (_n_lines(x["t"]) >= min_lines))
-    return F.transform(kept, lambda x: _chunk(x["t"], x["w"] + 1 + offset, x["e"] + offset))
+        _last_nonblank(nb, base + w, base + F.least(w + size, n)).alias("last")))
+    kept = F.filter(wins, lambda x: (x["last"] >= 0) & (x["last"] - (base + x["w"]) + 1 >= min_lines))
+    return F.transform(kept, lambda x: _chunk(
+        rstrip_ws(F.array_join(F.slice(lines, base + x["w"] + 1, x["e"] - x["w"]), "")),
+        base + x["w"] + 1, base + x["e"]))
 
 
 def _boundaries(content: Column, language: Column) -> Column:
@@ -102,24 +122,23 @@ def _boundaries(content: Column, language: Column) -> Column:
     return F.filter(idx, lambda i: i >= 0)
 
 
-def boundary_chunks(lines: Column, bounds: Column) -> Column:
+def boundary_chunks(lines: Column, nb: Column, bounds: Column) -> Column:
     """CI4: preamble (kept when >= 5 lines), then one chunk per boundary piece;
     pieces over 60 lines are cut by the sliding window with their line offset."""
     n = F.size(lines)
     b0 = F.element_at(bounds, 1)
-    pre_txt = F.array_join(F.slice(lines, 1, F.greatest(b0, F.lit(0))), "")
-    pre = F.when((F.size(bounds) > 0) & (b0 > 0) & ~is_blank(pre_txt) & (_n_lines(pre_txt) >= MIN_CHUNK_LINES),
-                 F.array(_chunk(rstrip_ws(pre_txt), F.lit(1), b0))).otherwise(
-        F.array().cast("array<struct<content:string,start_line:int,end_line:int>>"))
+    pre_n = F.least(F.greatest(b0, F.lit(0)), n)
+    pre = F.when((F.size(bounds) > 0) & (b0 > 0) & (_last_nonblank(nb, F.lit(0), pre_n) >= 0) & (pre_n >= MIN_CHUNK_LINES),
+                 F.array(_chunk(rstrip_ws(F.array_join(F.slice(lines, 1, pre_n), "")), F.lit(1), b0))) \
+            .otherwise(F.array().cast(_CHUNK_T))
     pieces = F.transform(bounds, lambda b, i: F.struct(
         b.alias("b"), F.coalesce(F.try_element_at(bounds, i + 2), n).alias("e")))
 
     def piece_chunks(p):
-        pl = F.slice(lines, p["b"] + 1, F.greatest(p["e"] - p["b"], F.lit(0)))
-        txt = rstrip_ws(F.array_join(pl, ""))
-        return F.when(is_blank(txt), F.array().cast("array<struct<content:string,start_line:int,end_line:int>>")) \
-                .when(F.size(pl) > MAX_CHUNK_LINES, sliding_chunks(pl, p["b"])) \
-                .otherwise(F.array(_chunk(txt, p["b"] + 1, p["e"])))
+        m = F.greatest(F.least(p["e"], n) - p["b"], F.lit(0))
+        return F.when(_last_nonblank(nb, p["b"], p["b"] + m) < 0, F.array().cast(_CHUNK_T)) \
+                .when(m > MAX_CHUNK_LINES, sliding_chunks(lines, nb, p["b"], m)) \
+                .otherwise(F.array(_chunk(rstrip_ws(F.array_join(F.slice(lines, p["b"] + 1, m), "")), p["b"] + 1, p["e"])))
     return F.concat(pre, F.flatten(F.transform(pieces, piece_chunks)))
 
 
@@ -127,13 +146,13 @@ def chunk_files(files: DataFrame, path: str = "file_path", content: str = "conte
     """CI6: boundary chunking when the language is known and yields chunks, else
     the sliding window over the whole file. One output row per chunk with
     (…, chunk_no, content, start_line, end_line, language)."""
-    lang = detect_language(F.col(path))
-    lines = F.regexp_extract_all(F.col(content), F.lit(SPLITLINES_RE), 0)
-    x = files.withColumn("language", lang).withColumn("_lines", lines)
+    x = files.withColumn("language", detect_language(F.col(path))).withColumn("_lines", split_lines(F.col(content)))
+    x = x.withColumn("_nb", nonblank_index(F.col("_lines")))
     x = x.withColumn("_b", F.when(F.col("language").isin(list(BOUNDARY_PATTERNS)),
-                                  boundary_chunks(F.col("_lines"), _boundaries(F.col(content), F.col("language")))))
+                                  boundary_chunks(F.col("_lines"), F.col("_nb"),
+                                                  _boundaries(F.col(content), F.col("language")))))
     chunks = F.when(F.size(F.coalesce(F.col("_b"), F.array())) > 0, F.col("_b")) \
-              .otherwise(sliding_chunks(F.col("_lines"), F.lit(0)))
+              .otherwise(sliding_chunks(F.col("_lines"), F.col("_nb"), 0, F.size("_lines")))
     keep = [c for c in files.columns if c != content]
     return x.select(*keep, "language", F.posexplode(chunks).alias("chunk_no", "_c")) \
             .select(*keep, "chunk_no", "_c.content", "_c.start_line", "_c.end_line", "language")
