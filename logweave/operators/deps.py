@@ -63,13 +63,25 @@ def extract_matches(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select(*keep, F.explode(F.concat(*per_rule)).alias("_m")).select(*keep, "_m.*")
 
 
+MAX_KNOWN_INLINE = 200_000   # size bound for shipping known names inside the expression
+
+
 def filter_imports(matches: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
     """SD3: import matches stay only when a ``.`` / ``/`` component of the raw
-    module name is a known service (case-insensitive); other kinds pass."""
+    module name is a known service (case-insensitive); other kinds pass.
+
+    Known names are repository names; when their number is within
+    ``MAX_KNOWN_INLINE`` they become a hash set inside one filter expression (no
+    join, one pass). Larger registries go through an explode + semi join."""
     kn = known.select(F.lower(F.col(name)).alias("_comp")).distinct()
+    comps = F.split(F.lower(F.col("raw")), "[./]")
+    if kn.limit(MAX_KNOWN_INLINE + 1).count() <= MAX_KNOWN_INLINE:
+        names = [r[0] for r in kn.collect() if r[0] is not None]
+        hit = F.exists(comps, lambda c: c.isin(names)) if names else F.lit(False)
+        return matches.filter((F.col("dependency_type") != "import") | hit)
     imp = matches.filter(F.col("dependency_type") == "import")
-    comps = imp.select("*", F.explode(F.split(F.lower(F.col("raw")), "[./]")).alias("_comp"))
-    ok = comps.join(kn, "_comp", "left_semi").drop("_comp").dropDuplicates(["_mid"])
+    ex = imp.select("*", F.explode(comps).alias("_comp"))
+    ok = ex.join(kn, "_comp", "left_semi").drop("_comp").dropDuplicates(["_mid"])
     return matches.filter(F.col("dependency_type") != "import").unionByName(ok)
 
 
