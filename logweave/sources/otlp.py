@@ -20,7 +20,10 @@ EXCEPTION_KEYS = ["code.filepath", "code.lineno", "exception.type", "exception.m
 ZERO_ID_B64 = "AAAAAAAAAAAAAAAAAAAAAA=="
 ANY_VALUE_DEPTH = 3
 
-_KV = "array<struct<key:string,value:string>>"
+# An AnyValue decoded one level deep; nested values stay JSON text.
+_AV = ("struct<stringValue:string,intValue:string,doubleValue:string,boolValue:string,"
+       "arrayValue:struct<values:array<string>>,kvlistValue:struct<values:array<struct<key:string,value:string>>>>")
+_KV = f"array<struct<key:string,value:{_AV}>>"
 _RECORD = ("struct<timeUnixNano:string,time_unix_nano:string,observedTimeUnixNano:string,"
            "observed_time_unix_nano:string,severityNumber:string,severity_number:string,severityText:string,"
            f"severity_text:string,body:string,attributes:{_KV},traceId:string,trace_id:string,spanId:string,"
@@ -39,43 +42,50 @@ def _bool_text(j: Column) -> Column:
     return F.when(j == "true", F.lit("True")).when(j == "false", F.lit("False")).otherwise(j)
 
 
-def any_value(j: Column, depth: int = ANY_VALUE_DEPTH) -> Column:
-    """OT4: AnyValue JSON text -> string: scalars as text, arrays ``[a, b]``,
-    kvlists ``{k=v, ...}``; deeper than ``depth`` or unknown -> the JSON text."""
-    s = F.get_json_object(j, "$.stringValue")
-    i = F.get_json_object(j, "$.intValue")
-    d = F.get_json_object(j, "$.doubleValue")
-    b = _bool_text(F.get_json_object(j, "$.boolValue"))
-    out = F.coalesce(s, i, d, b)
+def _let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and hand it to ``fn`` (a one-element transform)."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
+def render_any(v: Column, depth: int = ANY_VALUE_DEPTH) -> Column:
+    """OT4 on a decoded AnyValue: scalars as text (booleans as True/False),
+    arrays ``[a, b]``, kvlists ``{k=v, ...}``, nested up to ``depth`` levels;
+    anything else as JSON."""
+    out = F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"], _bool_text(v["boolValue"]))
     if depth > 0:
-        arr = F.from_json(F.get_json_object(j, "$.arrayValue.values"), "array<string>")
-        kvs = F.from_json(F.get_json_object(j, "$.kvlistValue.values"), _KV)
+        arr = v["arrayValue"]["values"]
+        kvs = v["kvlistValue"]["values"]
         out = F.coalesce(
             out,
             F.when(arr.isNotNull(), F.concat(F.lit("["), F.array_join(
-                F.transform(arr, lambda v: any_value(v, depth - 1)), ", "), F.lit("]"))),
+                F.transform(arr, lambda x: any_value(x, depth - 1)), ", "), F.lit("]"))),
             F.when(kvs.isNotNull(), F.concat(F.lit("{"), F.array_join(
                 F.transform(kvs, lambda kv: F.concat(F.coalesce(kv["key"], F.lit("")), F.lit("="),
                                                      any_value(kv["value"], depth - 1))), ", "), F.lit("}"))))
-    return F.coalesce(out, j)
+    return F.coalesce(out, F.to_json(v))
+
+
+def any_value(j: Column, depth: int = ANY_VALUE_DEPTH) -> Column:
+    """OT4 on AnyValue JSON text (decoded once)."""
+    return _let(F.from_json(j, _AV), lambda v: F.coalesce(render_any(v, depth), j))
 
 
 def otlp_body(j: Column) -> Column:
     """OT3: stringValue; kvlist -> ``k=v k=v``; other object -> its JSON; missing -> ''."""
-    kvs = F.from_json(F.get_json_object(j, "$.kvlistValue.values"), _KV)
-    kv_text = F.array_join(F.transform(kvs, lambda kv: F.concat(
-        F.coalesce(kv["key"], F.lit("")), F.lit("="), any_value(kv["value"]))), " ")
-    return F.when(j.isNull(), F.lit("")) \
-            .when(F.get_json_object(j, "$.stringValue").isNotNull(), F.get_json_object(j, "$.stringValue")) \
-            .when(kvs.isNotNull(), kv_text).otherwise(j)
+    def body(v):
+        kvs = v["kvlistValue"]["values"]
+        kv_text = F.array_join(F.transform(kvs, lambda kv: F.concat(
+            F.coalesce(kv["key"], F.lit("")), F.lit("="), any_value(kv["value"]))), " ")
+        return F.when(v["stringValue"].isNotNull(), v["stringValue"]).when(kvs.isNotNull(), kv_text).otherwise(j)
+    return F.when(j.isNull(), F.lit("")).otherwise(_let(F.from_json(j, _AV), body))
 
 
 def attributes_map(kvs: Column) -> Column:
-    """OT5: KeyValue list -> map, the last occurrence of a key wins."""
+    """OT5: decoded KeyValue list -> map, the last occurrence of a key wins."""
     last = F.filter(kvs, lambda x, i: ~F.exists(F.slice(kvs, i + 2, F.greatest(F.size(kvs), F.lit(1))),
                                                 lambda y: y["key"] == x["key"]))
     return F.coalesce(F.map_from_entries(F.transform(last, lambda kv: F.struct(
-        F.coalesce(kv["key"], F.lit("")).alias("key"), any_value(kv["value"]).alias("value")))),
+        F.coalesce(kv["key"], F.lit("")).alias("key"), render_any(kv["value"]).alias("value")))),
         F.create_map().cast("map<string,string>"))
 
 
