@@ -13,7 +13,7 @@ def read_code_files(spark: SparkSession, path: str, repo: str | None = None) ->
     """SR4: every supported, readable, non-blank file under ``path`` (recursive).
     A file is one row (``wholetext``); files over 1 MB are dropped by the
     eligibility rule, which bounds a row. Paths are relative to ``path``."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     base = path.rstrip("/") + "/"
     rel = F.regexp_replace(F.col("_metadata.file_path"), r"^file:", "")
     rel = F.when(F.instr(rel, base) == 1, F.substring(rel, len(base) + 1, 1 << 30)).otherwise(rel)

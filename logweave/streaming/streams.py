@@ -50,10 +50,10 @@ def run_available(df: DataFrame, name: str, mode: str = "append", foreach_batch=
 def stream_otlp(spark: SparkSession, path: str, max_files: int | None = None, wholetext: bool = False) -> DataFrame:
     """SS1: OTLP JSON payloads -> log entries (stateless). Default input is one
     payload per line (splittable files); ``wholetext`` reads one payload per file."""
-    r = spark.readStream.option("wholetext", "true" if wholetext else "false")
+    r = spark.readStream
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    raw = r.text(path).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("request_id"))
+    raw = r.text(path, wholetext=wholetext).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("request_id"))
     return O.otlp_entries(O.flatten_otlp(raw))
 
 
