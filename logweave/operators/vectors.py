@@ -47,8 +47,9 @@ def check_dimension(df: DataFrame, vec: str, dim: int) -> DataFrame:
 
 def assert_dimension(df: DataFrame, vec: str, dim: int) -> DataFrame:
     """VE3 (fail form): raise inside the job when a vector has another size."""
-    return df.withColumn("_ok", F.assert_true(F.col(vec).isNull() | (F.size(vec) == dim),
-                                              F.lit(f"vector dimension mismatch, expected {dim}"))).drop("_ok")
+    # a filter keeps the check in the plan (a dropped column would be pruned away)
+    return df.filter(F.assert_true(F.col(vec).isNull() | (F.size(vec) == dim),
+                                   F.lit(f"vector dimension mismatch, expected {dim}")).isNull())
 
 
 def clip_text(c: Column, n: int = CLIP_CHARS) -> Column:
