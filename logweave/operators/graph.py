@@ -75,13 +75,20 @@ def rollup_edges(pairs: DataFrame, p_values: DataFrame | None = None, topology:
     agg = x.groupBy(*key).agg(F.count(F.lit(1)).alias("incident_count"), F.max(ts).alias("last_seen_at"),
                               F.min(ts).alias("first_seen_at"))
     s = x.filter(F.col(lag).isNotNull())
+    # First incident at which the running median of the last 50 samples is >= 0.
+    # When a pair's first sample is >= 0 that sample is the answer (median of one
+    # value, deviation 0); only pairs starting with a negative lag need the
+    # running window of medians.
+    first = s.groupBy(*key).agg(F.min_by(F.struct(F.col("_i").alias("i"), F.col(lag).cast("double").alias("med"),
+                                                  F.lit(0.0).alias("sd")), F.col("_i")).alias("_c"))
+    easy = first.filter(F.col("_c.med") >= 0)
+    hard = s.join(first.filter(F.col("_c.med") < 0).select(*key), key, "left_semi")
     ws = Window.partitionBy(*key).orderBy(ts, lag).rowsBetween(-(MAX_LAG_SAMPLES - 1), 0)
-    s = s.withColumn("_win", F.array_sort(F.collect_list(F.col(lag).cast("double")).over(ws)))
-    s = s.withColumn("_med", _median_sorted(F.col("_win")))
-    # first incident at which the running median of the last 50 samples is >= 0
-    corr = s.filter(F.col("_med") >= 0).groupBy(*key).agg(
+    hard = hard.withColumn("_win", F.array_sort(F.collect_list(F.col(lag).cast("double")).over(ws)))
+    hard = hard.withColumn("_med", _median_sorted(F.col("_win")))
+    corr = easy.unionByName(hard.filter(F.col("_med") >= 0).groupBy(*key).agg(
         F.min_by(F.struct(F.col("_i").alias("i"), F.col("_med").alias("med"), _stdev(F.col("_win")).alias("sd")),
-                 F.col("_i")).alias("_c"))
+                 F.col("_i")).alias("_c")))
     # third sample: probable needs >= 3 samples and >= 3 incidents
     third = s.filter(F.col("_k") == MIN_INCIDENTS).groupBy(*key).agg(F.min("_i").alias("_i3"))
     # final sample window (last 50 non-null lags)
