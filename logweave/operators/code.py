@@ -178,12 +178,16 @@ def update_repo_counters(repos: DataFrame, commits: DataFrame, chunks: DataFrame
 
 
 def ingest_status(commits: DataFrame, chunks: DataFrame, states: DataFrame) -> DataFrame:
-    """CI9: global commit / chunk totals and the most recently updated state."""
-    nc = commits.agg(F.count(F.lit(1)).alias("commits_ingested"))
-    nk = chunks.agg(F.count(F.lit(1)).alias("chunks_ingested"))
-    latest = states.agg(F.max_by(F.struct("state", "repo_id", "files_processed"), F.struct("updated_at", "repo_id"))
-                        .alias("_l"))
-    return nc.crossJoin(nk).crossJoin(latest).select(
+    """CI9: global commit / chunk totals and the most recently updated state, in
+    one aggregation over the three inputs."""
+    st = F.struct("state", "repo_id", "files_processed")
+    u = commits.select(F.lit(1).alias("_c"), F.lit(0).alias("_k"), F.lit(None).alias("_s"), F.lit(None).alias("_t")) \
+        .unionByName(chunks.select(F.lit(0).alias("_c"), F.lit(1).alias("_k"), F.lit(None).alias("_s"), F.lit(None).alias("_t"))) \
+        .unionByName(states.select(F.lit(0).alias("_c"), F.lit(0).alias("_k"), st.alias("_s"),
+                                   F.struct("updated_at", "repo_id").alias("_t")), allowMissingColumns=True)
+    g = u.agg(F.sum("_c").cast("bigint").alias("commits_ingested"), F.sum("_k").cast("bigint").alias("chunks_ingested"),
+              F.max_by("_s", "_t").alias("_l"))
+    return g.select(
         F.coalesce(F.col("_l.state"), F.lit("idle")).alias("state"), F.col("_l.repo_id").alias("repo_id"),
         "commits_ingested", "chunks_ingested", F.coalesce(F.col("_l.files_processed"), F.lit(0)).alias("files_processed"))
 

@@ -131,14 +131,18 @@ def dependency_graph(repos: DataFrame, deps: DataFrame) -> tuple[DataFrame, Data
 
 def node_degrees(nodes: DataFrame, edges: DataFrame, source: str = "source_repo_id") -> DataFrame:
     """SD8: per node: outbound / inbound counts, first 3 outbound targets, first 2
-    inbound sources, and the overflow beyond 5 shown rows."""
-    out = edges.groupBy(F.col(source).alias("id")).agg(
-        F.count(F.lit(1)).alias("n_out"),
-        F.slice(F.array_sort(F.collect_list(F.struct("target_name", "dependency_type", "source_file"))), 1, 3).alias("_o"))
-    inn = edges.filter(F.col("target") != "").groupBy(F.col("target").alias("id")).agg(
-        F.count(F.lit(1)).alias("n_in"),
-        F.slice(F.array_sort(F.collect_list(F.struct("source_repo", "dependency_type", "source_file"))), 1, 2).alias("_i"))
-    j = nodes.select("id", "name").join(out, "id", "left").join(inn, "id", "left").na.fill(0, ["n_out", "n_in"])
+    inbound sources, and the overflow beyond 5 shown rows. The shown rows are
+    cut by rank per node before they are gathered (a hot node is not collected)."""
+    wo = Window.partitionBy(source).orderBy("target_name", "dependency_type", "source_file")
+    wi = Window.partitionBy("target").orderBy("source_repo", "dependency_type", "source_file")
+    n_out = edges.groupBy(F.col(source).alias("id")).agg(F.count(F.lit(1)).alias("n_out"))
+    n_in = edges.filter(F.col("target") != "").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("n_in"))
+    top_o = edges.withColumn("_r", F.row_number().over(wo)).filter("_r <= 3").groupBy(F.col(source).alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("_r", "target_name", "dependency_type"))).alias("_o"))
+    top_i = edges.filter(F.col("target") != "").withColumn("_r", F.row_number().over(wi)).filter("_r <= 2") \
+                 .groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_list(F.struct("_r", "source_repo"))).alias("_i"))
+    j = nodes.select("id", "name").join(n_out, "id", "left").join(n_in, "id", "left").join(top_o, "id", "left") \
+             .join(top_i, "id", "left").na.fill(0, ["n_out", "n_in"])
     return j.select("id", "name", "n_out", "n_in",
                     F.array_join(F.transform(F.coalesce("_o", F.array()), lambda x: F.concat(
                         x["target_name"], F.lit(" ("), x["dependency_type"], F.lit(")"))), ", ").alias("outbound"),

@@ -126,10 +126,17 @@ def graph_context(plans: DataFrame, edges: DataFrame, qid: str = "query_id", com
     g = plans.filter(F.col("use_graph_traversal") & (F.size("target_entities") > 0))
     starts = g.select(qid, "graph_direction", "graph_depth", F.explode(F.slice("target_entities", 1, 3)).alias("start"))
     out = None
-    # one BFS per distinct (direction, depth) of the plan rules (a fixed, small set)
-    for direction, depth in sorted({(r[6], r[5]) for r in PLAN_RULES if r[4]}):
+    edges = G._cut(edges)   # every BFS below reads the edges: materialise them once
+    # one BFS per (direction, depth) the questions use; the plan rules bound these to a handful
+    combos = sorted((r[0], r[1]) for r in starts.select("graph_direction", "graph_depth").distinct().collect())
+    for direction, depth in combos:
         s = starts.filter((F.col("graph_direction") == direction) & (F.col("graph_depth") == depth))
         ch = G.causal_chain(edges, s.select("start").distinct(), direction, "correlates_with", depth, compat)
         part = s.select(qid, "start").join(ch, "start")
         out = part if out is None else out.unionByName(part)
+    if out is None:   # no question uses the graph: an empty result with the chain schema
+        qtype = dict(starts.dtypes)[qid]
+        out = plans.sparkSession.createDataFrame(
+            [], f"{qid} {qtype}, start string, hop int, source_entity string, target_entity string, "
+                "promotion_level string, confidence double")
     return out
