@@ -45,44 +45,71 @@ def allow_services(df: DataFrame, csv: str | None, service: str = "service_name"
     return df.filter(~allow_flag(F.col(service), csv))
 
 
+def _stream_fold(w_us: int, out_schema, key_names: list[str], out: str):
+    """Arrow batches of rows sorted by (keys, time, order) -> the same rows
+    with the kept flag. State carried across batches: the current group and its
+    last kept time. Inside a group the fold jumps from one kept row to the next
+    with ``searchsorted``, so the work follows the kept rows."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        prev_key, last = None, None
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                continue
+            us = rb.column(rb.schema.get_field_index("_us")).to_numpy(zero_copy_only=False).astype(np.int64)
+            cols = [rb.column(rb.schema.get_field_index(k)) for k in key_names]
+            change = np.zeros(n, dtype=bool)
+            for c in cols:
+                ne = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+                both_null = pc.and_(pc.is_null(c.slice(1)), pc.is_null(c.slice(0, n - 1))).to_numpy(zero_copy_only=False)
+                change[1:] |= ne & ~both_null
+            first_key = tuple(c[0].as_py() for c in cols)
+            change[0] = first_key != prev_key
+            starts = np.flatnonzero(change).tolist() + [n]
+            seg_start = [0] + starts if starts[0] != 0 else starts
+            flags = np.zeros(n, dtype=bool)
+            bounds = sorted(set(seg_start))
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if change[a]:
+                    last = None
+                t = us[a:b]
+                i = 0 if last is None else int(np.searchsorted(t, last + w_us, side="left"))
+                while i < b - a:
+                    flags[a + i] = True
+                    last = int(t[i])
+                    i = int(np.searchsorted(t, last + w_us, side="left"))
+            prev_key = tuple(c[n - 1].as_py() for c in cols)
+            yield pa.RecordBatch.from_arrays(list(rb.columns) + [pa.array(flags)],
+                                             schema=out_schema)
+    return run
+
+
 def dedup_flag(df: DataFrame, keys: list, ts: str, seconds: float, order: str,
                out: str = "kept") -> DataFrame:
     """Exact last-kept duplicate suppression, as a flag column.
 
     Per key, in (ts, order) order, a row is kept when no row was kept before or
     the last *kept* row is at least ``seconds`` older; a dropped row does not
-    extend the window. A gap of at least ``seconds`` to the previous row of the
-    key always starts fresh, so the key is cut into independent islands there and
-    only islands with more than one row need the sequential fold.
+    extend the window. Rows are hash-partitioned by key and sorted by time; one
+    streaming pass per partition folds each key with bounded memory (state: the
+    key and its last kept time), jumping between kept rows with
+    ``searchsorted``. No group is collected, however hot the key.
     """
     if seconds is None or seconds <= 0:
         return df.withColumn(out, F.lit(True))
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import BooleanType, StructField, StructType
     w_us = int(round(seconds * 1_000_000))
-    key_cols = [_c(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     kn = [f"_k{i}" for i in range(len(keys))]
-    x = df.select("*", *key_cols, F.unix_micros(F.col(ts)).alias("_us"))
-    w = Window.partitionBy(*kn).orderBy("_us", order)
-    gap = F.col("_us") - F.lag("_us").over(w)
-    x = x.withColumn("_start", (gap.isNull() | (gap >= w_us)).cast("int"))
-    x = x.withColumn("_island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     cols = df.columns
-    # (the window output is already partitioned by key: grouping by island adds no shuffle)
-    def by_time(a, b):
-        return F.when(a["_us"] < b["_us"], -1).when(a["_us"] > b["_us"], 1) \
-                .when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)
-    g = x.groupBy(*kn, "_island").agg(
-        F.array_sort(F.collect_list(F.struct("_us", F.col(order).alias("_o"), *cols)), by_time).alias("_rows"))
-    # fold: (time, order) of the kept rows of the island, in time order
-    kept = F.aggregate(
-        F.col("_rows"), F.array().cast("array<struct<_us:bigint,_o:bigint>>"),
-        lambda acc, r: F.when((F.size(acc) == 0) | (r["_us"] - F.element_at(acc, -1)["_us"] >= w_us),
-                              F.array_append(acc, F.struct(r["_us"].alias("_us"), r["_o"].cast("bigint").alias("_o"))))
-                        .otherwise(acc))
-    g = g.select(F.explode(F.transform(
-        F.col("_rows"),
-        lambda r: F.struct(r.alias("row"), F.array_contains(
-            kept, F.struct(r["_us"].alias("_us"), r["_o"].cast("bigint").alias("_o"))).alias("flag")))).alias("_x"))
-    return g.select(*[F.col("_x.row")[c].alias(c) for c in cols], F.col("_x.flag").alias(out))
+    x = df.select("*", *[_c(k).alias(n) for k, n in zip(keys, kn)], F.unix_micros(F.col(ts)).alias("_us")) \
+          .repartition(*kn).sortWithinPartitions(*kn, "_us", order)
+    schema = StructType(x.schema.fields + [StructField(out, BooleanType(), False)])
+    return x.mapInArrow(_stream_fold(w_us, to_arrow_schema(schema), kn, out), schema).select(*cols, out)
 
 
 def dedup_window(df: DataFrame, keys: list, ts: str, seconds: float, order: str) -> DataFrame:

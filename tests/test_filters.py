@@ -47,3 +47,25 @@ def test_waterfall_reasons(spark):
     assert got == {"below_severity": 1, "duplicate": 1, "truncated": 1}
     long_msg = [r[0] for r in rows(kept.filter("log_id = 4"), "message")][0]
     assert long_msg.endswith("… [truncated]") and len(long_msg) == 2000 + len("… [truncated]")
+
+
+def test_streaming_fold_matches_brute_force(spark):
+    import random
+    random.seed(5)
+    t0 = dt.datetime(2024, 1, 1)
+    data, t = [], 0.0
+    for i in range(3000):
+        t += random.choice([0.5, 3, 10, 20, 59, 61, 200])
+        data.append((i, t0 + dt.timedelta(seconds=t), random.choice(["a", "b"]), "E", random.choice(["m", "n", None])))
+    df = logs(spark, data)
+    want = sorted(r[0] for r in rows(L.dedup_window(df.repartition(7), ["service_name", "message"], "ts", 60, "log_id"),
+                                     "log_id"))
+    assert 0 < len(want) < 3000
+    # brute force
+    last, keep = {}, []
+    for i, ts, svc, _, msg in sorted(data, key=lambda r: (r[1], r[0])):
+        k = (svc, msg)
+        if k not in last or (ts - last[k]).total_seconds() >= 60:
+            last[k] = ts
+            keep.append(i)
+    assert sorted(keep) == want
