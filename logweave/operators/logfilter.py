@@ -129,6 +129,8 @@ def rate_flag(df: DataFrame, service: str, ts: str, n: int, order: str, out: str
     svc = F.coalesce(F.lower(F.col(service)), F.lit(""))
     x = df.withColumn("_svc", svc).withColumn("_hour", F.date_trunc("hour", F.col(ts))) \
           .withColumn("_min", F.date_trunc("minute", F.col(ts)))
+    # one shuffle by minute bucket, read by both the counts and the join back
+    x = x.repartition("_svc", "_hour", "_min")
     counts = x.groupBy("_svc", "_hour", "_min").agg(F.count(F.lit(1)).alias("_n"))
     wc = Window.partitionBy("_svc", "_hour").orderBy("_min").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wc), F.lit(0)))
