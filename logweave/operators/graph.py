@@ -33,16 +33,19 @@ def pair_events(df: DataFrame, entity: str, ts: str, window_s: float = CO_OCCURR
                 partition: str | None = None, order: str | None = None) -> DataFrame:
     """CG2: co-occurrence rows (source, target, lag_ms, ts): each event paired with
     the previous event of its partition when that one is of another entity and at
-    most ``window_s`` seconds older. One pass of ``lag``, no pair explosion."""
+    most ``window_s`` seconds older. One pass of ``lag``, no pair explosion; the
+    lag is taken per (key, minute) with the previous minute's last event carried
+    over, so a hot key is not one task."""
+    from .ordering import chunked_lag
     keys = [partition] if partition else []
-    w = Window.partitionBy(*keys).orderBy(ts, *([order] if order else []))
-    us = F.unix_micros(F.col(ts))
-    x = df.select(F.col(entity).alias("target_entity"), F.col(ts).alias("ts"), us.alias("_us"),
-                  F.lag(F.col(entity)).over(w).alias("source_entity"), F.lag(us).over(w).alias("_pus"))
-    lag_ms = (F.col("_us") - F.col("_pus")).cast("double") / 1000
-    return x.filter(F.col("source_entity").isNotNull() & (F.col("source_entity") != F.col("target_entity"))
-                    & (F.col("_us") - F.col("_pus") <= int(window_s * 1_000_000))) \
-            .select("source_entity", "target_entity", lag_ms.alias("lag_ms"), "ts")
+    x = df.select(*keys, F.col(entity).alias("target_entity"), F.col(ts).alias("ts"),
+                  F.unix_micros(F.col(ts)).alias("_us"), *([F.col(order).alias("_o")] if order else []))
+    okeys = ["_us"] + (["_o"] if order else [])
+    x = chunked_lag(x, keys, okeys, F.date_trunc("minute", F.col("ts")), ["target_entity", "_us"])
+    lag_ms = (F.col("_us") - F.col("prev__us")).cast("double") / 1000
+    return x.filter(F.col("prev_target_entity").isNotNull() & (F.col("prev_target_entity") != F.col("target_entity"))
+                    & (F.col("_us") - F.col("prev__us") <= int(window_s * 1_000_000))) \
+            .select(F.col("prev_target_entity").alias("source_entity"), "target_entity", lag_ms.alias("lag_ms"), "ts")
 
 
 def _median_sorted(a: Column) -> Column:
@@ -68,10 +71,11 @@ def rollup_edges(pairs: DataFrame, p_values: DataFrame | None = None, topology:
     target_entity, has_path) feeds the path test. Without it a path always
     exists, since the edge itself is part of the graph it is checked against.
     """
+    from .ordering import running_sums
     key = ["source_entity", "target_entity"]
-    w = Window.partitionBy(*key).orderBy(ts, lag)
-    x = pairs.withColumn("_i", F.row_number().over(w)) \
-             .withColumn("_k", F.count(F.col(lag)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # incident index and running sample count, per (pair, minute) with offsets
+    x = running_sums(pairs, key, [ts, lag], F.date_trunc("minute", F.col(ts)),
+                     {"_i": F.lit(1), "_k": F.col(lag).isNotNull().cast("int")})
     agg = x.groupBy(*key).agg(F.count(F.lit(1)).alias("incident_count"), F.max(ts).alias("last_seen_at"),
                               F.min(ts).alias("first_seen_at"))
     s = x.filter(F.col(lag).isNotNull())

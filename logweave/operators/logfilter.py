@@ -60,7 +60,9 @@ def _stream_fold(w_us: int, out_schema, key_names: list[str], out: str):
             n = rb.num_rows
             if n == 0:
                 continue
-            us = rb.column(rb.schema.get_field_index("_us")).to_numpy(zero_copy_only=False).astype(np.int64)
+            usc = rb.column(rb.schema.get_field_index("_us"))
+            timed = pc.is_valid(usc).to_numpy(zero_copy_only=False)
+            us = pc.fill_null(usc, 0).to_numpy(zero_copy_only=False).astype(np.int64)
             cols = [rb.column(rb.schema.get_field_index(k)) for k in key_names]
             change = np.zeros(n, dtype=bool)
             for c in cols:
@@ -76,6 +78,10 @@ def _stream_fold(w_us: int, out_schema, key_names: list[str], out: str):
             for a, b in zip(bounds[:-1], bounds[1:]):
                 if change[a]:
                     last = None
+                # rows without a time (sorted first) are kept and leave the state alone
+                untimed = int((~timed[a:b]).sum())
+                flags[a:a + untimed] = True
+                a += untimed
                 t = us[a:b]
                 i = 0 if last is None else int(np.searchsorted(t, last + w_us, side="left"))
                 while i < b - a:
@@ -94,7 +100,8 @@ def dedup_flag(df: DataFrame, keys: list, ts: str, seconds: float, order: str,
 
     Per key, in (ts, order) order, a row is kept when no row was kept before or
     the last *kept* row is at least ``seconds`` older; a dropped row does not
-    extend the window. Rows are hash-partitioned by key and sorted by time; one
+    extend the window; a row without a time is kept and changes nothing. Rows
+    are hash-partitioned by key and sorted by time; one
     streaming pass per partition folds each key with bounded memory (state: the
     key and its last kept time), jumping between kept rows with
     ``searchsorted``. No group is collected, however hot the key.

@@ -27,40 +27,51 @@ def read_log_text(spark: SparkSession, path: str, service: str | None = None,
                   source: str = "file") -> DataFrame:
     """SR1: text files -> (doc_id, line_no, line, service_name, source).
 
-    Files are read line by line (splittable); line order inside a file comes
-    from (block start, position inside the split), so no file is loaded whole.
-    ``service`` defaults to the file name without extension.
+    Files are read line by line (splittable, a large file spreads over tasks).
+    A line's number is the number of lines in the earlier splits of its file
+    (a small per-split table) plus its position inside its split, so no task
+    numbers a whole file. ``service`` defaults to the file name without extension.
     """
     df = spark.read.text(path).select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("doc_id"),
         F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_pos"))
-    w = Window.partitionBy("doc_id").orderBy("_blk", "_pos")
+    blocks = df.groupBy("doc_id", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
+    wb = Window.partitionBy("doc_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
+    x = df.join(blocks, ["doc_id", "_blk"])
     svc = F.lit(service) if service else F.regexp_extract(F.col("doc_id"), r"([^/]+?)(\.[^./]*)?$", 1)
-    return df.select("doc_id", (F.row_number().over(w) - 1).alias("line_no"), "line",
-                     svc.alias("service_name"), F.lit(source).alias("source"))
+    return x.select("doc_id", (F.col("_off") + F.col("_pos") - F.col("_p0")).alias("line_no"), "line",
+                    svc.alias("service_name"), F.lit(source).alias("source"))
+
+
+# Line breaks of Python's str.splitlines() (\r\n counts once).
+LINE_BREAK_RE = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+LINE_CHUNK = 1 << 16   # order-dependent work is done per 65 536 lines of a document
 
 
 def split_text(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """A text column -> one row per line (\\n, \\r\\n or \\r), with its number."""
-    return df.select("*", F.posexplode(F.split(F.col(text), r"\r\n|\n|\r")).alias("line_no", "line")).drop(text)
+    """A text column -> one row per line (the breaks of ``str.splitlines``), numbered."""
+    return df.select("*", F.posexplode(F.split(F.col(text), LINE_BREAK_RE)).alias("line_no", "line")).drop(text)
 
 
 def _framed(lines: DataFrame, doc: str, line_no: str, line: str) -> DataFrame:
     """Apply ``text.strip()`` of the whole document: drop leading / trailing blank
-    lines, strip the first line's head and the last line's tail; flag JSON docs."""
-    w = Window.partitionBy(doc)
+    lines, strip the first line's head and the last line's tail; flag JSON docs.
+    Per-document facts come from an aggregation (partial, skew-safe) joined back."""
     nonblank = strip_ws(F.col(line)) != ""
-    x = lines.withColumn("_first", F.min(F.when(nonblank, F.col(line_no))).over(w)) \
-             .withColumn("_last", F.max(F.when(nonblank, F.col(line_no))).over(w))
+    nb_no = F.when(nonblank, F.col(line_no))
+    stats = lines.groupBy(doc).agg(F.min(nb_no).alias("_first"), F.max(nb_no).alias("_last"),
+                                   F.min_by(F.col(line), nb_no).alias("_first_line"))
+    x = lines.join(stats, doc)
     x = x.filter((F.col(line_no) >= F.col("_first")) & (F.col(line_no) <= F.col("_last")))
     lead = F.regexp_replace(F.col(line), f"^{WS_CLASS}+", "")
     x = x.withColumn(line, F.when(F.col(line_no) == F.col("_first"), lead).otherwise(F.col(line)))
     x = x.withColumn(line, F.when(F.col(line_no) == F.col("_last"),
                                   F.regexp_replace(F.col(line), f"{WS_CLASS}+$", "")).otherwise(F.col(line)))
-    first_line = F.max(F.when(F.col(line_no) == F.col("_first"), F.col(line))).over(w)
-    return x.withColumn("is_json", F.startswith(first_line, F.lit("{"))).drop("_last")
+    is_json = F.startswith(F.regexp_replace(F.col("_first_line"), f"^{WS_CLASS}+", ""), F.lit("{"))
+    return x.withColumn("is_json", is_json).drop("_last", "_first_line")
 
 
 def detect_format(lines: DataFrame, doc: str = "doc_id", line_no: str = "line_no", line: str = "line") -> DataFrame:
@@ -71,13 +82,16 @@ def detect_format(lines: DataFrame, doc: str = "doc_id", line_no: str = "line_no
 def assemble_blocks(lines: DataFrame, doc: str = "doc_id", line_no: str = "line_no", line: str = "line",
                     keep: list[str] | None = None) -> DataFrame:
     """LP5: gaps-and-islands; a line with a timestamp or a level opens an entry,
-    the first line always does; block text = its lines joined by newlines."""
+    the first line always does; block text = its lines joined by newlines.
+    The block number is a running count of entry starts, computed per chunk of
+    lines with chunk offsets (no whole-document window)."""
+    from ..operators.ordering import running_sums
     keep = keep or []
     if "_first" not in lines.columns:
-        lines = lines.withColumn("_first", F.min(line_no).over(Window.partitionBy(doc)))
-    w = Window.partitionBy(doc).orderBy(line_no).rowsBetween(Window.unboundedPreceding, 0)
+        lines = lines.join(lines.groupBy(doc).agg(F.min(line_no).alias("_first")), doc)
     start = has_ts(F.col(line)) | has_level(F.col(line)) | (F.col(line_no) == F.col("_first"))
-    x = lines.withColumn("_blk", F.sum(start.cast("int")).over(w))
+    x = running_sums(lines, [doc], [line_no], (F.col(line_no) / LINE_CHUNK).cast("bigint"),
+                     {"_blk": start.cast("int")})
     g = x.groupBy(doc, "_blk").agg(
         F.min(line_no).alias("entry_no"),
         F.array_sort(F.collect_list(F.struct(F.col(line_no).alias("n"), F.col(line).alias("l")))).alias("_ls"),

@@ -67,6 +67,9 @@ def _dedup_state(w_us: int):
             pdf = pdf.sort_values(["_us", "_o"])
             keep = []
             for us in pdf["_us"].to_numpy():
+                if pd.isna(us):          # no time: kept, state unchanged (as the batch form)
+                    keep.append(True)
+                    continue
                 ok = last is None or us - last >= w_us
                 keep.append(ok)
                 if ok:

@@ -69,3 +69,11 @@ def test_streaming_fold_matches_brute_force(spark):
             last[k] = ts
             keep.append(i)
     assert sorted(keep) == want
+
+
+def test_dedup_rows_without_time_are_kept(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(1, None, "s", "E", "m"), (2, t0, "s", "E", "m"), (3, None, "s", "E", "m"),
+            (4, t0 + dt.timedelta(seconds=10), "s", "E", "m"), (5, t0 + dt.timedelta(seconds=70), "s", "E", "m")]
+    kept = L.dedup_window(logs(spark, data), ["service_name", "message"], "ts", 60, "log_id")
+    assert sorted(r[0] for r in rows(kept, "log_id")) == [1, 2, 3, 5]
