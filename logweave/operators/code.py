@@ -207,8 +207,8 @@ def reset_states(states: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataF
 
 def list_repos(repos: DataFrame) -> DataFrame:
     """CI11: repositories newest first (rank column; ties by id)."""
-    w = Window.orderBy(F.col("created_at").desc(), F.col("id"))
-    return repos.withColumn("rank", F.row_number().over(w))
+    from .ordering import global_rank
+    return global_rank(repos, [F.col("created_at").desc(), F.col("id")])
 
 
 def read_commits(raw: DataFrame) -> DataFrame:

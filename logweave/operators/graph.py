@@ -274,8 +274,8 @@ def list_entities(df: DataFrame, entity_type: str | None = None, deprecated: boo
     out = df.filter(F.col("deprecated") == F.lit(deprecated))
     if entity_type:
         out = out.filter(F.col("entity_type") == entity_type)
-    w = Window.orderBy("canonical_name")
-    return out.withColumn("rank", F.row_number().over(w))
+    from .ordering import global_rank
+    return global_rank(out, [F.col("canonical_name")])
 
 
 def deprecate(df: DataFrame, names: DataFrame) -> DataFrame:

@@ -98,5 +98,5 @@ def pending(fixes: DataFrame, fix_id=None) -> DataFrame:
     """ET7: pending fixes newest first (rank), or the one with ``fix_id``."""
     if fix_id is not None:
         return fixes.filter(F.col("fix_id") == fix_id)
-    w = Window.orderBy(F.col("created_at").desc(), F.col("fix_id").desc())
-    return fixes.withColumn("rank", F.row_number().over(w))
+    from .ordering import global_rank
+    return global_rank(fixes, [F.col("created_at").desc(), F.col("fix_id").desc()])
