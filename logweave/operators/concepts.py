@@ -112,15 +112,14 @@ def concepts_for_service(concepts: DataFrame, service: str, severity: str | None
     c = concepts.filter(F.col("service_name") == service)
     if severity:
         c = c.filter(F.col("severity") == severity.upper())
-    w = Window.orderBy(F.col("total_occurrences").desc(), F.col("concept_id"))
-    return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    from .ordering import top_n
+    return top_n(c, [F.col("total_occurrences").desc(), F.col("concept_id")], n)
 
 
 def rising_concepts(concepts: DataFrame, n: int = 20) -> DataFrame:
     """LC11: rising concepts over all services, most frequent first (top ``n``)."""
-    w = Window.orderBy(F.col("total_occurrences").desc(), F.col("concept_id"))
-    return concepts.filter(F.col("trend") == "rising") \
-                   .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    from .ordering import top_n
+    return top_n(concepts.filter(F.col("trend") == "rising"), [F.col("total_occurrences").desc(), F.col("concept_id")], n)
 
 
 def concept_batch_stats(batch: DataFrame, existing: DataFrame) -> DataFrame:

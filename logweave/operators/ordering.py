@@ -65,3 +65,11 @@ def global_rank(df: DataFrame, order: list[Column], out: str = "rank", partition
     return s.join(F.broadcast(counts.drop("_n")), "_pid") \
             .withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_p0") + 1).cast("int")) \
             .drop("_pid", "_pos", "_p0", "_off")
+
+
+def top_n(df: DataFrame, order: list[Column], n: int, out: str = "rank") -> DataFrame:
+    """The first ``n`` rows of a total order with their 1-based rank: every
+    partition contributes its own top ``n`` (``orderBy().limit()``), and only
+    those ``n`` rows are ranked."""
+    lim = df.orderBy(*order).limit(n)
+    return lim.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("int"))

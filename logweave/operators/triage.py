@@ -24,7 +24,11 @@ def recent_errors(logs: DataFrame, n: int = RECENT_ERRORS, service: str | None =
     e = logs.filter(F.col("level").isin(ERROR_LEVELS))
     if service:
         e = e.filter(F.col("service_name") == service)
-    w = Window.partitionBy(*(["service_name"] if per_service else [])).orderBy(F.col(ts).desc(), F.col(order).desc())
+    order_by = [F.col(ts).desc(), F.col(order).desc()]
+    if not per_service:
+        from .ordering import top_n
+        return top_n(e, order_by, n, "recency_rank")
+    w = Window.partitionBy("service_name").orderBy(*order_by)
     return e.withColumn("recency_rank", F.row_number().over(w)).filter(F.col("recency_rank") <= n)
 
 
