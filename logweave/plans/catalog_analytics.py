@@ -158,3 +158,10 @@ def error_rate_5m(spark, sf):
     ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     e = A.error_rate_5m(ev, 0.05, F.col("event_type") == "error")
     return e.select(ntz("window_start").alias("window_start"), "total", "errors", r4("error_rate").alias("error_rate"), "alert")
+
+
+@register("trace_latency_approx")
+def trace_latency_approx(spark, sf):
+    """DA3 (approximate): p50 / p95 per service with percentile_approx."""
+    t = A.trace_latency_approx(view(spark, sf, "v_traces"))
+    return t.select("service", F.col("p")[0].alias("p50_latency"), F.col("p")[1].alias("p95_latency"))

@@ -317,3 +317,46 @@ def deployment_edges(spark, sf):
     _, pairs = G.ingest_deployments(_deploys(spark, sf))
     e = G.rollup_edges(pairs)
     return e.select("source_entity", "target_entity", "incident_count", "promotion_level", r4("confidence").alias("confidence"))
+
+
+_STRICT_SQL = "WITH RECURSIVE " + _LADDER_SQL[1:].replace("edges AS (SELECT", "edges0 AS (SELECT") + f""",
+und AS (SELECT source_entity AS a, target_entity AS b FROM edges0 UNION SELECT target_entity, source_entity FROM edges0),
+pr AS (SELECT DISTINCT source_entity AS src, target_entity AS dst FROM edges0),
+walk(src, dst, node, d) AS (
+  SELECT src, dst, src, 0 FROM pr
+  UNION
+  SELECT w.src, w.dst, u.b, w.d + 1 FROM walk w JOIN und u ON u.a = w.node
+  WHERE w.d < 2 AND w.node <> w.dst
+    AND NOT ((w.node = w.src AND u.b = w.dst) OR (w.node = w.dst AND u.b = w.src))),
+hp AS (SELECT DISTINCT src, dst FROM walk WHERE node = dst)
+SELECT e.source_entity, e.target_entity, e.incident_count,
+  CASE WHEN hp.src IS NOT NULL THEN e.promotion_level
+       WHEN j.ci IS NOT NULL THEN 'correlates_with' ELSE 'observed' END AS promotion_level,
+  round(CAST(CASE WHEN hp.src IS NOT NULL THEN e.confidence WHEN j.ci IS NOT NULL THEN least(0.4, 0.1 + j.ci * 0.05)
+       ELSE 0.1 END AS DOUBLE), 4) AS confidence
+FROM edges0 e JOIN j USING ({_K}) LEFT JOIN hp ON hp.src = e.source_entity AND hp.dst = e.target_entity"""
+
+
+@register("edge_rollup_strict", _STRICT_SQL)
+def edge_rollup_strict(spark, sf):
+    """CG5 / Q3 meaningful mode: probable_cause needs a path between the two
+    entities that does not use the edge itself (undirected, up to 2 hops)."""
+    e0 = G.rollup_edges(view(spark, sf, "v_edges"))
+    topo = G.topology_path(e0, e0, max_depth=2, exclude_self_edge=True)
+    e = G.rollup_edges(view(spark, sf, "v_edges"), topology=topo)
+    return e.select("source_entity", "target_entity", "incident_count", "promotion_level",
+                    r4("confidence").alias("confidence"))
+
+
+@register("edge_rollup_granger")
+def edge_rollup_granger(spark, sf):
+    """CG5 with the statistical signal: Granger p-values of hourly entity counts."""
+    from ..operators import granger as GR
+    ev = table(spark, sf, "events").select(
+        F.concat_ws("-", "event_type", (F.col("event_id") % 6).cast("string")).alias("entity"),
+        F.col("ts").cast("timestamp").alias("ts"))
+    pairs = view(spark, sf, "v_edges")
+    p = GR.granger(GR.hourly_series(ev, G.rollup_edges(pairs)))
+    e = G.rollup_edges(pairs, p_values=p)
+    return e.select("source_entity", "target_entity", "promotion_level", r4("confidence").alias("confidence"),
+                    r4("p_value").alias("p_value"))

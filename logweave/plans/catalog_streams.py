@@ -121,3 +121,11 @@ def ingest_loop(spark, sf):
     state = ST.scratch(spark, "ingest-state")
     ST.run_available(stream, "ingest", foreach_batch=lambda b, i, out: IN.ingest_batch(state)(b, i))
     return IN.concept_table(spark, state)
+
+
+@register("stream_dedup_approx")
+def stream_dedup_approx(spark, sf):
+    """SS2 (approximate): dropDuplicatesWithinWatermark per (service, level)."""
+    s = ST.stream_dedup_approx(_logs_stream(spark, sf), ["service_name", "level"], watermark="1 hour")
+    out, _, _ = ST.run_available(s.select("log_id", "service_name", "level"), "dedup-approx")
+    return out

@@ -203,3 +203,10 @@ def late_rows(query) -> int:
     """SS7: rows dropped past the watermark in the last progress of a query."""
     p = query.lastProgress or {}
     return int(sum(s.get("numRowsDroppedByWatermark", 0) for s in p.get("stateOperators", [])))
+
+
+def stream_dedup_approx(df: DataFrame, keys: list[str], ts: str = "ts", watermark: str = "1 minute") -> DataFrame:
+    """SS2 (approximate): Spark's ``dropDuplicatesWithinWatermark`` - rows whose
+    key was seen within the watermark delay are dropped (first-seen, not
+    last-kept semantics)."""
+    return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
