@@ -94,7 +94,8 @@ def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataF
         if kmax is None:
             return None
         h = V.knn(qs.select(qid, "embedding"), items, int(kmax), qid=qid)
-        h = h.join(F.broadcast(qs.select(F.col(qid).alias("query_id"), k_col, "thr")), "query_id") \
+        # per-question limits: the join side grows with the questions, so AQE picks the strategy
+        h = h.join(qs.select(F.col(qid).alias("query_id"), k_col, "thr"), "query_id") \
              .filter((F.col("rank") <= F.col(k_col)) & (F.col("similarity") >= F.col("thr")))
         h = V.attach(h.drop(k_col, "thr"), items, cols=cols) if cols else h.drop(k_col, "thr")
         return h.withColumn("layer", F.lit(name))

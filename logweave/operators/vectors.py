@@ -151,10 +151,10 @@ def knn(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_id",
 
 
 def attach(hits: DataFrame, items: DataFrame, iid: str = "item_id", cols: list[str] | None = None) -> DataFrame:
-    """Join item attributes to top-k hits; the hit side is bounded (queries x k)
-    and is the broadcast side."""
+    """Join item attributes to top-k hits. The hits (queries x k) are usually far
+    smaller than the items; AQE broadcasts them from their measured size."""
     it = items.select(F.col(iid).alias("item_id"), *(cols or []))
-    return it.join(F.broadcast(hits), "item_id")
+    return it.join(hits, "item_id")
 
 
 def min_similarity(df: DataFrame, t: float = SIMILARITY_THRESHOLD) -> DataFrame:
