@@ -184,14 +184,13 @@ def topology_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 6, exclud
         nxt = step.select("src", "dst", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path")) \
                   .join(visited, ["src", "dst", "node"], "left_anti") \
                   .groupBy("src", "dst", "node").agg(F.min("path").alias("path"))
-        nxt = _cut(nxt)
+        nxt = _cut(nxt)   # one reliable checkpoint per hop
         hit = nxt.filter(F.col("node") == F.col("dst")).select("src", "dst", "path")
         found = hit if found is None else found.unionByName(hit)
         frontier = nxt.filter(F.col("node") != F.col("dst")).join(found.select("src", "dst"), ["src", "dst"], "left_anti")
-        frontier = _cut(frontier)
         if frontier.isEmpty():
             break
-        visited = _cut(visited.unionByName(nxt.select("src", "dst", "node")))
+        visited = visited.unionByName(nxt.select("src", "dst", "node"))
     res = p.join(found, ["src", "dst"], "left") if found is not None else p.withColumn("path", F.lit(None))
     return res.select(F.col("src").alias("source_entity"), F.col("dst").alias("target_entity"), "path",
                       F.col("path").isNotNull().alias("has_path"))
@@ -231,12 +230,14 @@ def causal_chain(edges: DataFrame, starts: DataFrame, direction: str = "upstream
         best = step.groupBy("start", "nbr").agg(F.min_by(F.struct("source_entity", "target_entity", "promotion_level",
                                                                   "confidence"),
                                                          F.struct("via", "source_entity", "target_entity")).alias("e"))
+        # one reliable checkpoint per hop; frontier and visited are unions of
+        # checkpointed frames, so their lineage stays short without more cuts
         best = _cut(best.select("start", "nbr", F.lit(hop).alias("hop"), "e.*"))
         chain = best if chain is None else chain.unionByName(best)
         frontier = best.select("start", F.col("nbr").alias("node"))
         if frontier.isEmpty():
             break
-        visited = _cut(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
     return chain.drop("nbr")
 
 

@@ -61,8 +61,10 @@ _EDGE_COLS = ("source_entity, target_entity, incident_count, last_seen_at, promo
               "median_lag_ms, stdev_lag_ms")
 
 
-def _edges(spark, sf):
-    return G.lag_stats(G.rollup_edges(view(spark, sf, "v_edges")))
+def _edges(spark, sf, materialise: bool = False):
+    e = G.lag_stats(G.rollup_edges(view(spark, sf, "v_edges")))
+    # queries that read the edge table several times (paths, chains) take it once
+    return G._cut(e) if materialise else e
 
 
 def _edge_out(e):
@@ -161,7 +163,7 @@ SELECT pr.src AS source_entity, pr.dst AS target_entity, array_to_string(best.pa
 def topology_path(spark, sf):
     """CG7: shortest undirected path for edges out of error entities, the direct
     edge excluded (depth <= 3)."""
-    e = _edges(spark, sf)
+    e = _edges(spark, sf, materialise=True)
     pairs = e.filter(F.col("source_entity").startswith("error-"))
     p = G.topology_path(e, pairs, max_depth=3, exclude_self_edge=True)
     return p.select("source_entity", "target_entity", F.array_join("path", ">").alias("path"), "has_path")
@@ -189,7 +191,7 @@ FROM cand GROUP BY start, nbr, hop"""
 @register("causal_chain", _CHAIN_SQL)
 def causal_chain(spark, sf):
     """CG9: upstream chains (depth 3, >= correlates_with) of every error entity."""
-    e = _edges(spark, sf)
+    e = _edges(spark, sf, materialise=True)
     starts = e.filter(F.col("source_entity").startswith("error-")).select(F.col("source_entity").alias("start"))
     ch = G.causal_chain(e, starts, "upstream", "correlates_with", 3)
     return ch.select("start", "hop", "source_entity", "target_entity", "promotion_level")
@@ -341,7 +343,7 @@ FROM edges0 e JOIN j USING ({_K}) LEFT JOIN hp ON hp.src = e.source_entity AND h
 def edge_rollup_strict(spark, sf):
     """CG5 / Q3 meaningful mode: probable_cause needs a path between the two
     entities that does not use the edge itself (undirected, up to 2 hops)."""
-    e0 = G.rollup_edges(view(spark, sf, "v_edges"))
+    e0 = G._cut(G.rollup_edges(view(spark, sf, "v_edges")))
     topo = G.topology_path(e0, e0, max_depth=2, exclude_self_edge=True)
     e = G.rollup_edges(view(spark, sf, "v_edges"), topology=topo)
     return e.select("source_entity", "target_entity", "incident_count", "promotion_level",
