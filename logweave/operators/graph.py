@@ -76,30 +76,35 @@ def rollup_edges(pairs: DataFrame, p_values: DataFrame | None = None, topology:
     # incident index and running sample count, per (pair, minute) with offsets
     x = running_sums(pairs, key, [ts, lag], F.date_trunc("minute", F.col(ts)),
                      {"_i": F.lit(1), "_k": F.col(lag).isNotNull().cast("int")})
-    agg = x.groupBy(*key).agg(F.count(F.lit(1)).alias("incident_count"), F.max(ts).alias("last_seen_at"),
-                              F.min(ts).alias("first_seen_at"))
-    s = x.filter(F.col(lag).isNotNull())
+    # the numbered incidents feed the branches below: materialise them once
+    x = _cut(x.select(*key, ts, lag, "_i", "_k"))
+    has_lag = F.col(lag).isNotNull()
+    # one aggregation: counts, first / last seen, the first lag sample, the 3rd sample
+    # (probable needs >= 3 samples and >= 3 incidents)
+    agg = x.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("incident_count"), F.max(ts).alias("last_seen_at"), F.min(ts).alias("first_seen_at"),
+        F.min_by(F.struct(F.col("_i").alias("i"), F.col(lag).cast("double").alias("med"), F.lit(0.0).alias("sd")),
+                 F.when(has_lag, F.col("_i"))).alias("_first"),
+        F.min(F.when(has_lag & (F.col("_k") == MIN_INCIDENTS), F.col("_i"))).alias("_i3"))
+    s = x.filter(has_lag)
     # First incident at which the running median of the last 50 samples is >= 0.
     # When a pair's first sample is >= 0 that sample is the answer (median of one
     # value, deviation 0); only pairs starting with a negative lag need the
     # running window of medians.
-    first = s.groupBy(*key).agg(F.min_by(F.struct(F.col("_i").alias("i"), F.col(lag).cast("double").alias("med"),
-                                                  F.lit(0.0).alias("sd")), F.col("_i")).alias("_c"))
-    easy = first.filter(F.col("_c.med") >= 0)
-    hard = s.join(first.filter(F.col("_c.med") < 0).select(*key), key, "left_semi")
+    hard = s.join(agg.filter(F.col("_first.med") < 0).select(*key), key, "left_semi")
     ws = Window.partitionBy(*key).orderBy(ts, lag).rowsBetween(-(MAX_LAG_SAMPLES - 1), 0)
     hard = hard.withColumn("_win", F.array_sort(F.collect_list(F.col(lag).cast("double")).over(ws)))
     hard = hard.withColumn("_med", _median_sorted(F.col("_win")))
-    corr = easy.unionByName(hard.filter(F.col("_med") >= 0).groupBy(*key).agg(
+    hard_c = hard.filter(F.col("_med") >= 0).groupBy(*key).agg(
         F.min_by(F.struct(F.col("_i").alias("i"), F.col("_med").alias("med"), _stdev(F.col("_win")).alias("sd")),
-                 F.col("_i")).alias("_c")))
-    # third sample: probable needs >= 3 samples and >= 3 incidents
-    third = s.filter(F.col("_k") == MIN_INCIDENTS).groupBy(*key).agg(F.min("_i").alias("_i3"))
-    # final sample window (last 50 non-null lags)
+                 F.col("_i")).alias("_hc"))
+    # final sample window (last 50 non-null lags); the rank filter is applied per partition first
     wl = Window.partitionBy(*key).orderBy(F.col(ts).desc(), F.col(lag).desc())
     last = s.withColumn("_r", F.row_number().over(wl)).filter(F.col("_r") <= MAX_LAG_SAMPLES) \
             .groupBy(*key).agg(F.array_sort(F.collect_list(F.col(lag).cast("double"))).alias("_last"))
-    e = agg.join(corr, key, "left").join(third, key, "left").join(last, key, "left")
+    e = agg.join(hard_c, key, "left").join(last, key, "left")
+    e = e.withColumn("_c", F.when(F.col("_first.med") >= 0, F.col("_first")).otherwise(F.col("_hc"))) \
+         .drop("_first", "_hc")
     if p_values is not None:
         e = e.join(p_values.select(*key, "p_value"), key, "left")
     else:
