@@ -145,15 +145,38 @@ def parse_json_entry(df: DataFrame, line: str = "line") -> DataFrame:
 
 def parse_log_lines(lines: DataFrame, doc: str = "doc_id", line_no: str = "line_no", line: str = "line",
                     service: str = "service_name", source: str = "source") -> DataFrame:
-    """SR2 / LP5-LP9: ordered lines of documents -> one row per log entry."""
+    """SR2 / LP5-LP9: ordered lines of documents -> one row per log entry.
+
+    One path for both formats: in a JSON-lines document every non-blank
+    (stripped) line opens an entry, in a plain document a line with a timestamp
+    or a level does (the first line always). A running count of entry starts
+    numbers the entries, one aggregation gathers their lines, and each entry
+    takes its fields from its JSON object when it decodes as one, else from the
+    plain-text parser."""
+    from ..operators.ordering import running_sums
     keep = [c for c in (service, source) if c in lines.columns]
     fr = _framed(lines, doc, line_no, line)
-    js = fr.filter("is_json").withColumn(line, strip_ws(F.col(line))).filter(F.col(line) != "") \
-           .withColumnRenamed(line_no, "entry_no").select(doc, "entry_no", line, *keep)
-    js = parse_json_entry(js, line)
-    blocks = assemble_blocks(fr.filter(~F.col("is_json")), doc, line_no, line, keep)
-    plain = parse_plain(blocks, "text")
-    out = js.unionByName(plain)
+    js = F.col("is_json")
+    x = fr.withColumn(line, F.when(js, strip_ws(F.col(line))).otherwise(F.col(line))) \
+          .filter(~js | (F.col(line) != ""))
+    start = js | has_ts(F.col(line)) | has_level(F.col(line)) | (F.col(line_no) == F.col("_first"))
+    x = running_sums(x, [doc], [line_no], (F.col(line_no) / LINE_CHUNK).cast("bigint"), {"_blk": start.cast("int")})
+    g = x.groupBy(doc, "_blk").agg(
+        F.min(line_no).alias("entry_no"), F.first("is_json").alias("is_json"),
+        F.array_sort(F.collect_list(F.struct(F.col(line_no).alias("n"), F.col(line).alias("l")))).alias("_ls"),
+        *[F.first(c).alias(c) for c in keep])
+    g = g.select(doc, "entry_no", "is_json", F.array_join(F.transform("_ls", lambda s: s["l"]), "\n").alias("_text"),
+                 *keep)
+    g = g.withColumn("_m", F.when(F.col("is_json"), F.from_json(F.col("_text"), "map<string,string>")))
+    t = F.col("_text")
+    ref = parse_file_ref(t)
+    plain = [parse_ts(t).alias("ts"), parse_level(t).alias("level"), t.alias("message"),
+             parse_error(t).alias("parsed_error"), ref["file"].alias("file_reference"),
+             ref["line"].alias("line_reference"), F.lit(None).cast("map<string,string>").alias("metadata_json")]
+    structured = entry_from_map(F.col("_m"), t)
+    decoded = F.col("_m").isNotNull()
+    fields = [F.when(decoded, j).otherwise(pl).alias(n) for j, pl, n in zip(structured, plain, ENTRY_COLS[4:])]
+    out = g.select(doc, "entry_no", *keep, *fields)
     for c in (service, source):
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("string"))
