@@ -16,3 +16,16 @@ def test_stream_dedup_across_batches_equals_batch(spark, tmp_path):
     want = sorted(r[0] for r in L.dedup_window(df, ["service_name", "message"], "ts", 60, "log_id").select("log_id").collect())
     assert sorted(r[0] for r in out.select("log_id").collect()) == want == [0, 2, 4, 5]
     assert ST.late_rows(q) == 0
+
+
+def test_stream_rate_limit_across_batches_equals_batch(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1, 10)
+    data = [(i, t0 + dt.timedelta(minutes=i * 7), "svc" if i % 3 else "other", "E", f"m{i}") for i in range(60)]
+    schema = "log_id long, ts timestamp, service_name string, level string, message string"
+    df = spark.createDataFrame(data, schema)
+    for k in range(3):
+        spark.createDataFrame(data[k * 20:(k + 1) * 20], schema).coalesce(1).write.parquet(str(tmp_path / f"r{k}"))
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r*"))
+    out, _, _ = ST.run_available(ST.stream_rate_limit(src, 3, watermark="3 hours"), "t-rate")
+    want = sorted(r[0] for r in L.rate_limit(df, "service_name", "ts", 3, "log_id").select("log_id").collect())
+    assert sorted(r[0] for r in out.select("log_id").collect()) == want
