@@ -56,9 +56,13 @@ def global_rank(df: DataFrame, order: list[Column], out: str = "rank", partition
     single-partition window: range-partition and sort, number rows inside each
     partition, add the row counts of the partitions before it."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from ..session import ensure_checkpoint_dir
     s = df.repartitionByRange(n, *order).sortWithinPartitions(*order) \
           .withColumn("_pid", F.spark_partition_id()) \
           .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    # partition ids and positions must be read from one evaluation: materialise once
+    ensure_checkpoint_dir(df.sparkSession)
+    s = s.checkpoint(eager=True)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
