@@ -112,15 +112,33 @@ def commit_risk(commits: DataFrame, files: DataFrame, w_files: float = 0.3, w_ch
 
 def author_90d(commits: DataFrame, files: DataFrame | None = None, days: int = 90) -> DataFrame:
     """DA6: per commit, the author's commits and mean changed files over the
-    ``days`` days up to and including it (range window on time)."""
+    ``days`` days up to and including it.
+
+    Exact without a per-author window: every commit also emits a probe at
+    ``t - days``; chunked running sums (per author and day) over commits and
+    probes give, at a commit, the totals up to it and, at its probe, the totals
+    strictly before the window, so a prolific author is spread over tasks."""
+    from .ordering import running_sums
     c = commits
     if files is not None:
         n = files.groupBy("sha").agg(F.count(F.lit(1)).alias("n_files"))
         c = c.join(n, "sha", "left").na.fill(0, ["n_files"])
     sec = F.unix_seconds(F.col("committed_at"))
-    w = Window.partitionBy("author_email").orderBy(sec).rangeBetween(-days * 86400, 0)
-    return c.withColumn("author_commits_90d", F.count(F.lit(1)).over(w)) \
-            .withColumn("author_avg_files", F.avg("n_files").over(w))
+    real = c.select("author_email", "sha", sec.alias("_t"), F.lit(1).alias("_kind"), F.col("n_files").cast("long").alias("_f"))
+    probe = c.select("author_email", "sha", (sec - days * 86400).alias("_t"), F.lit(0).alias("_kind"),
+                     F.lit(0).cast("long").alias("_f"))
+    # a probe sorts before commits at the same second: commits exactly at the window start count
+    u = real.unionByName(probe)
+    u = running_sums(u, ["author_email"], ["_t", "_kind", "sha"], (F.col("_t") / 86400).cast("bigint"),
+                     {"_rc": F.col("_kind"), "_rf": F.col("_f")})
+    # a range frame includes every commit of the same second (its peers): take the last peer's totals
+    real_u = u.filter("_kind = 1")
+    peers = real_u.groupBy("author_email", "_t").agg(F.max("_rc").alias("_rc"), F.max("_rf").alias("_rf"))
+    at = real_u.select("author_email", "_t", "sha").join(peers, ["author_email", "_t"]).select("sha", "_rc", "_rf")
+    before = u.filter("_kind = 0").select("sha", F.col("_rc").alias("_bc"), F.col("_rf").alias("_bf"))
+    w = at.join(before, "sha").select("sha", (F.col("_rc") - F.col("_bc")).alias("author_commits_90d"),
+                                      ((F.col("_rf") - F.col("_bf")) / (F.col("_rc") - F.col("_bc"))).alias("author_avg_files"))
+    return c.join(w, "sha")
 
 
 def deployment_errors(deploys: DataFrame, logs: DataFrame, hours: int = 1) -> DataFrame:
