@@ -206,6 +206,28 @@ def boost_by_logs(code: DataFrame, logs: DataFrame, key: str = "query_id", path:
     return out.drop("_row", "_n")
 
 
+# Fixed values (must equal the reference): change-review dimensions and prompts.
+REVIEW_DIMENSIONS = [
+    ("Code Similarity", "What code in the codebase is most similar to these changes?"),
+    ("Known Bug Patterns", "Do these code changes introduce bugs, race conditions, or error-prone patterns?"),
+    ("Idempotency", "Could these changes cause duplicate operations or break idempotency?"),
+    ("Data Integrity", "Do these changes risk data consistency or incomplete rollbacks?"),
+    ("Security", "Are there security vulnerabilities — injection risks, auth bypasses, exposed secrets?"),
+]
+DIFF_EXCERPT_CHARS = 2000
+
+
+def review_questions(diffs: DataFrame, pr: str = "pr", diff: str = "diff") -> DataFrame:
+    """VE18: the five review questions of every diff: dimension prompt, a blank
+    line, then the first 2000 characters of the diff."""
+    dims = F.array(*[F.struct(F.lit(i).alias("dim_no"), F.lit(label).alias("dimension"), F.lit(prompt).alias("prompt"))
+                     for i, (label, prompt) in enumerate(REVIEW_DIMENSIONS)])
+    x = diffs.select(pr, F.substring(F.coalesce(F.col(diff), F.lit("")), 1, DIFF_EXCERPT_CHARS).alias("_d"),
+                     F.explode(dims).alias("_q"))
+    return x.select(pr, "_q.dim_no", "_q.dimension",
+                    F.concat(F.col("_q.prompt"), F.lit("\n\n"), F.col("_d")).alias("question"))
+
+
 def score_band(score: Column) -> Column:
     """VE19: >= 70 high, >= 40 mid, else low."""
     return F.when(score >= 70, F.lit("high")).when(score >= 40, F.lit("mid")).otherwise(F.lit("low"))

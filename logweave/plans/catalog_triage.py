@@ -8,6 +8,7 @@ from ..functions.text import WS_CLASS
 from ..operators import questions as Q
 from ..operators import stats as S
 from ..operators import triage as T
+from ..operators.vectors import review_questions
 from ..sources.tables import table
 from .catalog_deps import _DEP_SQL, _dep_rollup
 from .catalog_vectors import _CODE_ITEMS, _items
@@ -272,3 +273,35 @@ def plan_questions(spark, sf):
     return p.select("conv_id", "turn", "plan.query_type", "use_code_retrieval", "use_log_retrieval",
                     "use_concept_retrieval", "use_graph_traversal", "plan.graph_depth", "graph_direction",
                     "code_fetch_k", "log_fetch_k", "concept_fetch_k", "similarity_threshold_override")
+
+
+_DIMS_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS dim_no, '{label}' AS dimension, '{prompt}' AS prompt"
+    for i, (label, prompt) in enumerate(__import__("logweave.operators.vectors", fromlist=["x"]).REVIEW_DIMENSIONS))
+
+
+@register("pr_review_questions", _PR_SQL + f""",
+d AS (SELECT pr, string_agg(concat_ws(chr(10), CASE WHEN status = 'added' THEN '--- /dev/null' ELSE '--- a/' || filename END,
+  CASE WHEN status = 'removed' THEN '+++ /dev/null' ELSE '+++ b/' || filename END, CASE WHEN patch <> '' THEN patch END),
+  chr(10) ORDER BY file_no) AS diff FROM f GROUP BY 1)
+SELECT pr, dim_no, dimension, prompt || chr(10) || chr(10) || substr(diff, 1, 2000) AS question
+FROM d, ({_DIMS_SQL}) dims""")
+def pr_review_questions(spark, sf):
+    """VE18: five review questions (fixed dimension prompts + diff excerpt) per pull request."""
+    return review_questions(S.unified_diff(_pr_files(spark, sf)))
+
+
+@register("pr_review_scores")
+def pr_review_scores(spark, sf):
+    """VE18 + VE19 end to end: every PR's five questions (hashed embeddings) search
+    the embedded code chunks (top 5, threshold 0.3); the review score and band
+    come from all sources of the PR."""
+    from ..operators import embed as EM
+    from ..operators import vectors as V
+    q = review_questions(S.unified_diff(_pr_files(spark, sf)))
+    q = EM.embed(q.withColumn("query_id", F.col("pr") * 10 + F.col("dim_no")), "question", "code", 64)
+    ch = EM.embed(view(spark, sf, "v_chunks").select(F.col("chunk_id").alias("item_id"), "chunk_content"),
+                  "chunk_content", "code", 64)
+    hits = V.search(q.select("query_id", "embedding"), ch, 5, 0.3)
+    src = q.select("query_id", "pr").join(hits, "query_id", "left").select(F.col("pr").alias("query_id"), "similarity")
+    return V.review_score(src).withColumnRenamed("query_id", "pr")
