@@ -43,3 +43,33 @@ def test_merges(spark):
     ids = spark.createDataFrame([("r1",)], "repo_id string")
     assert sorted(rows(M.cascade_delete(ch, ids), "id")) == [(2,), (3,)]
     assert sorted(rows(M.cascade_delete(ch, ids, set_null=True), "id", "repo_id")) == [(1, None), (2, "r2"), (3, None)]
+
+
+def test_line_numbers_across_many_splits(spark, tmp_path):
+    lines = [f"line {i:05d} " + "x" * (i % 37) for i in range(6000)]
+    (tmp_path / "big.log").write_text("\n".join(lines) + "\n")
+    (tmp_path / "small.log").write_text("a\nb\nc\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        df = read_log_text(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 10
+        got = {r[0]: r[1] for r in rows(df.filter("service_name = 'big'"), "line_no", "line")}
+        assert got == dict(enumerate(lines))
+        assert sorted(rows(df.filter("service_name = 'small'"), "line_no", "line")) == [(0, "a"), (1, "b"), (2, "c")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_stream_otlp_whole_files(spark, tmp_path):
+    import json
+    from logweave.streaming import streams as ST
+    for k in range(2):
+        payload = {"resourceLogs": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": f"s{k}"}}]},
+                                     "scopeLogs": [{"logRecords": [{"body": {"stringValue": f"m{j} ERROR"}}
+                                                                   for j in range(3)]}]}]}
+        (tmp_path / f"p{k}.json").write_text(json.dumps(payload, indent=2))
+    out, _, _ = ST.run_available(ST.stream_otlp(spark, str(tmp_path), wholetext=True)
+                                 .select("service_name", "message", "level"), "t-otlp")
+    got = sorted(rows(out))
+    assert len(got) == 6 and got[0] == ("s0", "m0 ERROR", "ERROR")
