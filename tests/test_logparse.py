@@ -105,3 +105,15 @@ def test_json_lines(spark):
     assert r[3]["message"] == "not json ERROR here" and r[3]["metadata_json"] is None
     assert (r[4]["file_reference"], r[4]["line_reference"], r[4]["parsed_error"]) == ("m.py", 3, "E")
     assert naive(r[4]["ts"]) == dt.datetime(2024, 1, 2, 3, 4, 5)
+
+
+def test_blocks_across_line_chunks(spark):
+    n = 140_000   # spans three 65 536-line chunks
+    lines = [f"2024-01-01 00:00:00 INFO step {i}" if i % 7 == 0 or i in (65_535, 65_536) else f"  frame {i}"
+             for i in range(n)]
+    df = spark.createDataFrame([(1, "\n".join(lines), "svc", "raw")], "doc_id long, text string, service_name string, source string")
+    e = S.parse_log_lines(S.split_text(df))
+    got = {r[0]: r[1] for r in e.select("entry_no", F.size(F.split("message", "\n"))).collect()}
+    starts = [i for i, l in enumerate(lines) if not l.startswith("  ")]
+    want = {s: (starts[k + 1] if k + 1 < len(starts) else n) - s for k, s in enumerate(starts)}
+    assert got == want
