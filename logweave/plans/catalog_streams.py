@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..streaming import streams as ST
 from ..sources.tables import table
 from .catalog_graph import pair_events as _pair_events  # noqa: F401  (same oracle text)
-from .catalog_logs import _dedup_sql, _rate_sql
+from .catalog_logs import _CONCEPT_SQL, _dedup_sql, _rate_sql
 from .catalog_otlp import _BAND, _MSG, events_as_otlp
 from .registry import ORACLES, ntz, register
 from .views import VIEW_SQL, duck_view_sql
@@ -50,8 +50,8 @@ def _latest_batches(batch, batch_id, out):
     batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out + "/data")
 
 
-@register("stream_concept_counts", f"""WITH kept AS ({duck_view_sql('v_logs')})""" + __import__(
-    "logweave.plans.catalog_logs", fromlist=["_CONCEPT_SQL"])._CONCEPT_SQL + "SELECT concept_id, bucket, n FROM hist")
+@register("stream_concept_counts", f"""WITH kept AS ({duck_view_sql('v_logs')})""" + _CONCEPT_SQL
+          + "SELECT concept_id, bucket, n FROM hist")
 def stream_concept_counts(spark, sf):
     """SS4: hourly concept counts from a stream (update mode, last version per key)."""
     s = ST.stream_concepts(_logs_stream(spark, sf))

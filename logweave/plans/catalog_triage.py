@@ -8,7 +8,7 @@ from ..functions.text import WS_CLASS
 from ..operators import questions as Q
 from ..operators import stats as S
 from ..operators import triage as T
-from ..operators.vectors import review_questions
+from ..operators.vectors import REVIEW_DIMENSIONS, review_questions
 from ..sources.tables import table
 from .catalog_deps import _DEP_SQL, _dep_rollup
 from .catalog_vectors import _CODE_ITEMS, _items
@@ -277,7 +277,7 @@ def plan_questions(spark, sf):
 
 _DIMS_SQL = " UNION ALL ".join(
     f"SELECT {i} AS dim_no, '{label}' AS dimension, '{prompt}' AS prompt"
-    for i, (label, prompt) in enumerate(__import__("logweave.operators.vectors", fromlist=["x"]).REVIEW_DIMENSIONS))
+    for i, (label, prompt) in enumerate(REVIEW_DIMENSIONS))
 
 
 @register("pr_review_questions", _PR_SQL + f""",
