@@ -93,3 +93,16 @@ def stitch_summaries(summaries: DataFrame, group: str, order: str, summary: str
                                                                   F.col(summary).alias("t")))).alias("_xs"))
     return g.select(group, "n_summaries", F.when(F.col("n_summaries") == 1, F.col("_xs")[0]["t"]).otherwise(
         F.array_join(F.transform("_xs", lambda x: x["s"]), "\n\n---\n\n")).alias("summary"))
+
+
+def history_window(turns: DataFrame, n: int = 10, conv: str = "conv_id", turn: str = "turn",
+                   role: str = "role", text: str = "text") -> DataFrame:
+    """VE20: the last ``n`` turns of every conversation, oldest first, as one
+    ordered history (a bounded list of ``n`` entries) plus its text form."""
+    w = Window.partitionBy(conv).orderBy(F.col(turn).desc())
+    last = turns.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    g = last.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("role"),
+                                                                      F.col(text).alias("content")))).alias("_h"))
+    return g.select(conv, F.size("_h").alias("n_turns"),
+                    F.array_join(F.transform("_h", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n")
+                    .alias("history"))

@@ -256,3 +256,13 @@ def format_context(spark, sf):
     h = V.search(_queries(spark, sf), _code_items(spark, sf), 5, 0.3,
                  cols=["file_path", "start_line", "end_line", "language", "chunk_content"])
     return fc(h.withColumnRenamed("chunk_content", "content"), "query_id", "rank")
+
+
+@register("conversation_history", """
+SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 10
+GROUP BY conv_id""")
+def conversation_history(spark, sf):
+    """VE20: each conversation's last 10 turns as one ordered history text."""
+    from ..operators.context import history_window as hw
+    return hw(table(spark, sf, "conversations"), 10)
