@@ -32,3 +32,13 @@ def test_only_the_dedup_fold_is_python(spark, name):
     # the dedup fold (read by the rate limit's count and join) is the only Python step
     assert "MapInArrow" in plan
     assert not any(n in plan for n in PYTHON_NODES if n not in ("MapInArrow", "PythonMapInArrow"))
+
+
+def test_queries_configure_a_foreign_session(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        E.queries()["log_stats"](spark, SF_SMALL)
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
