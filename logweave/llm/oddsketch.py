@@ -1,23 +1,27 @@
 """Near-dedup with MinHash bands and odd sketches.
 
 Each document is a set of word shingles (A-Z lower-cased; runs of ``words`` words; the
-whole sequence where there are fewer). One Arrow pass gives it a MinHash of ``bands`` x
-``rows`` samples, whose bands are the blocking keys, and an *odd sketch*: every sample
-flips one bit of a bitmap, so equal samples cancel when two bitmaps are XORed, and the
-population count of the XOR estimates how many samples differ.
+whole sequence where there are fewer). One Arrow pass gives it
+
+* a MinHash of ``bands`` x ``rows`` samples, whose bands are the blocking keys;
+* an *odd sketch*: each of its ``SAMPLES`` smallest shingle hashes (bottom-k MinHash
+  samples; the whole set of a shorter document) flips one bit of a parity bitmap, so equal
+  samples cancel when two bitmaps are XORed, and the population count of the XOR is at
+  most the number of samples that differ, and close to it.
 
 1. Documents with equal sets form a class; only its smallest id goes on.
 2. In each band bucket every member is paired with the smallest id (a star, not all pairs).
-3. Odd sketches drop pairs whose estimate is far below the threshold (``SIGMAS``
-   standard deviations); the rest are confirmed on their full sets.
+3. Odd sketches drop pairs that differ too much for the similarity. Where both samples are
+   whole sets this is a proof, else it allows ``SIGMAS`` standard deviations. The rest are
+   confirmed on their full sets.
 4. Confirmed links give components. Buckets that still hold several components are
-   searched again, by all pairs *between* components, compared by sketch in blocks of
-   bounded size inside a task; only pairs that pass leave it, and are confirmed as before.
-   So no link between two members of a bucket is lost, and members of one large group,
-   already joined by their stars, cost nothing.
+   searched again, *between* components only, by sketch, in blocks of bounded size inside
+   a task; only pairs that pass leave it, and are confirmed as before. So no link between two
+   members of a bucket is lost, and members of a large group, already joined by their
+   stars, are not compared with each other.
 
 A pair at the threshold shares no bucket with probability (1 - t ** rows) ** bands: below
-1e-5 for the default bands. Similarity is confirmed exactly, as ``100 * common >= percent *
+1e-5 for the parameters used. Similarity is confirmed exactly, as ``100 * common >= percent *
 union``; shingles are compared by 64-bit hashes.
 
 Hot buckets and hubs: star centres are partial aggregates and plain joins, which
@@ -43,9 +47,9 @@ from .common import (BASE_A, RabinKarp, Words, blocks, id_text, join_on, list_ar
                      text_buffers)
 from .components import components
 
-#: Bits of an odd sketch.
-SKETCH_BITS = 512
-#: Standard deviations below the threshold at which a pair's estimate is dropped.
+#: Samples of an odd sketch and its bits.
+SAMPLES, SKETCH_BITS = 2048, 2048
+#: Standard deviations that the estimate of sampled pairs may lie off.
 SIGMAS = 6.0
 #: Members of one block when a bucket's components are compared.
 CELL_ROWS = 2000
@@ -91,21 +95,21 @@ def minhash(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """(documents, bits / 64): the parity of the samples that fall on each bit."""
-    n, k = samples.shape
-    keys = mix(samples.astype(np.uint64) + (np.arange(1, k + 1, dtype=np.uint64) << np.uint64(32)))
-    bit = (keys % np.uint64(SKETCH_BITS)).astype(np.int64)
-    flips = np.bincount((bit + np.arange(n)[:, None] * SKETCH_BITS).ravel(), minlength=n * SKETCH_BITS)
-    odd = (flips & 1).astype(np.uint8).reshape(n, SKETCH_BITS)
-    return np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
+def odd_sketch(x: np.ndarray) -> np.ndarray:
+    """The parity of the smallest hashes that fall on each bit; ``x`` is sorted."""
+    bit = (mix(x[:SAMPLES]) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def most_bits(threshold: float, samples: int) -> int:
-    """The XOR population count above which a pair is surely below the threshold."""
-    differ = samples * (1 - threshold) + SIGMAS * np.sqrt(samples * threshold * (1 - threshold))
-    expected = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ))
-    return int(np.ceil(expected + SIGMAS / 2 * np.sqrt(expected / 2)))
+def sampled_bits(percent: int) -> int:
+    """Largest XOR population count that a pair of similar sets gives when at
+    least one of them has more hashes than samples: at most 2 k (1 - t) of the
+    samples differ on average, whatever the sizes."""
+    t = percent / 100
+    differ = 2 * SAMPLES * (1 - t) + SIGMAS * np.sqrt(2 * SAMPLES * t * (1 - t))
+    expected = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differ)
+    return int(np.ceil(expected + SIGMAS * np.sqrt(SKETCH_BITS) / 4))
 
 
 def _sketch(words: int, bands: int, rows: int):
@@ -119,22 +123,23 @@ def _sketch(words: int, bands: int, rows: int):
                 n = len(s)
                 size, one, two = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 samples = np.zeros((n, bands * rows), np.uint32)
+                odd = np.zeros((n, SKETCH_BITS // 64), np.uint64)
                 for k in range(n):
                     x = s.of(k)
                     size[k] = len(x)
                     if len(x):
                         one[k], two[k] = x.sum(dtype=np.uint64), mix(x).sum(dtype=np.uint64)
                         samples[k] = minhash(x, a, b)
+                        odd[k] = odd_sketch(x)
                 terms = mix((samples.astype(np.uint64) + np.uint64(1)) * salt)
                 keys = mix(terms.reshape(n, bands, rows).sum(axis=2, dtype=np.uint64)
                            + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 full = np.flatnonzero(size)
                 per = np.where(size > 0, bands, 0)
-                odd = odd_sketches(samples)
                 yield pa.RecordBatch.from_arrays(
                     [rb.column(0).slice(i, j - i), pa.array(size), pa.array(signed(one)), pa.array(signed(two)),
                      list_array(signed(np.ascontiguousarray(keys[full]).ravel()), per, pa.int64()),
-                     list_array(signed(np.ascontiguousarray(odd).ravel()), np.full(n, odd.shape[1]), pa.int64())],
+                     list_array(signed(odd.ravel()), np.full(n, odd.shape[1]), pa.int64())],
                     ["_id", "n_shingles", "_s1", "_s2", "_bands", "_odd"])
     return run
 
@@ -152,14 +157,19 @@ def _sets(words: int):
     return run
 
 
-def _differing(words64: int) -> Column:
-    out = None
-    for i in range(words64):
-        c = F.bit_count(F.col("_oa")[i].bitwiseXOR(F.col("_ob")[i]))
-        out = c if out is None else out + c
+def _differing() -> Column:
+    """XOR population count of the bitmaps _oa and _ob."""
+    out = F.lit(0)
+    for i in range(SKETCH_BITS // 64):
+        out = out + F.bit_count(F.col("_oa")[i].bitwiseXOR(F.col("_ob")[i]))
     return out
 
 
+def _bits_allowed(na: Column, nb: Column, percent: int) -> Column:
+    exact = F.floor((na + nb) * (100 - percent) / (100 + percent))
+    return F.when(F.greatest(na, nb) <= SAMPLES, exact).otherwise(sampled_bits(percent))
+
+
 def _large_enough(na: Column, nb: Column, percent: int) -> Column:
     """The smaller set is large enough for the similarity at all."""
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
@@ -179,27 +189,31 @@ def _confirmed(pairs: DataFrame, src: DataFrame, kind: str, words: int, percent:
             .filter(F.col("c") * 100 >= (F.col("n") - F.col("c")) * percent).select("a", "b")
 
 
-def _between_components(percent: int, limit: int):
+def _between_components(percent: int):
     """Pairs of one cell whose components differ and whose sketches are close."""
+    sampled = sampled_bits(percent)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_id", "_side"], kind="stable", ignore_index=True)
+        pdf = pdf.drop_duplicates("_id").sort_values(["_comp", "_id"], kind="stable", ignore_index=True)
         odd = np.stack(pdf["_odd"].to_numpy()).view(np.uint64)
         comp, size = pdf["_comp"].to_numpy(), pdf["n_shingles"].to_numpy()
         ids, side = pdf["_id"].to_numpy(), pdf["_side"].to_numpy()
         same_block = pdf["_diagonal"].iloc[0]
-        out_a, out_b = [], []
-        for i in range(len(pdf) - 1):
-            ok = (comp[i + 1:] != comp[i]) & (ids[i + 1:] != ids[i])
-            ok &= np.minimum(size[i + 1:], size[i]) * 100 >= np.maximum(size[i + 1:], size[i]) * percent
+        out_a, out_b = [ids[:0]], [ids[:0]]
+        ends = np.searchsorted(comp, comp, side="right")
+        for i, end in enumerate(ends.tolist()):  # the members of later components
+            other = size[end:]
+            ok = np.minimum(other, size[i]) * 100 >= np.maximum(other, size[i]) * percent
             if not same_block:
-                ok &= side[i + 1:] != side[i]
-            j = np.flatnonzero(ok) + i + 1
+                ok &= side[end:] != side[i]
+            j = np.flatnonzero(ok) + end
             if len(j):
-                j = j[np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1) <= limit]
+                most = np.where(np.maximum(size[j], size[i]) <= SAMPLES,
+                                (size[j] + size[i]) * (100 - percent) // (100 + percent), sampled)
+                j = j[np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1) <= most]
                 out_a.append(np.full(len(j), ids[i]))
                 out_b.append(ids[j])
-        cat = (lambda x: np.concatenate(x) if x else np.zeros(0, np.int64))
-        return pd.DataFrame({"a": cat(out_a), "b": cat(out_b)})
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
     return run
 
 
@@ -208,7 +222,6 @@ def near_dedup(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 30
     """(``id_col``, n_shingles, component_id, kept) for every row; integer ids."""
     spark = prepare(df.sparkSession)
     src = id_text(df, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
-    limit = most_bits(percent / 100, bands * rows)
     all_docs = scratch(src.mapInArrow(
         _sketch(words, bands, rows), "_id bigint, n_shingles bigint, _s1 bigint, _s2 bigint, "
         "_bands array<bigint>, _odd array<bigint>"), "sketches")
@@ -230,7 +243,7 @@ def near_dedup(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 30
     screened = stars.join(light.select(F.col("_id").alias("a"), F.col("n_shingles").alias("_na"), F.col("_odd").alias("_oa")), "a") \
                     .join(light.select(F.col("_id").alias("b"), F.col("n_shingles").alias("_nb"), F.col("_odd").alias("_ob")), "b") \
                     .filter(_large_enough(F.col("_na"), F.col("_nb"), percent)) \
-                    .filter(_differing(SKETCH_BITS // 64) <= limit).select("a", "b")
+                    .filter(_differing() <= _bits_allowed(F.col("_na"), F.col("_nb"), percent)).select("a", "b")
     links = _confirmed(screened, src, "bigint", words, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     links = scratch(links, "links")
     comp = scratch(components(links), "components")
@@ -246,9 +259,8 @@ def near_dedup(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 30
         .select("_key", "_id", "_comp", "_side", F.least("_side", "_other").alias("_lo"), F.greatest("_side", "_other").alias("_hi")) \
         .join(light, "_id") \
         .select("_key", "_lo", "_hi", "_id", "_comp", "_side", (F.col("_lo") == F.col("_hi")).alias("_diagonal"), "n_shingles", "_odd")
-    more = open_rows.groupBy("_key", "_lo", "_hi").applyInPandas(_between_components(percent, limit), "a bigint, b bigint") \
-                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() \
-                    .join(screened_pairs(stars), ["a", "b"], "left_anti")
+    more = open_rows.groupBy("_key", "_lo", "_hi").applyInPandas(_between_components(percent), "a bigint, b bigint") \
+                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more_links = _confirmed(more, src, "bigint", words, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     hooks = comp.filter("id != component").select(F.col("component").alias("u"), F.col("id").alias("v"))
     final = scratch(components(hooks.unionByName(more_links).unionByName(same)), "components")
@@ -257,7 +269,3 @@ def near_dedup(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 30
     return out.select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("component", "_id").alias("component_id"),
                       (F.coalesce("component", "_id").eqNullSafe(F.col("_id"))).alias("kept"))
 
-
-def screened_pairs(stars: DataFrame) -> DataFrame:
-    """Pairs the stars have already decided."""
-    return stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
