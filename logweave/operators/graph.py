@@ -11,6 +11,8 @@ signal) -> confirmed_cause (only by a human confirmation).
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,11 +149,12 @@ def edges_at_least(edges: DataFrame, level: str = "observed") -> DataFrame:
 
 
 def confirm(edges: DataFrame, confirmations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """CG8: edges at correlates_with / probable_cause named by a confirmation become
-    confirmed_cause with confidence 1; returns (edges, not_found confirmations)."""
+    """CG8: edges not yet confirmed (observed, correlates_with, probable_cause) that a
+    confirmation names become confirmed_cause with confidence 1; returns (edges,
+    not_found confirmations)."""
     key = ["source_entity", "target_entity"]
     c = confirmations.dropDuplicates(key).select(*key, F.col("confirmed_by").alias("_by"))
-    eligible = F.col("promotion_level").isin("correlates_with", "probable_cause")
+    eligible = F.col("promotion_level").isin("observed", "correlates_with", "probable_cause")
     j = edges.join(c, key, "left").withColumn("_hit", eligible & F.col("_by").isNotNull())
     hit = F.col("_hit")
     out = j.withColumn("promotion_level", F.when(hit, F.lit("confirmed_cause")).otherwise(F.col("promotion_level"))) \
@@ -168,11 +171,12 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def topology_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 6, exclude_self_edge: bool = False) -> DataFrame:
+def topology_path(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None, exclude_self_edge: bool = False) -> DataFrame:
     """CG7: shortest undirected path between two entities, as a node list
     (the lexicographically smallest among equally short ones). Level-synchronous
     BFS for all pairs at once; visited rows are removed with an anti join and
-    each hop is checkpointed. ``exclude_self_edge`` ignores the direct edge of
+    each hop is checkpointed. The search ends when the frontier is empty, or after
+    ``max_depth`` hops if that is given. ``exclude_self_edge`` ignores the direct edge of
     the pair being tested."""
     und = edges.select(F.col("source_entity").alias("a"), F.col("target_entity").alias("b")) \
         .unionByName(edges.select(F.col("target_entity").alias("a"), F.col("source_entity").alias("b"))).distinct()
@@ -181,7 +185,7 @@ def topology_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 6, exclud
     frontier = p.select("src", "dst", F.col("src").alias("node"), F.array(F.col("src")).alias("path"))
     visited = frontier.select("src", "dst", "node")
     found = None
-    for _ in range(max_depth):
+    for _ in itertools.count() if max_depth is None else range(max_depth):
         step = frontier.join(und, frontier["node"] == und["a"])
         if exclude_self_edge:
             step = step.filter(~(((F.col("node") == F.col("src")) & (F.col("b") == F.col("dst")))

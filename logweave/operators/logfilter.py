@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import INGEST_RANK, ingest_rank
+from .ordering import join_null_safe
 
 TRUNCATION_MARKER = "… [truncated]"  # fixed value
 
@@ -129,23 +130,38 @@ def rate_flag(df: DataFrame, service: str, ts: str, n: int, order: str, out: str
     A hot (service, hour) group is split into minute sub-buckets: per-minute
     counts give each bucket its offset in the hour, and rows are ranked only
     inside their minute, so no task ranks a whole hot group; buckets wholly
-    inside or outside the budget are decided by their offset alone.
+    inside or outside the budget are decided by their offset alone. A row without
+    a time is kept and counts for no hour.
     """
     if n is None or n <= 0:
         return df.withColumn(out, F.lit(True))
+    x, flag = _rate_ranked(df, service, ts, n, order, F.lit(True))
+    return x.withColumn(out, flag).drop(*_RATE_COLS)
+
+
+_RATE_COLS = ["_svc", "_hour", "_min", "_n", "_off"]
+
+
+def _rate_ranked(df: DataFrame, service: str, ts: str, n: int, order: str, counted: Column) -> tuple[DataFrame, Column]:
+    """Rows with their minute's offset in the hour, and the column that says
+    whether a row is within the budget; only ``counted`` rows use it up, and a row
+    without a time is within it and uses nothing."""
     svc = F.coalesce(F.lower(F.col(service)), F.lit(""))
     x = df.withColumn("_svc", svc).withColumn("_hour", F.date_trunc("hour", F.col(ts))) \
           .withColumn("_min", F.date_trunc("minute", F.col(ts)))
     # one shuffle by minute bucket, read by both the counts and the join back
     x = x.repartition("_svc", "_hour", "_min")
-    counts = x.groupBy("_svc", "_hour", "_min").agg(F.count(F.lit(1)).alias("_n"))
+    uses = (counted & F.col(ts).isNotNull()).cast("int")
+    counts = x.groupBy("_svc", "_hour", "_min").agg(F.sum(uses).alias("_n"))
     wc = Window.partitionBy("_svc", "_hour").orderBy("_min").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wc), F.lit(0)))
-    x = x.join(counts, ["_svc", "_hour", "_min"])
-    wr = Window.partitionBy("_svc", "_hour", "_min").orderBy(F.col(ts), F.col(order))
-    flag = F.when(F.col("_off") + F.col("_n") <= n, F.lit(True)).when(F.col("_off") >= n, F.lit(False)) \
-            .otherwise(F.col("_off") + F.row_number().over(wr) <= n)
-    return x.withColumn(out, flag).drop("_svc", "_hour", "_min", "_n", "_off")
+    x = join_null_safe(x, counts, ["_svc", "_hour", "_min"])
+    wr = Window.partitionBy("_svc", "_hour", "_min").orderBy(F.col(ts), F.col(order)) \
+               .rowsBetween(Window.unboundedPreceding, 0)
+    flag = F.when(F.col(ts).isNull(), F.lit(True)) \
+            .when(F.col("_off") + F.col("_n") <= n, F.lit(True)).when(F.col("_off") >= n, F.lit(False)) \
+            .otherwise(F.col("_off") + F.sum(uses).over(wr) <= n)
+    return x, flag
 
 
 def rate_limit(df: DataFrame, service: str, ts: str, n: int, order: str) -> DataFrame:
@@ -180,23 +196,32 @@ def filter_logs(df: DataFrame, cfg: FilterConfig = FilterConfig(), *, id_col: st
     ``reasons`` has (reason, n) and also counts truncated messages (not dropped).
     Dedup and rate limit see only the survivors of the stages before them.
     """
+    tagged = filter_reasons(df, cfg, id_col=id_col, ts=ts, level=level, service=service, message=message)
+    kept = truncate_messages(tagged.filter(F.col("_reason").isNull()).drop("_reason"), cfg.max_message_length, message)
+    cut = F.col("_reason").isNull() & (F.length(message) > cfg.max_message_length)
+    reasons = (tagged.select(F.when(cut, F.lit("truncated")).otherwise(F.col("_reason")).alias("reason"))
+               .filter(F.col("reason").isNotNull())
+               .groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+    return kept, reasons
+
+
+def filter_reasons(df: DataFrame, cfg: FilterConfig = FilterConfig(), *, id_col: str = "log_id", ts: str = "ts",
+                   level: str = "level", service: str = "service_name", message: str = "message") -> DataFrame:
+    """Every input row with ``_reason``: why the waterfall drops it, null for a kept
+    one. One dedup fold and one rate count serve both the kept rows and the reasons."""
     gated = df.withColumn(
         "_reason",
         F.when(severity_gate_flag(F.col(level), cfg.min_severity), F.lit("below_severity"))
          .when(allow_flag(F.col(service), cfg.allowed_services), F.lit("service_not_allowed")))
-    dropped12 = gated.filter(F.col("_reason").isNotNull())
-    s12 = gated.filter(F.col("_reason").isNull()).drop("_reason")
+    passing = gated.filter(F.col("_reason").isNull()).drop("_reason")
     key = [F.coalesce(F.lower(F.col(service)), F.lit("")), F.coalesce(F.col(message), F.lit(""))]
-    d = dedup_flag(s12, key, ts, cfg.dedup_seconds, id_col, out="_kept")
-    s3 = d.filter("_kept").drop("_kept")
-    r = rate_flag(s3, service, ts, cfg.rate_limit, id_col, out="_kept")
-    kept = truncate_messages(r.filter("_kept").drop("_kept"), cfg.max_message_length, message)
-    reasons = (dropped12.select("_reason")
-               .unionByName(d.filter(~F.col("_kept")).select(F.lit("duplicate").alias("_reason")))
-               .unionByName(r.filter(~F.col("_kept")).select(F.lit("rate_limited").alias("_reason")))
-               .unionByName(kept.filter("truncated").select(F.lit("truncated").alias("_reason")))
-               .groupBy(F.col("_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n")))
-    return kept, reasons
+    d = dedup_flag(passing, key, ts, cfg.dedup_seconds, id_col, out="_kept")
+    if cfg.rate_limit and cfg.rate_limit > 0:
+        d, within = _rate_ranked(d, service, ts, cfg.rate_limit, id_col, F.col("_kept"))
+    else:
+        within = F.lit(True)
+    d = d.withColumn("_reason", F.when(~F.col("_kept"), F.lit("duplicate")).when(~within, F.lit("rate_limited")))
+    return gated.filter(F.col("_reason").isNotNull()).unionByName(d.select(*df.columns, "_reason"))
 
 
 def ingest_summary(kept: DataFrame, reasons: DataFrame, level: str = "level") -> DataFrame:

@@ -13,6 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null, so rows with a null key (no time, no
+    author) stay; the keys come from ``left``."""
+    r = right
+    for i, k in enumerate(keys):
+        r = r.withColumnRenamed(k, f"_ns{i}")
+    cond = left[keys[0]].eqNullSafe(r["_ns0"])
+    for i, k in enumerate(keys[1:], 1):
+        cond = cond & left[k].eqNullSafe(r[f"_ns{i}"])
+    return left.join(r, cond, how).drop(*[f"_ns{i}" for i in range(len(keys))])
+
+
 def running_sums(df: DataFrame, keys: list[str], order: list, chunk: Column, values: dict[str, Column]) -> DataFrame:
     """Add ``name = sum(value) over (partition by keys order by order rows
     unbounded preceding .. current)`` for every ``name: value``. ``chunk`` must
@@ -27,7 +39,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list, chunk: Column, val
     for name in values:
         tot = tot.withColumn(f"_off_{name}", F.coalesce(F.sum(f"_ct_{name}").over(wc), F.lit(0)))
     tot = tot.drop(*[f"_ct_{name}" for name in values])
-    x = x.join(tot, [*keys, "_chunk"])
+    x = join_null_safe(x, tot, [*keys, "_chunk"])
     for name in values:
         x = x.withColumn(name, F.col(f"_off_{name}") + F.col(f"_rs_{name}")).drop(f"_off_{name}", f"_rs_{name}")
     return x.drop("_chunk")
@@ -44,7 +56,7 @@ def chunked_lag(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     last = x.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(*[F.col(c) for c in cols]), okey).alias("_last"))
     wc = Window.partitionBy(*keys).orderBy("_chunk")
     last = last.withColumn("_carry", F.lag("_last").over(wc)).drop("_last")
-    x = x.join(last, [*keys, "_chunk"])
+    x = join_null_safe(x, last, [*keys, "_chunk"])
     first_in_chunk = F.row_number().over(w) == 1
     for c in cols:
         x = x.withColumn(prefix + c, F.when(first_in_chunk, F.col("_carry")[c]).otherwise(F.lag(c).over(w)))

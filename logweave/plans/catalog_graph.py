@@ -104,17 +104,18 @@ def pair_events(spark, sf):
 _CONF = """,
 cf AS (SELECT source_entity, target_entity, 'oncall@example.org' AS confirmed_by FROM edges
        WHERE source_entity LIKE 'error-%'
-       UNION SELECT target_entity, source_entity, 'oncall@example.org' FROM edges WHERE source_entity LIKE 'error-%'),
+       UNION SELECT target_entity, source_entity, 'oncall@example.org' FROM edges WHERE source_entity LIKE 'error-%'
+       UNION SELECT source_entity, 'gone-' || target_entity, 'oncall@example.org' FROM edges WHERE source_entity LIKE 'error-%'),
 cj AS (SELECT e.*, cf.confirmed_by AS cby FROM edges e LEFT JOIN cf USING (source_entity, target_entity))"""
 
 
 @register("confirm_edges", f"WITH {_LADDER_SQL}{_CONF}" + """
 SELECT source_entity, target_entity,
-  CASE WHEN cby IS NOT NULL AND promotion_level IN ('correlates_with', 'probable_cause') THEN 'confirmed_cause'
+  CASE WHEN cby IS NOT NULL AND promotion_level IN ('observed', 'correlates_with', 'probable_cause') THEN 'confirmed_cause'
        ELSE promotion_level END AS promotion_level,
-  round(CAST(CASE WHEN cby IS NOT NULL AND promotion_level IN ('correlates_with', 'probable_cause') THEN 1.0
+  round(CAST(CASE WHEN cby IS NOT NULL AND promotion_level IN ('observed', 'correlates_with', 'probable_cause') THEN 1.0
        ELSE confidence END AS DOUBLE), 4) AS confidence,
-  CASE WHEN cby IS NOT NULL AND promotion_level IN ('correlates_with', 'probable_cause') THEN cby END AS confirmed_by
+  CASE WHEN cby IS NOT NULL AND promotion_level IN ('observed', 'correlates_with', 'probable_cause') THEN cby END AS confirmed_by
 FROM cj""")
 def confirm_edges(spark, sf):
     """CG8: confirm edges out of error entities (and their reverses, which may not exist)."""
@@ -129,13 +130,14 @@ def _confirmations(e):
     err = e.filter(F.col("source_entity").startswith("error-"))
     fwd = err.select("source_entity", "target_entity")
     rev = err.select(F.col("target_entity").alias("source_entity"), F.col("source_entity").alias("target_entity"))
-    return fwd.unionByName(rev).distinct().withColumn("confirmed_by", F.lit("oncall@example.org"))
+    gone = err.select("source_entity", F.concat(F.lit("gone-"), "target_entity").alias("target_entity"))
+    return fwd.unionByName(rev).unionByName(gone).distinct().withColumn("confirmed_by", F.lit("oncall@example.org"))
 
 
 @register("confirm_not_found", f"WITH {_LADDER_SQL}{_CONF}" + """
 SELECT source_entity, target_entity, confirmed_by FROM cf WHERE NOT EXISTS (
   SELECT 1 FROM edges e WHERE e.source_entity = cf.source_entity AND e.target_entity = cf.target_entity
-  AND e.promotion_level IN ('correlates_with', 'probable_cause'))""")
+  AND e.promotion_level IN ('observed', 'correlates_with', 'probable_cause'))""")
 def confirm_not_found(spark, sf):
     """CG8: confirmations that match no confirmable edge."""
     e = _edges(spark, sf)
@@ -324,11 +326,11 @@ def deployment_edges(spark, sf):
 _STRICT_SQL = "WITH RECURSIVE " + _LADDER_SQL[1:].replace("edges AS (SELECT", "edges0 AS (SELECT") + f""",
 und AS (SELECT source_entity AS a, target_entity AS b FROM edges0 UNION SELECT target_entity, source_entity FROM edges0),
 pr AS (SELECT DISTINCT source_entity AS src, target_entity AS dst FROM edges0),
-walk(src, dst, node, d) AS (
-  SELECT src, dst, src, 0 FROM pr
+walk(src, dst, node) AS (
+  SELECT src, dst, src FROM pr
   UNION
-  SELECT w.src, w.dst, u.b, w.d + 1 FROM walk w JOIN und u ON u.a = w.node
-  WHERE w.d < 2 AND w.node <> w.dst
+  SELECT w.src, w.dst, u.b FROM walk w JOIN und u ON u.a = w.node
+  WHERE w.node <> w.dst
     AND NOT ((w.node = w.src AND u.b = w.dst) OR (w.node = w.dst AND u.b = w.src))),
 hp AS (SELECT DISTINCT src, dst FROM walk WHERE node = dst)
 SELECT e.source_entity, e.target_entity, e.incident_count,
@@ -342,9 +344,9 @@ FROM edges0 e JOIN j USING ({_K}) LEFT JOIN hp ON hp.src = e.source_entity AND h
 @register("edge_rollup_strict", _STRICT_SQL)
 def edge_rollup_strict(spark, sf):
     """CG5 / Q3 meaningful mode: probable_cause needs a path between the two
-    entities that does not use the edge itself (undirected, up to 2 hops)."""
+    entities that does not use the edge itself (undirected, of any length)."""
     e0 = G._cut(G.rollup_edges(view(spark, sf, "v_edges")))
-    topo = G.topology_path(e0, e0, max_depth=2, exclude_self_edge=True)
+    topo = G.topology_path(e0, e0, exclude_self_edge=True)
     e = G.rollup_edges(view(spark, sf, "v_edges"), topology=topo)
     return e.select("source_entity", "target_entity", "incident_count", "promotion_level",
                     r4("confidence").alias("confidence"))

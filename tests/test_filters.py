@@ -77,3 +77,34 @@ def test_dedup_rows_without_time_are_kept(spark):
             (4, t0 + dt.timedelta(seconds=10), "s", "E", "m"), (5, t0 + dt.timedelta(seconds=70), "s", "E", "m")]
     kept = L.dedup_window(logs(spark, data), ["service_name", "message"], "ts", 60, "log_id")
     assert sorted(r[0] for r in rows(kept, "log_id")) == [1, 2, 3, 5]
+
+
+def test_waterfall_conserves_rows(spark):
+    """Null times and services, repeats, a full hour and long messages: every input
+    row is either kept or dropped for one reason."""
+    t0 = dt.datetime(2024, 1, 1, 10)
+    sec = lambda s: t0 + dt.timedelta(seconds=s)
+    data = [("s", "ERROR", None, "no time"), ("s", "ERROR", None, "no time"), (None, "ERROR", None, "no service"),
+            ("s", "DEBUG", None, "low"), ("s", "INFO", sec(5), "low"), (None, "ERROR", sec(1), "x"), (None, "ERROR", sec(2), "x"),
+            ("s", "ERROR", sec(3), "y" * 2500)]
+    data += [("busy", "ERROR", sec(i), f"m{i}") for i in range(600)]
+    data += [("busy", "ERROR", sec(i + 1), f"m{i}") for i in range(20)]
+    df = logs(spark, [(i, t, svc, lv, m) for i, (svc, lv, t, m) in enumerate(data)])
+    kept, reasons = L.filter_logs(df)
+    got = dict(rows(reasons, "reason", "n"))
+    assert got == {"below_severity": 2, "duplicate": 21, "rate_limited": 100, "truncated": 1}
+    assert kept.count() + sum(n for r, n in got.items() if r != "truncated") == len(data)
+    ids = {r[0] for r in rows(kept, "log_id")}
+    assert {0, 1, 2, 5, 7} <= ids  # without a time: kept, and counted for no hour
+    assert kept.columns == [*df.columns, "truncated"]
+
+
+def test_running_sums_keep_null_keys(spark):
+    from pyspark.sql import functions as F
+
+    from logweave.operators.ordering import chunked_lag, running_sums
+    df = spark.createDataFrame([("a", 1, 10), ("a", 2, 5), (None, 1, 7), (None, None, 1)], "k string, t int, v int")
+    out = running_sums(df, ["k"], ["t"], F.col("t"), {"total": F.col("v")})
+    assert sorted(rows(out, "v", "total")) == [(1, 1), (5, 15), (7, 8), (10, 10)]
+    lag = chunked_lag(df, ["k"], ["t"], F.col("t"), ["v"])
+    assert sorted(rows(lag, "v", "prev_v"), key=str) == sorted([(10, None), (5, 10), (1, None), (7, 1)], key=str)

@@ -51,8 +51,8 @@ def test_confirm_and_entities(spark):
                               "source_entity string, target_entity string, confirmed_by string")
     out, nf = G.confirm(e, c)
     got = {(r[0], r[1]): (r[2], r[3]) for r in rows(out, "source_entity", "target_entity", "promotion_level", "confidence")}
-    assert got[("a", "b")] == ("confirmed_cause", 1.0) and got[("b", "c")] == ("observed", 0.5)
-    assert sorted(rows(nf, "source_entity")) == [("b",), ("x",)]
+    assert got[("a", "b")] == ("confirmed_cause", 1.0) and got[("b", "c")] == ("confirmed_cause", 1.0)
+    assert sorted(rows(nf, "source_entity")) == [("x",)]
     t = spark.createDataFrame([("pay", "Service", ["p"], ["r1"], "old", {"a": "1"}, False)],
                               "canonical_name string, entity_type string, aliases array<string>, repos array<string>, "
                               "description string, metadata_json map<string,string>, deprecated boolean")
@@ -62,3 +62,11 @@ def test_confirm_and_entities(spark):
     m = G.merge_entities(t, b).first()
     assert m["aliases"] == ["p", "q"] and m["repos"] == ["r1", "r2"] and m["description"] == "old"
     assert m["metadata_json"] == {"a": "2", "b": "3"}
+
+
+def test_path_has_no_depth_limit(spark):
+    chain = [chr(ord("a") + i) for i in range(13)]
+    e = edges(spark, [(x, y, "observed") for x, y in zip(chain, chain[1:])])
+    pair = spark.createDataFrame([("a", "m")], "source_entity string, target_entity string")
+    assert G.topology_path(e, pair).first()["path"] == chain
+    assert G.topology_path(e, pair, max_depth=6).first()["has_path"] is False

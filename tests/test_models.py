@@ -17,6 +17,10 @@ def test_distribution_tails():
     assert abs(GR.f_sf(4.10, 2, 10) - 0.0501) < 5e-4
     assert abs(GR.chi2_sf(3.841, 1) - 0.05) < 5e-4
     assert abs(GR.chi2_sf(20.0, 10) - 0.02925) < 5e-4
+    assert abs(GR.chi2_sf(7.815, 3) - 0.05) < 5e-4
+    # F tables at 5 %: (1, 5) 6.608, (1, 10) 4.965, (3, 7) 4.347, (3, 20) 3.098
+    for f, d1, d2 in ((6.608, 1, 5), (4.965, 1, 10), (4.347, 3, 7), (3.098, 3, 20)):
+        assert abs(GR.f_sf(f, d1, d2) - 0.05) < 5e-4
 
 
 def test_granger_detects_lagged_driver():
