@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import id_text, list_array, prepare, text_buffers
 from .library_tokens import CACHE_MAX_CHARS, Generations, byte_letters, read_vocabulary
 
+#: Unicode's White_Space characters.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed split rules of the two published vocabularies.
-WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BYTE_RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_RULE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+"
+BYTE_RULE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 
 
 def merge_symbols(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -101,7 +103,7 @@ class Codec:
         """Ids of one split."""
         ids = self.runs.get(run)
         if ids is None:
-            chars = run if self.lower and run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+            chars = run if self.lower and run.isascii() and run.isprintable() else run.encode().decode("latin-1").translate(self.letters)
             symbols = [*chars[:-1], chars[-1] + self.suffix]
             known = [self.vocab[c] for c in symbols if c in self.vocab]
             ids = self.runs.new[run] = array("I", merge_symbols(known, self.ranks)).tobytes()
