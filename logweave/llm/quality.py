@@ -9,7 +9,7 @@ language label does no harm; short documents are spared by minimum lengths, sinc
 histograms are noise.
 
 One Arrow pass over the texts writes counts of fixed width; the references are one
-aggregate of a few rows; the judgement is JVM-side arithmetic on those counts.
+aggregate of a few rows; a second Arrow pass judges the counts, not the texts.
 
 Base rules: fewer than ``MIN_WORDS`` words, or more than half of the words in repeated
 3-word windows, fail. Null and empty texts have no words and fail. Without any reference a
@@ -127,17 +127,32 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["_id", "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_chars", "_words"])
 
 
-def _distance(p: Column, p_sum: Column, q: list[float]) -> Column:
-    """Jensen-Shannon distance (root of the divergence, base 2) between the counts
-    ``p`` and the shares ``q``."""
-    ref = F.array(*[F.lit(float(v)) for v in q])
-
-    def term(count: Column, share: Column) -> Column:
-        a = count / p_sum
-        m = (a + share) / 2
-        return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0) + F.when(share > 0, share * F.log2(share / m)).otherwise(0.0)
-    total = F.aggregate(F.zip_with(p, ref, term), F.lit(0.0), lambda x, y: x + y)
-    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
+def distance(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance (root of the divergence, base 2) between each row of
+    counts and each row of shares; the smallest for each row of counts."""
+    p = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    best = np.full(len(p), np.inf)
+    for q in shares:
+        m = (p + q) / 2
+        m[m == 0] = 1
+        total = (p * np.log2(np.where(p > 0, p / m, 1)) + q * np.log2(np.where(q > 0, q / m, 1))).sum(axis=1)
+        best = np.minimum(best, np.sqrt(np.maximum(total / 2, 0)))
+    return best
+
+
+def _distances(chars: np.ndarray, words: np.ndarray):
+    """Distances to the nearest references; null for documents that are too short, or without references."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            out = []
+            for name, refs, least in (("_chars", chars, MIN_CHARS), ("_words", words, MIN_COMMON_WORDS)):
+                counts = rb.column(rb.schema.get_field_index(name)).flatten().to_numpy().reshape(rb.num_rows, -1).astype(float)
+                d = np.round(distance(counts, refs), 6)
+                out.append(pa.array(d, mask=(counts.sum(axis=1) < least) | ~np.isfinite(d)))
+            keep = [c for c in rb.schema.names if c not in ("_chars", "_words")]
+            yield pa.RecordBatch.from_arrays([*(rb.column(rb.schema.get_field_index(c)) for c in keep), *out],
+                                             [*keep, "char_distance", "word_distance"])
+    return run
 
 
 def base_failed() -> Column:
@@ -156,21 +171,12 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
            [F.sum(F.col("_words")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
     # a row for each reference language: their number is fixed
     refs = x.filter(F.col("_lang").isin(sorted(COMMON)) & ~base_failed()).groupBy("_lang").agg(*sums).collect()
-    by_char, by_word = [], []
-    n_chars, n_common = F.aggregate("_chars", F.lit(0).cast("long"), lambda a, b: a + b), \
-        F.aggregate("_words", F.lit(0).cast("long"), lambda a, b: a + b)
-    for r in sorted(refs, key=lambda r: r["_lang"]):
-        c = [r[f"c{i}"] for i in range(CLASSES)]
-        w = [r[f"w{i}"] for i in range(len(WORDS) + 1)]
-        by_char.append(_distance(F.col("_chars"), F.col("_nc"), [v / max(1, sum(c)) for v in c]))
-        by_word.append(_distance(F.col("_words"), F.col("_nw"), [v / max(1, sum(w)) for v in w]))
-
-    def least(options: list[Column]) -> Column:
-        return options[0] if len(options) == 1 else F.least(*options) if options else F.lit(0.0)
-    x = x.withColumn("_nc", n_chars.cast("double")).withColumn("_nw", n_common.cast("double"))
-    x = x.withColumn("char_distance", F.when(F.col("_nc") >= MIN_CHARS, least(by_char))) \
-         .withColumn("word_distance", F.when(F.col("_nw") >= MIN_COMMON_WORDS, least(by_word)))
+    refs = sorted(refs, key=lambda r: r["_lang"])
+    chars = np.array([[r[f"c{i}"] for i in range(CLASSES)] for r in refs], float).reshape(len(refs), CLASSES)
+    words = np.array([[r[f"w{i}"] for i in range(len(WORDS) + 1)] for r in refs], float).reshape(len(refs), len(WORDS) + 1)
+    chars, words = (x / np.maximum(x.sum(axis=1, keepdims=True), 1) for x in (chars, words))
+    x = x.drop("_lang").mapInArrow(_distances(chars, words), f"_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, "
+                                   "n_dup_lines bigint, n_repeat_words bigint, char_distance double, word_distance double")
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return x.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    base_failed().alias("base_failed"), F.round("char_distance", 6).alias("char_distance"),
-                    F.round("word_distance", 6).alias("word_distance"), (~base_failed() & ~far).alias("kept"))
+                    base_failed().alias("base_failed"), "char_distance", "word_distance", (~base_failed() & ~far).alias("kept"))
