@@ -6,8 +6,9 @@ split rule always ends a token run, so the joined ids are those of the whole tex
 
 * the word vocabulary drops white space, so every run of non-space bytes stands alone;
 * the byte vocabulary keeps a space with the word after it: a text may be cut before a
-  space followed by a plain visible character, and around a single newline between two
-  of them. Everything else (runs of white space, unusual scripts) stays in one segment.
+  space or newline followed by a plain visible character, after such a newline, and
+  between a word and the marks that end it. Everything else (runs of white space,
+  unusual scripts) stays in one segment.
 
 The tokenizer file is read on the driver and sent with the tasks (a vocabulary
 file has a fixed size of a few MB).
@@ -31,10 +32,14 @@ CACHE_MAX_CHARS = 48
 
 #: Plain visible characters: none of them is white space in any rule set.
 _VISIBLE = "!-~\u00a1-\u167f\u2c00-\u2fff\u3001-\ud7ff"
-_SEGMENT = re.compile(rf" ?[{_VISIBLE}]+(?=[ \t-\r]|\Z)|\n(?=[{_VISIBLE}])|[\s\S]+?(?= [{_VISIBLE}]+(?:[ \t-\r]|\Z)|\Z)")
+#: Letters of European texts: all of them are letters under both split rules.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_CUT = rf"(?=[ \n][{_VISIBLE}]|\Z)"
+_SEGMENT = re.compile(rf" ?[{_LETTER}]+(?=[.,;:!?]*{_CUT})|[.,;:!?]+{_CUT}|\n(?=[{_VISIBLE}])|"
+                      rf" ?[{_VISIBLE}]+{_CUT}|[\s\S]+?{_CUT}")
 #: A word and the marks after it: two token runs under both split rules, and
 #: letters that normalisation only lower-cases.
-_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+_WORD = re.compile(rf"([{_LETTER}]+)([.,;:!?]*)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -84,19 +89,40 @@ class LibraryTokens:
         """Ids of one letter run, by the library's model (the run is already one split)."""
         v = self.runs.get(letters)
         if v is None:
-            run = letters.lower() if self.kind == "words" else letters
-            if self.kind == "bytes" or not run.isascii():
-                run = run.encode().decode("latin-1").translate(self.stand_in)
-            v = self.runs.new[letters] = array("I", [t.id for t in self.tok.model.tokenize(run)]).tobytes()
+            v = self.runs.new[letters] = self._split(self._symbols(letters.lower()))
         return v
 
+    def _symbols(self, run: str) -> str:
+        return run if run.isascii() else run.encode().decode("latin-1").translate(self.stand_in)
+
+    def _split(self, symbols: str) -> bytes:
+        return array("I", [t.id for t in self.tok.model.tokenize(symbols)]).tobytes()
+
+    def _fill_bytes(self, missing: set) -> list:
+        """As ``_fill``, for the byte vocabulary, where a word is a segment and needs no cache of runs."""
+        young, old, ask, space = self.seen.new, self.seen.old, [], self.stand_in[32]
+        for s in missing:
+            v = old.get(s)
+            if v is None:
+                spaced = s[0] == " "
+                word = s[1:] if spaced else s
+                if len(s) > CACHE_MAX_CHARS or not _WORD.fullmatch(word) or not word.isalpha():
+                    ask.append(s)
+                    continue
+                symbols = self._symbols(word)
+                v = self._split(space + symbols if spaced else symbols)
+            young[s] = v
+        if ask:
+            young.update(zip(ask, self._whole(ask)))
+        return [s for s in ask if len(s) > CACHE_MAX_CHARS]
+
     def _fill(self, missing: set) -> list:
         """Put the ids of missing segments into the young cache; those too long to stay are returned."""
         young, ask, texts = self.seen.new, [], []
         for s in missing:
             v = self.seen.old.get(s)
             if v is None:
-                text = s.decode("utf-8", "replace") if self.kind == "words" else s
+                text = s.decode("utf-8", "replace")
                 if text.isascii() and text.isalpha():
                     young[s] = self._run(text)
                     continue
@@ -131,7 +157,8 @@ class LibraryTokens:
             split = self.segments(t)
             ids = list(map(young.get, split))
             if None in ids:
-                passing = self._fill({s for s, v in zip(split, ids) if v is None})
+                fill = self._fill if self.kind == "words" else self._fill_bytes
+                passing = fill({s for s, v in zip(split, ids) if v is None})
                 ids = map(young.__getitem__, split)
                 out.append(b"".join(ids))
                 for s in passing:

@@ -9,13 +9,15 @@ step for each of its chunks, without decoding its neighbours.
 File format. A token folder is written by Spark's Parquet writer (its commit protocol
 covers lost executors, and any store Spark reaches will do): a row for each segment, in
 ascending (part, segment): ``part`` int, ``segment`` int, ``doc_ids`` array, ``ends``
-array<int> (a document's end in the segment), ``n_tokens`` int, ``codes`` binary.
+array<int> (a document's end in the segment), ``n_tokens`` int, ``before`` bigint (tokens
+of its part before the segment), ``codes`` binary.
 ``codes``, all numbers little-endian unsigned 32-bit: "DAC1", number of levels; then
 each level's number of entries; then for each level its chunks (1 byte each), its
 bitmap (a bit an entry, lowest first, padded to whole 64 bytes) and its directory.
 
 Documents are range-partitioned by id, so parts ascend; segments are bounded in tokens
-(one document at least). Starts come from the segments' totals, without reading codes.
+(one document at least). A part's start comes from the parts' totals: a row for each
+writing task, which is few enough to broadcast, so that codes are read without a shuffle.
 Null texts count as empty; a null id comes first; repeated ids keep their rows in text order.
 """
 
@@ -112,7 +114,7 @@ def _write(spec: str, kind: str, end: bytes):
         from pyspark import TaskContext
         part, segment = TaskContext.get().partitionId(), 0
         tok = loaded(spec, kind)
-        doc_ids, ends, held, n = [], [], [], 0
+        doc_ids, ends, held, n, before = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             codes = encode_codes(np.frombuffer(b"".join(held), "<u4"))
@@ -120,15 +122,15 @@ def _write(spec: str, kind: str, end: bytes):
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([segment], pa.int32()),
                  pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([ends], pa.list_(pa.int32())),
-                 pa.array([n], pa.int32()), pa.array([codes], pa.binary())],
-                ["part", "segment", "doc_ids", "ends", "n_tokens", "codes"])
+                 pa.array([n], pa.int32()), pa.array([before], pa.int64()), pa.array([codes], pa.binary())],
+                ["part", "segment", "doc_ids", "ends", "n_tokens", "before", "codes"])
         for rb in batches:
             data, offs = text_buffers(rb.column(1))
             for i in range(rb.num_rows):
                 ids = tok.encode([data[offs[i]:offs[i + 1]].tobytes()])[0] + end
                 if n and n + len(ids) // 4 > SEGMENT_TOKENS:
                     yield flush()
-                    segment += 1
+                    segment, before = segment + 1, before + n
                     doc_ids, ends, held, n = [], [], [], 0
                 n += len(ids) // 4
                 doc_ids.append(rb.column(0).slice(i, 1))
@@ -148,20 +150,18 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_
     kind = x.schema["_id"].dataType.simpleString()
     x.repartitionByRange(max(shuffle_width(spark), 1), "_id").sortWithinPartitions("_id", "_text") \
      .mapInArrow(_write(spec, "bytes", int(end_id).to_bytes(4, "little")),
-                 f"part int, segment int, doc_ids array<{kind}>, ends array<int>, n_tokens int, codes binary") \
+                 f"part int, segment int, doc_ids array<{kind}>, ends array<int>, n_tokens int, before bigint, codes binary") \
      .write.parquet(path)
 
 
-def _starts(files: DataFrame) -> DataFrame:
-    """(part, segment, _start): tokens before each segment; a row for each part is
-    summed in one place, segments within their part."""
-    heads = files.select("part", "segment", "n_tokens")
-    parts = heads.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
-    before = parts.select("part", F.coalesce(F.sum("_n").over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_part0"))
-    own = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0))
-    return heads.withColumn("_own", own).join(before, "part").select("part", "segment", (F.col("_part0") + F.col("_own")).alias("_start"))
+def _with_start(files: DataFrame) -> DataFrame:
+    """``files`` with ``_start``, the tokens before each segment. Only the parts' totals
+    are summed in one place and broadcast: one row for each writing task."""
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_part0"))
+    return files.join(F.broadcast(parts), F.col("part") == F.col("_part")) \
+                .withColumn("_start", F.col("_part0") + F.col("before")).drop("_part", "_part0")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     prepare(spark)
     files = spark.read.parquet(path)
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
-    x = files.join(_starts(files), ["part", "segment"]).select("_start", "doc_ids", "ends", "codes")
+    x = _with_start(files).select("_start", "doc_ids", "ends", "codes")
     return x.mapInArrow(_read, f"_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("_id", id_col)
 
 
@@ -191,7 +191,7 @@ def read_tokens(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     folder are not returned. A place meets only its segment, and only its chunks are read."""
     prepare(spark)
     files = spark.read.parquet(path)
-    heads = _starts(files).join(files.select("part", "segment", "n_tokens"), ["part", "segment"])
+    heads = _with_start(files).select("part", "segment", "n_tokens", "_start")
     # a place's segment: the last one that starts at or before it
     marks = heads.select(F.col("_start").alias("place"), F.lit(0).alias("_kind"), F.struct("part", "segment", "_start", "n_tokens").alias("_seg"))
     asked = places.select(F.col("place").cast("long"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_seg"].dataType).alias("_seg"))
