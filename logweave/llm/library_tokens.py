@@ -27,6 +27,8 @@ from tokenizers import Tokenizer  # noqa: E402
 
 #: Entries of each generation of the caches; the older one goes when the younger is full.
 CACHE_SEGMENTS = 300_000
+#: The same for the byte vocabulary (its segments are longer strings, not bytes).
+CACHE_BYTE_SEGMENTS = 150_000
 #: Longer segments are encoded each time they are met.
 CACHE_MAX_CHARS = 48
 
@@ -54,7 +56,8 @@ def byte_letters() -> dict[int, str]:
 class Generations:
     """A bounded cache: a young dictionary, and the one before it."""
 
-    def __init__(self):
+    def __init__(self, limit: int = CACHE_SEGMENTS):
+        self.limit = limit
         self.new: dict = {}
         self.old: dict = {}
 
@@ -67,7 +70,7 @@ class Generations:
         return v
 
     def turn(self) -> None:
-        if len(self.new) > CACHE_SEGMENTS:
+        if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
 
 
@@ -80,7 +83,7 @@ class LibraryTokens:
         self.tok.no_truncation()
         self.kind = kind
         self.stand_in = byte_letters()
-        self.seen, self.runs = Generations(), Generations()
+        self.seen, self.runs = Generations(CACHE_SEGMENTS if kind == "words" else CACHE_BYTE_SEGMENTS), Generations()
 
     def _whole(self, segments: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(segments, add_special_tokens=False)]
@@ -153,18 +156,18 @@ class LibraryTokens:
         self.seen.turn()
         self.runs.turn()
         out, young = [], self.seen.new
+        fill = self._fill if self.kind == "words" else self._fill_bytes
         for t in texts:
             split = self.segments(t)
             ids = list(map(young.get, split))
             if None in ids:
-                fill = self._fill if self.kind == "words" else self._fill_bytes
-                passing = fill({s for s, v in zip(split, ids) if v is None})
-                ids = map(young.__getitem__, split)
-                out.append(b"".join(ids))
+                gaps = [i for i, v in enumerate(ids) if v is None]
+                passing = fill({split[i] for i in gaps})
+                for i in gaps:
+                    ids[i] = young[split[i]]
                 for s in passing:
                     del young[s]
-            else:
-                out.append(b"".join(ids))
+            out.append(b"".join(ids))
         return out
 
 
