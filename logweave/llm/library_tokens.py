@@ -20,6 +20,7 @@ import os
 import re
 import sys
 from array import array
+from operator import attrgetter
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
 
@@ -28,7 +29,7 @@ from tokenizers import Tokenizer  # noqa: E402
 #: Entries of each generation of the caches; the older one goes when the younger is full.
 CACHE_SEGMENTS = 300_000
 #: The same for the byte vocabulary (its segments are longer strings, not bytes).
-CACHE_BYTE_SEGMENTS = 150_000
+CACHE_BYTE_SEGMENTS = 300_000
 #: Longer segments are encoded each time they are met.
 CACHE_MAX_CHARS = 48
 
@@ -42,6 +43,7 @@ _SEGMENT = re.compile(rf" ?[{_LETTER}]+(?=[.,;:!?]*{_CUT})|[.,;:!?]+{_CUT}|\n(?=
 #: A word and the marks after it: two token runs under both split rules, and
 #: letters that normalisation only lower-cases.
 _WORD = re.compile(rf"([{_LETTER}]+)([.,;:!?]*)")
+_ID = attrgetter("id")
 
 
 def byte_letters() -> dict[int, str]:
@@ -99,7 +101,7 @@ class LibraryTokens:
         return run if run.isascii() else run.encode().decode("latin-1").translate(self.stand_in)
 
     def _split(self, symbols: str) -> bytes:
-        return array("I", [t.id for t in self.tok.model.tokenize(symbols)]).tobytes()
+        return array("I", list(map(_ID, self.tok.model.tokenize(symbols)))).tobytes()
 
     def _fill_bytes(self, missing: set) -> list:
         """As ``_fill``, for the byte vocabulary, where a word is a segment and needs no cache of runs."""
@@ -186,6 +188,11 @@ def loaded(tokenizer_json: str, kind: str) -> LibraryTokens:
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
+def unload() -> None:
+    """Free this worker's tokenizer and cache (they are built again when asked for)."""
+    _LOADED.clear()
+
+
 def read_vocabulary(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
