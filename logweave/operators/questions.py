@@ -83,7 +83,8 @@ def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataF
              threshold: float = V.SIMILARITY_THRESHOLD, top_k: int = 5, qid: str = "query_id") -> DataFrame:
     """QP5: each question runs only its enabled layers with its own fetch size
     and threshold; code hits are boosted by log hits (VE11), then cut to
-    ``top_k`` (VE13). Returns (query_id, layer, item_id, similarity, rank)."""
+    ``top_k`` (VE13). Returns (query_id, layer, item_id, similarity, rank),
+    no rows where no question asks for a layer."""
     thr = F.coalesce(F.col("similarity_threshold_override"), F.lit(threshold))
     q = plans.select(qid, "embedding", "use_code_retrieval", "use_log_retrieval", "use_concept_retrieval",
                      "code_fetch_k", "log_fetch_k", "concept_fetch_k", thr.alias("thr"))
@@ -115,6 +116,10 @@ def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataF
         cc = layer(concepts, "use_concept_retrieval", "concept_fetch_k", "concept", None)
         if cc is not None:
             out.append(V.top_k(cc.drop("rank"), top_k).select("query_id", "layer", "item_id", "similarity", "rank"))
+    if not out:  # no question, or none that asks for a layer
+        kinds = dict(plans.dtypes)[qid], dict(code.dtypes)["item_id"]
+        return plans.sparkSession.createDataFrame(
+            [], f"query_id {kinds[0]}, layer string, item_id {kinds[1]}, similarity double, rank int")
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)

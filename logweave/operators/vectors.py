@@ -105,8 +105,9 @@ def knn(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_id",
         iid: str = "item_id", ivec: str = "embedding", max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """VE5: top-``k`` items per query by cosine similarity.
 
-    Returns (query_id, item_id, similarity, rank). Null, empty, zero or
-    wrong-size vectors are skipped. Ties go to the smaller item id.
+    Returns (query_id, item_id, similarity, rank). Null, empty or zero vectors and
+    items of another size are skipped; queries of different sizes are an error (VE3).
+    Ties go to the smaller item id.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -114,8 +115,11 @@ def knn(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_id",
 
     spark = items.sparkSession
     q = queries.select(F.col(qid).alias("q"), F.col(qvec).alias("v")).filter(F.col("v").isNotNull() & (F.size("v") > 0))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"),
+                  F.min(F.size("v")).alias("least")).first()
     n_q, dim = stats["n"] or 0, stats["d"] or 0
+    if n_q and stats["least"] != dim:
+        raise ValueError(f"vector dimension mismatch: queries of {stats['least']} and of {dim} dimensions")
     id_type = dict(items.select(iid).dtypes)[iid]
     q_type = dict(queries.select(qid).dtypes)[qid]
     schema = f"query_id {q_type}, item_id {id_type}, similarity double"
@@ -130,7 +134,7 @@ def knn(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_id",
     parts = []
     for c in range(n_chunks):
         part = q if n_chunks == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(n_chunks)) == c)
-        rows = [r for r in part.collect() if len(r["v"]) == dim]
+        rows = part.collect()
         if not rows:
             continue
         q_ids = np.array([r["q"] for r in rows])
