@@ -4,9 +4,16 @@ A document's histograms of character classes and of common words are compared wi
 the references of its language by the Jensen-Shannon distance (base 2, 0 .. 1). The
 references are sums over all documents of the language that pass the base rules, so they
 follow the corpus; the common words are the fixed lists below, one for each language of the
-references. A document is judged by its nearest reference, so a missing or wrong
-language label does no harm; short documents are spared by minimum lengths, since their
-histograms are noise.
+references. A document is judged by its nearest reference; short documents are spared by
+minimum lengths, since their histograms are noise.
+
+Words: a text without a single common word has a distance that depends on the share of
+common words in the reference (0.38 for the 0.26 of prose), so the limit is a part of that
+distance, looser for shorter texts (``FEW_WORDS``, ``FEW_SHARE``); it holds for texts with
+fewer common words than the reference. ``MAX_WORD_DISTANCE`` holds on either side, so for
+texts of little else than common words. Only documents labelled with a language
+that has a list are judged by words: the lists say nothing about others, and a null label
+may stand for any.
 
 One Arrow pass over the texts writes counts of fixed width; the references are one
 aggregate of a few rows; a second Arrow pass judges the counts, not the texts.
@@ -31,7 +38,10 @@ from .common import BASE_A, LINE_END, RabinKarp, Words, blocks, list_array, prep
 MIN_WORDS = 50
 #: Minimum lengths of the two comparisons, and the largest distances that pass.
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.25
-MIN_COMMON_WORDS, MAX_WORD_DISTANCE = 200, 0.75
+MIN_COMMON_WORDS, MAX_WORD_DISTANCE = MIN_WORDS, 0.75
+#: Words of a document, and the part of the distance of a text without common words from which
+#: it has too few of them; linear between the two lengths, constant outside.
+FEW_WORDS, FEW_SHARE = (125, 200), (0.95, 0.70)
 
 #: Common words of the reference languages (fixed values).
 COMMON = {
@@ -127,31 +137,56 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["_id", "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_chars", "_words"])
 
 
-def distance(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+def nearest(counts: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Jensen-Shannon distance (root of the divergence, base 2) between each row of
-    counts and each row of shares; the smallest for each row of counts."""
+    counts and each row of shares: the smallest for each row of counts, and its row of shares."""
     p = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    best = np.full(len(p), np.inf)
-    for q in shares:
+    best, at = np.full(len(p), np.inf), np.zeros(len(p), np.int64)
+    for k, q in enumerate(shares):
         m = (p + q) / 2
         m[m == 0] = 1
         total = (p * np.log2(np.where(p > 0, p / m, 1)) + q * np.log2(np.where(q > 0, q / m, 1))).sum(axis=1)
-        best = np.minimum(best, np.sqrt(np.maximum(total / 2, 0)))
-    return best
+        d = np.sqrt(np.maximum(total / 2, 0))
+        at[d < best] = k
+        best = np.minimum(best, d)
+    return best, at
+
+
+def distance(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The distance of each row of counts to its nearest row of shares."""
+    return nearest(counts, shares)[0]
+
+
+def few_common(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Documents with fewer common words than their nearest reference, as far from it as
+    ``FEW_SHARE`` of a text without any."""
+    if not len(shares):
+        return np.zeros(len(counts), dtype=bool)
+    none = np.zeros((1, counts.shape[1]))
+    none[0, -1] = 1
+    reach = np.array([distance(none, q[None])[0] for q in shares])
+    d, at = nearest(counts, shares)
+    n = counts.sum(axis=1)
+    fewer = counts[:, -1] > shares[at, -1] * n
+    return (n >= MIN_COMMON_WORDS) & fewer & (d > np.interp(n, FEW_WORDS, FEW_SHARE) * reach[at])
 
 
 def _distances(chars: np.ndarray, words: np.ndarray):
-    """Distances to the nearest references; null for documents that are too short, or without references."""
+    """Distances to the nearest references; null for documents that are too short, or without references.
+    Words: also null for documents without a label of a language with a list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             out = []
+            listed = np.array([x in COMMON for x in rb.column(rb.schema.get_field_index("_lang")).to_pylist()], dtype=bool)
             for name, refs, least in (("_chars", chars, MIN_CHARS), ("_words", words, MIN_COMMON_WORDS)):
                 counts = rb.column(rb.schema.get_field_index(name)).flatten().to_numpy().reshape(rb.num_rows, -1).astype(float)
                 d = np.round(distance(counts, refs), 6)
-                out.append(pa.array(d, mask=(counts.sum(axis=1) < least) | ~np.isfinite(d)))
-            keep = [c for c in rb.schema.names if c not in ("_chars", "_words")]
+                spared = (counts.sum(axis=1) < least) | ~np.isfinite(d)
+                out.append(pa.array(d, mask=spared | ~listed if name == "_words" else spared))
+            out.append(pa.array(few_common(counts, refs) & listed))
+            keep = [c for c in rb.schema.names if c not in ("_lang", "_chars", "_words")]
             yield pa.RecordBatch.from_arrays([*(rb.column(rb.schema.get_field_index(c)) for c in keep), *out],
-                                             [*keep, "char_distance", "word_distance"])
+                                             [*keep, "char_distance", "word_distance", "_few"])
     return run
 
 
@@ -175,8 +210,8 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chars = np.array([[r[f"c{i}"] for i in range(CLASSES)] for r in refs], float).reshape(len(refs), CLASSES)
     words = np.array([[r[f"w{i}"] for i in range(len(WORDS) + 1)] for r in refs], float).reshape(len(refs), len(WORDS) + 1)
     chars, words = (x / np.maximum(x.sum(axis=1, keepdims=True), 1) for x in (chars, words))
-    x = x.drop("_lang").mapInArrow(_distances(chars, words), f"_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, "
-                                   "n_dup_lines bigint, n_repeat_words bigint, char_distance double, word_distance double")
-    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    x = x.mapInArrow(_distances(chars, words), f"_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, "
+                                   "n_dup_lines bigint, n_repeat_words bigint, char_distance double, word_distance double, _few boolean")
+    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE) | F.col("_few")
     return x.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     base_failed().alias("base_failed"), "char_distance", "word_distance", (~base_failed() & ~far).alias("kept"))

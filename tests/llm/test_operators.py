@@ -291,6 +291,20 @@ def test_quality_keeps_prose_and_rejects_symbol_noise(sf_docs):
     assert noise and not any(noise) and all(clean)
 
 
+def test_quality_rejects_prose_without_common_words(spark, sf_docs):
+    clean = sf_docs.filter("lang = 'en'").select("doc_id", "text", "lang")
+    rng = random.Random(9)
+    bare = [" ".join("q" + "".join(rng.choices("bcdfghaeiou", k=rng.randint(3, 6))) for _ in range(n)).capitalize() + "." for n in (60, 160, 600)]
+    cases = spark.createDataFrame([(-1 - j, t, lang) for j, (t, lang) in enumerate(
+        [(t, "en") for t in bare] + [(bare[2], "xx"), (bare[2], None)])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality(clean.unionByName(cases)).collect()}
+    assert [got[-1 - j].base_failed for j in range(5)] == [False] * 5 and got[-3].char_distance < quality.MAX_CHAR_DISTANCE
+    assert [got[-1 - j].kept for j in range(5)] == [False, False, False, True, True]
+    assert got[-4].word_distance is got[-5].word_distance is None
+    prose = [r.kept for i, r in got.items() if i > 0 and not r.base_failed and r.n_symbols == 0]
+    assert len(prose) > 20 and all(prose)
+
+
 def test_token_files(spark, docs, texts, tmp_path):
     _, ids = ids_of(BYTE, texts, [0])
     path = str(tmp_path / "tokens")
