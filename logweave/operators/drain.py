@@ -5,7 +5,9 @@ tokens to a leaf; inside the leaf the most similar cluster (share of equal
 tokens) absorbs it when the similarity reaches the threshold, turning differing
 positions into ``<*>``. Drain is order dependent: each service's distinct
 regex templates are fed in order of first appearance, which keeps a group
-small (it grows with template variety, not with log volume).
+small (it grows with template variety, not with log volume). The tree splits by
+length first and lengths share no node or cluster, so each (service, length) is
+a group of its own. The number of clusters has no limit.
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ from ..functions.text import PLACEHOLDER
 # Fixed values (reference configuration).
 SIM_THRESHOLD = 0.4
 DEPTH = 4
-MAX_CHILDREN = 100
-MAX_CLUSTERS = 2000
+MAX_CHILDREN = 2000
+#: A token as ``str.split`` sees it (Java regex): anything between Unicode blanks.
+TOKEN = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 class Drain:
-    """A plain-Python Drain tree; used inside one Spark task per service."""
+    """A plain-Python Drain tree; used inside one Spark task per service and length."""
 
     def __init__(self, sim: float = SIM_THRESHOLD, depth: int = DEPTH, max_children: int = MAX_CHILDREN,
-                 max_clusters: int = MAX_CLUSTERS, parametrize_numeric: bool = True):
+                 parametrize_numeric: bool = True):
         self.sim, self.levels = sim, max(1, depth - 2)
-        self.max_children, self.max_clusters = max_children, max_clusters
+        self.max_children = max_children
         self.numeric = parametrize_numeric
         self.root: dict = {}
         self.templates: list[list[str]] = []
@@ -80,8 +83,6 @@ class Drain:
             t = self.templates[best]
             self.templates[best] = [a if a == b else PLACEHOLDER for a, b in zip(t, tokens)]
             return " ".join(self.templates[best]), best + 1
-        if len(self.templates) >= self.max_clusters and best is not None:
-            return " ".join(self.templates[best]), best + 1
         self.templates.append(list(tokens))
         leaf.append(len(self.templates) - 1)
         return " ".join(tokens), len(self.templates)
@@ -95,7 +96,7 @@ def _drain_group(pdf: pd.DataFrame, sim: float, depth: int) -> pd.DataFrame:
     finals = {cid: " ".join(d.templates[cid - 1]) for _, cid in out}
     return pd.DataFrame({"service_name": pdf["service_name"].to_numpy(), "template": pdf["template"].to_numpy(),
                          "drain_template": [t for t, _ in out], "cluster_template": [finals[c] for _, c in out],
-                         "drain_cluster_id": [str(c) for _, c in out]})
+                         "drain_cluster_id": [f"{n}-{c}" for n, (_, c) in zip(pdf["n_tokens"], out)]})
 
 
 def drain_templates(entries: DataFrame, sim: float = SIM_THRESHOLD, depth: int = DEPTH,
@@ -103,15 +104,17 @@ def drain_templates(entries: DataFrame, sim: float = SIM_THRESHOLD, depth: int =
     """LC6: (service_name, template) -> (drain_template, drain_cluster_id).
 
     Input rows carry the regex ``template`` (LC3). Templates are pre-aggregated
-    per service with their first appearance, then one Drain tree per service
-    (``applyInPandas``) assigns clusters; join the result back on
-    (service_name, template)."""
+    per service with their first appearance, then one Drain tree per service and
+    number of tokens (``applyInPandas``) assigns clusters; join the result back on
+    (service_name, template). The cluster id is the number of tokens and the
+    cluster's number in its tree; it is unique within the service."""
     first = entries.groupBy(F.col(service).alias("service_name"), "template").agg(
         F.min(F.struct(F.col(ts).alias("t"), F.col(order).alias("o"))).alias("_f"))
-    first = first.select("service_name", "template", F.col("_f.t").alias("first_ts"), F.col("_f.o").alias("first_id"))
+    first = first.select("service_name", "template", F.col("_f.t").alias("first_ts"), F.col("_f.o").alias("first_id"),
+                         F.regexp_count("template", F.lit(TOKEN)).alias("n_tokens"))
     schema = ("service_name string, template string, drain_template string, cluster_template string, "
               "drain_cluster_id string")
-    return first.groupBy("service_name").applyInPandas(lambda p: _drain_group(p, sim, depth), schema)
+    return first.groupBy("service_name", "n_tokens").applyInPandas(lambda p: _drain_group(p, sim, depth), schema)
 
 
 def check_templates(mapped: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from logweave.operators import drain as D
 from logweave.operators import granger as GR
@@ -13,6 +14,31 @@ def test_drain_clusters_similar_messages():
     assert b[0] == "Connection to <*> failed after <*> retries"
 
 
+def test_drain_keeps_templates_apart_without_a_cluster_limit(spark):
+    """More clusters than 2000 and more first tokens than 100 in one service; another service beside it."""
+    words = ["".join(chr(97 + i // 26 ** k % 26) for k in range(3)) for i in range(1050)]
+    texts = [f"{w} {a}" for w in words for a in ("started a b c d", "stopped e f g h")]
+    rows = [("hot", t, i) for i, t in enumerate(texts)] + [("cold", t, i) for i, t in enumerate(texts[:10])]
+    df = spark.createDataFrame(rows, "service_name string, template string, log_id long").withColumn("ts", F.timestamp_seconds("log_id"))
+    got = D.drain_templates(df).collect()
+    hot = [r for r in got if r.service_name == "hot"]
+    assert len(got) == len(rows) and len({r.drain_cluster_id for r in hot}) == len(texts)
+    assert all(r.template == r.cluster_template for r in got)
+
+
+def test_drain_groups_by_length_equal_one_tree(spark):
+    texts = [f"job {k % 7} took {k} ms" + " of time" * (k % 4) for k in range(60)] + ["", " ", "a\u00a0b c", "a b c", "a\u2003b\x1fc", "a\u200bb c", "x\u0085y z"]
+    df = spark.createDataFrame([("s", t, i) for i, t in enumerate(texts)], "service_name string, template string, log_id long") \
+              .withColumn("ts", F.timestamp_seconds("log_id"))
+    got = {r.template: r for r in D.drain_templates(df).collect()}
+    d = D.Drain()
+    one = {t: d.add(t) for t in texts}
+    for r in got.values():
+        assert r.drain_template == one[r.template][0] and r.drain_cluster_id.split("-")[0] == str(len(r.template.split()))
+    assert len({(one[t][1], got[t].drain_cluster_id) for t in texts}) == len({c for _, c in one.values()}) \
+        == len({r.drain_cluster_id for r in got.values()})
+
+
 def test_distribution_tails():
     assert abs(GR.f_sf(4.10, 2, 10) - 0.0501) < 5e-4
     assert abs(GR.chi2_sf(3.841, 1) - 0.05) < 5e-4
