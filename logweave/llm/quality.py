@@ -3,9 +3,14 @@
 A document's histograms of character classes and of common words are compared with
 the references of its language by the Jensen-Shannon distance (base 2, 0 .. 1). The
 references are sums over all documents of the language that pass the base rules, so they
-follow the corpus; the common words are the fixed lists below, one for each language of the
-references. A document is judged by its nearest reference; short documents are spared by
-minimum lengths, since their histograms are noise.
+follow the corpus. Characters have a reference for each language label of the table, words
+for those with a list of common words below. A labelled document is judged by the nearest of
+its own language's reference and those of the languages with a list, so a wrong label among
+these does no harm; a reference of another label, which may stand on a few odd documents, is
+used for its own documents only. A null label is judged by the nearest of all references, but
+spared if the document has more non-ASCII bytes than ASCII letters and no reference has: its
+script is that of a language without a reference. Short documents are spared by minimum
+lengths, since their histograms are noise.
 
 Words: a text without a single common word has a distance that depends on the share of
 common words in the reference (0.38 for the 0.26 of prose), so the limit is a part of that
@@ -171,16 +176,39 @@ def few_common(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return (n >= MIN_COMMON_WORDS) & fewer & (d > np.interp(n, FEW_WORDS, FEW_SHARE) * reach[at])
 
 
-def _distances(chars: np.ndarray, words: np.ndarray):
+def _foreign(counts: np.ndarray) -> np.ndarray:
+    """Rows of counts of character classes with more non-ASCII bytes than ASCII letters."""
+    return counts[:, 2] > counts[:, 0] + counts[:, 1]
+
+
+def _char_distance(counts: np.ndarray, labels: np.ndarray, langs: list[str], refs: np.ndarray) -> np.ndarray:
+    """The distance of each document to the nearest of the references its label allows; infinite
+    without any, and for a null label in a script of none of them."""
+    shared = np.array([x in COMMON for x in langs], dtype=bool)
+    out = np.full(len(counts), np.inf)
+    for label in set(labels):
+        rows = np.flatnonzero(labels == label) if label is not None else np.flatnonzero([x is None for x in labels])
+        use = np.ones(len(langs), dtype=bool) if label is None else shared | np.array([x == label for x in langs], dtype=bool)
+        if label is not None and label not in langs:
+            continue
+        out[rows] = distance(counts[rows], refs[use])
+        if label is None and not _foreign(refs).any():
+            out[rows[_foreign(counts[rows])]] = np.inf
+    return out
+
+
+def _distances(langs: list[str], chars: np.ndarray, words: np.ndarray):
     """Distances to the nearest references; null for documents that are too short, or without references.
     Words: also null for documents without a label of a language with a list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             out = []
-            listed = np.array([x in COMMON for x in rb.column(rb.schema.get_field_index("_lang")).to_pylist()], dtype=bool)
+            labels = np.array(rb.column(rb.schema.get_field_index("_lang")).to_pylist(), dtype=object)
+            listed = np.array([x in COMMON for x in labels], dtype=bool)
             for name, refs, least in (("_chars", chars, MIN_CHARS), ("_words", words, MIN_COMMON_WORDS)):
                 counts = rb.column(rb.schema.get_field_index(name)).flatten().to_numpy().reshape(rb.num_rows, -1).astype(float)
-                d = np.round(distance(counts, refs), 6)
+                d = _char_distance(counts, labels, langs, refs) if name == "_chars" else distance(counts, refs)
+                d = np.round(d, 6)
                 spared = (counts.sum(axis=1) < least) | ~np.isfinite(d)
                 out.append(pa.array(d, mask=spared | ~listed if name == "_words" else spared))
             out.append(pa.array(few_common(counts, refs) & listed))
@@ -204,13 +232,14 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                              "n_dup_lines bigint, n_repeat_words bigint, _chars array<int>, _words array<int>"), "features")
     sums = [F.sum(F.col("_chars")[i]).alias(f"c{i}") for i in range(CLASSES)] + \
            [F.sum(F.col("_words")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
-    # a row for each reference language: their number is fixed
-    refs = x.filter(F.col("_lang").isin(sorted(COMMON)) & ~base_failed()).groupBy("_lang").agg(*sums).collect()
+    # a row for each language label
+    refs = x.filter(F.col("_lang").isNotNull() & ~base_failed()).groupBy("_lang").agg(*sums).collect()
     refs = sorted(refs, key=lambda r: r["_lang"])
     chars = np.array([[r[f"c{i}"] for i in range(CLASSES)] for r in refs], float).reshape(len(refs), CLASSES)
-    words = np.array([[r[f"w{i}"] for i in range(len(WORDS) + 1)] for r in refs], float).reshape(len(refs), len(WORDS) + 1)
+    langs = [r["_lang"] for r in refs]
+    words = np.array([[r[f"w{i}"] for i in range(len(WORDS) + 1)] for r in refs if r["_lang"] in COMMON], float).reshape(-1, len(WORDS) + 1)
     chars, words = (x / np.maximum(x.sum(axis=1, keepdims=True), 1) for x in (chars, words))
-    x = x.mapInArrow(_distances(chars, words), f"_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, "
+    x = x.mapInArrow(_distances(langs, chars, words), f"_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, "
                                    "n_dup_lines bigint, n_repeat_words bigint, char_distance double, word_distance double, _few boolean")
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE) | F.col("_few")
     return x.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

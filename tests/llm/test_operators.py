@@ -305,6 +305,25 @@ def test_quality_rejects_prose_without_common_words(spark, sf_docs):
     assert len(prose) > 20 and all(prose)
 
 
+def test_quality_keeps_other_scripts_and_rejects_their_noise(spark, sf_docs):
+    base = sf_docs.select("doc_id", "text", "lang")
+    rng = random.Random(5)
+    russian = [" ".join("".join(rng.choices("абвгдежзийклмнопрстуя", k=rng.randint(3, 8))) for _ in range(120)) + "." for _ in range(40)]
+    english = base.filter("lang = 'en'").orderBy("doc_id").collect()
+    clean = min((r.text for r in english if len(split(r.text or "")) >= 200 and not re.search(r"[#*$%&|<>]", r.text)), key=len)
+    noise = " ".join("".join(rng.choices("#*$%&|<>", k=4)) for _ in range(200))
+    rows = [(t, "ru") for t in russian] + [(russian[0], None), (noise, "ru"), (noise, None), (noise, "en"), (clean, None), (clean, "ru")]
+    cases = spark.createDataFrame([(-1 - j, t, x) for j, (t, x) in enumerate(rows)], base.schema)
+
+    def kept(cases):
+        got = {r.doc_id: r for r in quality.quality(base.unionByName(cases)).collect() if r.doc_id < 0}
+        return [got[i].kept for i in sorted(got, reverse=True)]
+    assert kept(cases) == [True] * 41 + [False] * 3 + [True] * 2
+    assert kept(cases.filter("lang is null")) == [True, False, True]  # no Russian reference
+    # a label with one odd document makes a reference of its own, for its own documents only
+    assert kept(cases.filter("lang = 'en'").unionByName(cases.limit(1).select(F.lit(-99).cast("long").alias("doc_id"), F.lit(noise).alias("text"), F.lit("zz").alias("lang")))) == [False, True]
+
+
 def test_token_files(spark, docs, texts, tmp_path):
     _, ids = ids_of(BYTE, texts, [0])
     path = str(tmp_path / "tokens")
