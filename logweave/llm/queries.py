@@ -37,8 +37,7 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return exact.with_sha256(docs, exact.exact_dedup(docs))
+    return exact.exact_dedup(_table(spark, sf_dir, "documents"), hashes=True)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

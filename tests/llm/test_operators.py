@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from logweave.llm import bpe, exact, langid, oddsketch, packing, quality, sharding, substring, tokenfile, urlfilter
 from logweave.llm.components import components
 from logweave.llm.library_tokens import LibraryTokens, read_vocabulary
-from logweave.llm.queries import URL_RULES
+from logweave.llm.queries import URL_RULES, op4_exact
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD_TEXTS = ["", "  a  b", " \n x", "a\n\nb", "a\nb", "x \n y", "<|endoftext|> hi<|startoftext|>Hi", "İSTANBUL Σας ΣΑΣ", "é a ́b",
@@ -355,6 +355,17 @@ def test_empty_tables(spark, docs):
     assert sharding.assign_shards(none).count() == oddsketch.near_dedup(none).count() == quality.quality(none).count() == 0
 
 
+def test_exact_hashes_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a  b"), (None, "a b"), (None, "c d"), (None, "some other text"), (7, "x y"), (7, "p q r"), (8, "x y"), (9, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in op4_exact(spark, str(tmp_path)).collect())
+
+    def row(i, keep, n, kept, t):
+        return i, keep, n, kept, hashlib.sha256(t.encode()).hexdigest()
+    assert got == Counter([row(None, None, 2, True, "a b")] * 2 + [row(None, None, 1, True, "c d"), row(None, None, 1, True, "some other text"),
+                          row(7, 7, 2, True, "x y"), row(8, 7, 2, False, "x y"), row(7, 7, 1, True, "p q r"), row(9, 9, 1, True, "")])
+
+
 def test_null_ids_and_repeated_rows(spark):
     t = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, t, "en"), (1, t, "en"), (None, t, "en"), (2, t + " end", None)], "doc_id long, text string, lang string")
