@@ -1,17 +1,21 @@
-"""Whole-text token ids from the tokenizers library, with a cache of segments.
-
-The library is asked once for each distinct segment a worker meets; a text's ids
-are the joined ids of its segments. A segment ends only where the tokenizer's own
-split rule always ends a token run, so the joined ids are those of the whole text:
-
-* the word vocabulary drops white space, so every run of non-space bytes stands alone;
-* the byte vocabulary keeps a space with the word after it: a text may be cut before a
-  space or newline followed by a plain visible character, after such a newline, and
-  between a word and the marks that end it. Everything else (runs of white space,
-  unusual scripts) stays in one segment.
-
-The tokenizer file is read on the driver and sent with the tasks (a vocabulary
-file has a fixed size of a few MB).
+"""Whole-text token ids from the tokenizers library, block by block.
+
+A text is cut into units where the tokenizer's own split rule always ends a token run, so
+the joined ids of the units are those of the whole text; the library is asked once for each
+distinct unit a worker's cache does not hold. Two ways lead there:
+
+* *Plain texts* (ASCII and the letters U+00C0 to U+00FF, without an added token's mark) are
+  cut by numpy, a block of texts at a time: a run of letters with the sentence marks after
+  it makes two units, any other run of visible bytes one. The word vocabulary drops white
+  space and case. The byte vocabulary gives the last blank of a run of white space to the unit
+  after it; the white space before that is a unit, and so is a last one that is no blank.
+  Units are told apart by two 64-bit hashes, looked up in sorted arrays; a hit costs no Python.
+* *Other texts* are cut at the added tokens first, then by a pattern: the word vocabulary at
+  white space; the byte vocabulary before a space or newline followed by a plain visible
+  character, after such a newline, and between a word and the marks that end it.
+
+Both caches are bounded in entries and bytes. The tokenizer file is read on the driver and
+sent with the tasks (a vocabulary file has a fixed size of a few MB).
 """
 
 from __future__ import annotations
@@ -22,16 +26,22 @@ import sys
 from array import array
 from operator import attrgetter
 
+import numpy as np
+
+from .common import _BYTE_CODE, _LOWER, _SPACE, blocks, mix, powers
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Entries of each generation of the caches; the older one goes when the younger is full.
-CACHE_SEGMENTS = 300_000
-#: The same for the byte vocabulary (its segments are longer strings, not bytes).
-CACHE_BYTE_SEGMENTS = 300_000
-#: Longer segments are encoded each time they are met.
+#: Entries of each generation of the caches of other texts; the older one goes when the younger is full.
+CACHE_SEGMENTS = 50_000
+#: Longer segments and units are encoded each time they are met (so entries bound the bytes).
 CACHE_MAX_CHARS = 48
+#: Units that the cache of plain texts holds; over that, those of the last block stay.
+CACHE_UNITS = 1_200_000
+#: Bytes of text of a block; longer texts are cut between two words.
+BLOCK_TEXT = 1 << 21
 
 #: Plain visible characters: none of them is white space in any rule set.
 _VISIBLE = "!-~\u00a1-\u167f\u2c00-\u2fff\u3001-\ud7ff"
@@ -85,7 +95,10 @@ class LibraryTokens:
         self.tok.no_truncation()
         self.kind = kind
         self.stand_in = byte_letters()
-        self.seen, self.runs = Generations(CACHE_SEGMENTS if kind == "words" else CACHE_BYTE_SEGMENTS), Generations()
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added_re = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+        self.units = Units()
+        self.seen, self.runs = Generations(), Generations()
 
     def _whole(self, segments: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(segments, add_special_tokens=False)]
@@ -128,7 +141,7 @@ class LibraryTokens:
             v = self.seen.old.get(s)
             if v is None:
                 text = s.decode("utf-8", "replace")
-                if text.isascii() and text.isalpha():
+                if len(s) <= CACHE_MAX_CHARS and text.isascii() and text.isalpha():
                     young[s] = self._run(text)
                     continue
                 m = _WORD.fullmatch(text) if len(s) <= CACHE_MAX_CHARS else None
@@ -151,7 +164,11 @@ class LibraryTokens:
     def segments(self, text: bytes) -> list:
         if self.kind == "words":
             return text.split()
-        return _SEGMENT.findall(text.decode("utf-8", "replace"))
+        text = text.decode("utf-8", "replace")
+        if self.added_re is None or not self.added_re.search(text):
+            return _SEGMENT.findall(text)
+        # the library takes added tokens out first; what is between them is a text of its own
+        return [s for part in self.added_re.split(text) for s in ([part] if part in self.added else _SEGMENT.findall(part))]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -173,6 +190,205 @@ class LibraryTokens:
         return out
 
 
+    def _ask(self, units: list[bytes]) -> list[bytes]:
+        """Ids of units of plain texts that the cache does not hold."""
+        out, ask = [b""] * len(units), []
+        space = self.stand_in[32]
+        for i, u in enumerate(units):
+            spaced = u[:1] == b" "
+            text = (u[1:] if spaced else u).decode()
+            if text.isalpha():
+                symbols = self._symbols(text.lower() if self.kind == "words" else text)
+                out[i] = self._split(space + symbols if spaced else symbols)
+            else:
+                ask.append(i)
+        for i, v in zip(ask, self._whole([units[i].decode() for i in ask])):
+            out[i] = v
+        return out
+
+    def _plain(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of a block of plain texts."""
+        if self.kind == "words":
+            data = _LOWER[data]
+        starts, ends = cut_units(data, offs, self.kind == "bytes")
+        entry, ids, at, size = self.units.find(data, starts, ends, self._ask)
+        count = size[entry]
+        into = np.cumsum(count) - count
+        out = ids[np.repeat(at[entry] - into, count) + np.arange(int(count.sum()))]
+        edge = np.searchsorted(starts, offs)
+        return out, np.r_[into, len(out)][edge]
+
+    def encode_texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, and where each text's begin (one more entry at the end)."""
+        parts, sizes = [], np.zeros(len(offs) - 1, np.int64)
+        for i, j, d, o in blocks(data, offs, BLOCK_TEXT):
+            odd = odd_texts(d, o)
+            if j - i == 1 and (odd[0] or len(d) > 2 * BLOCK_TEXT):
+                for a, b in ([(0, len(d))] if odd[0] else _slices(d)):
+                    ids = np.frombuffer(self.encode([d.tobytes()])[0], "<u4") if odd[0] else self._plain(d[a:b], np.array([0, b - a]))[0]
+                    parts.append(ids)
+                    sizes[i] += len(ids)
+                continue
+            # odd texts stand as empty ones in the block, and are put in their places after
+            keep = np.repeat(~odd, np.diff(o))
+            ids, at = self._plain(d[keep], np.r_[0, np.cumsum(np.where(odd, 0, np.diff(o)))])
+            sizes[i:j] = np.diff(at)
+            last = 0
+            for k in np.flatnonzero(odd).tolist():
+                own = np.frombuffer(self.encode([d[o[k]:o[k + 1]].tobytes()])[0], "<u4")
+                parts += [ids[last:at[k]], own]
+                sizes[i + k], last = len(own), int(at[k])
+            parts.append(ids[last:])
+        return np.concatenate([np.zeros(0, "<u4"), *parts]), np.r_[0, np.cumsum(sizes)]
+
+
+#: Bytes that a plain text has: ASCII, and the letters of two bytes that begin with 0xC3.
+_LETTER_BYTE = np.zeros(256, dtype=bool)
+_LETTER_BYTE[65:91] = _LETTER_BYTE[97:123] = _LETTER_BYTE[128:] = True
+_MARK_BYTE = np.zeros(256, dtype=bool)
+_MARK_BYTE[[ord(c) for c in ".,;:!?"]] = True
+
+
+def odd_texts(d: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Which texts of a block are not plain: they have a character over U+00FF or from
+    U+0080 to U+00BF, U+00D7, U+00F7, or ``<|``, as added tokens do."""
+    bad = (d >= 0xC0) & (d != 0xC3)
+    pair = d[:-1] == 0xC3
+    bad[:-1] |= pair & ((d[1:] == 0x97) | (d[1:] == 0xB7))
+    bad[:-1] |= (d[:-1] == 60) & (d[1:] == 124)
+    sums = np.r_[0, np.cumsum(bad)]
+    return sums[o[1:]] > sums[o[:-1]]
+
+
+def _slices(d: np.ndarray):
+    """Parts of a long text, cut before a single blank between two words."""
+    a = 0
+    while a < len(d):
+        b = a + BLOCK_TEXT
+        while b < len(d) - 1:
+            here = np.flatnonzero((d[b:b + BLOCK_TEXT] == 32) & ~_SPACE[d[b - 1:b - 1 + len(d[b:b + BLOCK_TEXT])]])
+            here = here[here + b + 1 < len(d)]
+            here = here[~_SPACE[d[here + b + 1]]]
+            if len(here):
+                b += int(here[0])
+                break
+            b += BLOCK_TEXT
+        if b >= len(d) - 1:
+            b = len(d)
+        yield a, b
+        a = b
+
+
+def cut_units(d: np.ndarray, o: np.ndarray, spaces: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the units of a block of plain texts, in order; ``spaces``: white
+    space is kept, as the byte vocabulary does."""
+    n = len(d)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inner = ~_SPACE[d]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[o] = True
+    turn = np.ones(n + 1, dtype=bool)
+    turn[1:-1] = inner[1:] != inner[:-1]
+    at = np.flatnonzero(turn | edge)
+    at = at[at <= n]
+    a, b = at[:-1], at[1:]
+    visible = inner[a]
+    s, e = a[visible], b[visible]  # runs of visible bytes
+    kind = np.int32 if n < 1 << 31 else np.int64
+    letters, marks = np.zeros(n + 1, kind), np.zeros(n + 1, kind)
+    np.cumsum(_LETTER_BYTE[d], out=letters[1:])
+    np.cumsum(_MARK_BYTE[d], out=marks[1:])
+    word = letters[e] - letters[s]
+    tail = s + word
+    two = (word > 0) & (tail < e) & (letters[tail] - letters[s] == word) & (marks[e] - marks[tail] == e - tail)
+    begin, end = [s, tail[two]], [np.where(two, tail, e), e[two]]
+    if spaces:
+        x, y = a[~visible], b[~visible]  # runs of white space
+        more = ~edge[y]  # a visible byte of the same text follows
+        blank = more & (d[y - 1] == 32)
+        led = np.zeros(len(a) + 1, dtype=bool)
+        led[np.flatnonzero(~visible)[blank] + 1] = True
+        begin[0] = s - led[:-1][visible]
+        head = np.where(more, y - 1, y)
+        long = head > x
+        own = more & ~blank
+        begin += [x[long], y[own] - 1]
+        end += [head[long], y[own]]
+    begin, end = np.concatenate(begin), np.concatenate(end)
+    order = np.argsort(begin, kind="stable")
+    return begin[order], end[order]
+
+
+class Units:
+    """Bounded cache of units' ids: two hashes of a unit's bytes to a part of one flat array."""
+
+    def __init__(self):
+        self.code, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def find(self, d: np.ndarray, starts: np.ndarray, ends: np.ndarray, ask):
+        """(entry of each unit, ids, where an entry's ids begin, how many there are)."""
+        if not len(starts):
+            return np.zeros(0, np.int64), self.ids, self.at, self.size
+        code, check = _hashes(d, starts, ends)
+        order = np.argsort(code)
+        new = np.ones(len(code), dtype=bool)
+        new[1:] = code[order][1:] != code[order][:-1]
+        inverse = np.empty(len(code), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        first = order[new]
+        code_u, check_u = code[first], check[first]
+        if not np.array_equal(check_u[inverse], check):
+            raise RuntimeError("two units of a block share a hash")
+        place = np.searchsorted(self.code, code_u)
+        held = place < len(self.code)
+        held[held] = self.code[place[held]] == code_u[held]
+        if not np.array_equal(self.check[place[held]], check_u[held]):
+            raise RuntimeError("a unit shares a hash with one of the cache")
+        missing = np.flatnonzero(~held)
+        entry = place
+        if len(missing):
+            got = ask([d[a:b].tobytes() for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist())])
+            size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+            flat = np.frombuffer(b"".join(got), "<u4")
+            at = len(self.ids) + np.cumsum(size) - size
+            before = place[missing]
+            self.code, self.check = np.insert(self.code, before, code_u[missing]), np.insert(self.check, before, check_u[missing])
+            self.at, self.size = np.insert(self.at, before, at), np.insert(self.size, before, size)
+            self.ids = np.concatenate([self.ids, flat])
+            entry = np.searchsorted(self.code, code_u)
+        found = entry[inverse], self.ids, self.at, self.size
+        if len(missing) and (len(self.code) > CACHE_UNITS or len(self.ids) > 8 * CACHE_UNITS):
+            self._keep(entry[(ends - starts)[first] <= CACHE_MAX_CHARS])
+        elif len(missing) and int((ends - starts)[first[missing]].max()) > CACHE_MAX_CHARS:
+            stay = np.ones(len(self.code), dtype=bool)
+            stay[entry[(ends - starts)[first] > CACHE_MAX_CHARS]] = False
+            self._keep(np.flatnonzero(stay))
+        return found
+
+    def _keep(self, entries: np.ndarray) -> None:
+        """Only these entries stay."""
+        size = self.size[entries]
+        into = np.cumsum(size) - size
+        self.ids = self.ids[np.repeat(self.at[entries] - into, size) + np.arange(int(size.sum()))]
+        self.code, self.check, self.at, self.size = self.code[entries], self.check[entries], into, size
+
+
+_BASE_CODE, _BASE_CHECK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def _hashes(d: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit polynomial hashes of each byte range (ranges do not overlap)."""
+    lens = ends - starts
+    at = np.cumsum(lens) - lens
+    pos = np.arange(int(lens.sum())) - np.repeat(at, lens)
+    chars = _BYTE_CODE[d[pos + np.repeat(starts, lens)]]
+    top, n = int(lens.max()), lens.astype(np.uint64)
+    return tuple(mix(np.add.reduceat(chars * powers(base, top)[pos], at) + n) for base in (_BASE_CODE, _BASE_CHECK))
+
+
 _LOADED: dict[tuple[int, str], LibraryTokens] = {}
 
 

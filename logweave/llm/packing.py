@@ -15,8 +15,9 @@ of work for one task. Ties are broken by (id, piece), so a retried task gives
 the same bins.
 
 Rows without a length, or with a length of 0 or less, take no place and are not
-returned; pieces longer than the capacity are an error. Repeated rows are packed
-each on their own. An empty table gives an empty result.
+returned; pieces longer than the capacity are an error. Repeated rows and null ids are packed
+each on their own, and dealt out like any others; ``df`` should be a stored table, since a row's
+place in it is part of the deal. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,8 +51,9 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
         for rb in batches:
             data, offs = text_buffers(rb.column(1))
             row, piece, start, length, crc = [], [], [], [], []
+            all_ids, at = tok.encode_texts(data, offs)
             for i in range(rb.num_rows):
-                ids = tok.encode([data[offs[i]:offs[i + 1]].tobytes()])[0] + end
+                ids = all_ids[at[i]:at[i + 1]].tobytes() + end
                 for p, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a:a + 4 * capacity]
                     row.append(i)
@@ -198,14 +200,16 @@ def pack(df: DataFrame, capacity: int = 4096, id_col: str = "doc_id", piece_col:
     """The rows of ``df`` with ``sequence_id`` and ``offset`` (gapless from 0 in a sequence)."""
     spark = prepare(df.sparkSession)
     names = df.columns
-    x = df.select(F.struct(*names).alias("_row"), F.xxhash64(F.col(id_col), F.col(piece_col)).alias("_order"),
+    x = df.select(F.struct(*names).alias("_row"), F.xxhash64(F.col(id_col), F.col(piece_col), F.col(length_col)).alias("_order"),
                   F.col(piece_col).cast("long").alias("_piece"), F.col(length_col).cast("long").alias("_length")) \
           .filter(F.col("_length") > 0)
     fields = "_row " + x.schema["_row"].dataType.simpleString() + ", _order bigint, _piece bigint, _length bigint"
 
     def packed(part: DataFrame, n: int, first_id: int) -> DataFrame:
         deal = max(1, -(-n // BLOCK_PIECES))
-        return part.withColumn("_block", F.pmod(F.xxhash64("_order", F.lit(first_id)), F.lit(deal))).groupBy("_block") \
+        # equal rows are dealt out too, however many there are
+        salt = F.monotonically_increasing_id()
+        return part.withColumn("_block", F.pmod(F.xxhash64("_order", salt, F.lit(first_id)), F.lit(deal))).groupBy("_block") \
                    .applyInPandas(_pack_block(capacity, first_id),
                                   fields + ", _block bigint, sequence_id bigint, offset bigint, _fill bigint")
 

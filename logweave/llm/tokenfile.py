@@ -126,8 +126,9 @@ def _write(spec: str, kind: str, end: bytes):
                 ["part", "segment", "doc_ids", "ends", "n_tokens", "before", "codes"])
         for rb in batches:
             data, offs = text_buffers(rb.column(1))
+            all_ids, at = tok.encode_texts(data, offs)
             for i in range(rb.num_rows):
-                ids = tok.encode([data[offs[i]:offs[i + 1]].tobytes()])[0] + end
+                ids = all_ids[at[i]:at[i + 1]].tobytes() + end
                 if n and n + len(ids) // 4 > SEGMENT_TOKENS:
                     yield flush()
                     segment, before = segment + 1, before + n
