@@ -38,10 +38,11 @@ from tokenizers import Tokenizer  # noqa: E402
 CACHE_SEGMENTS = 50_000
 #: Longer segments and units are encoded each time they are met (so entries bound the bytes).
 CACHE_MAX_CHARS = 48
-#: Units that the cache of plain texts holds; over that, those of the last block stay.
-CACHE_UNITS = 1_200_000
+#: Units that the cache of plain texts holds; over that, those met in more than one block
+#: since the last time stay, or those of the last block if these are too many.
+CACHE_UNITS = 500_000
 #: Bytes of text of a block; longer texts are cut between two words.
-BLOCK_TEXT = 1 << 21
+BLOCK_TEXT = 1 << 20
 
 #: Plain visible characters: none of them is white space in any rule set.
 _VISIBLE = "!-~\u00a1-\u167f\u2c00-\u2fff\u3001-\ud7ff"
@@ -326,6 +327,7 @@ class Units:
     def __init__(self):
         self.code, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, dtype=bool)
         self.ids = np.zeros(0, "<u4")
 
     def find(self, d: np.ndarray, starts: np.ndarray, ends: np.ndarray, ask):
@@ -347,6 +349,7 @@ class Units:
         held[held] = self.code[place[held]] == code_u[held]
         if not np.array_equal(self.check[place[held]], check_u[held]):
             raise RuntimeError("a unit shares a hash with one of the cache")
+        self.again[place[held]] = True
         missing = np.flatnonzero(~held)
         entry = place
         if len(missing):
@@ -357,11 +360,14 @@ class Units:
             before = place[missing]
             self.code, self.check = np.insert(self.code, before, code_u[missing]), np.insert(self.check, before, check_u[missing])
             self.at, self.size = np.insert(self.at, before, at), np.insert(self.size, before, size)
+            self.again = np.insert(self.again, before, False)
             self.ids = np.concatenate([self.ids, flat])
             entry = np.searchsorted(self.code, code_u)
         found = entry[inverse], self.ids, self.at, self.size
         if len(missing) and (len(self.code) > CACHE_UNITS or len(self.ids) > 8 * CACHE_UNITS):
-            self._keep(entry[(ends - starts)[first] <= CACHE_MAX_CHARS])
+            stay = np.flatnonzero(self.again)
+            self._keep(stay if len(stay) <= CACHE_UNITS // 2 else entry[(ends - starts)[first] <= CACHE_MAX_CHARS])
+            self.again[:] = False
         elif len(missing) and int((ends - starts)[first[missing]].max()) > CACHE_MAX_CHARS:
             stay = np.ones(len(self.code), dtype=bool)
             stay[entry[(ends - starts)[first] > CACHE_MAX_CHARS]] = False
@@ -373,7 +379,8 @@ class Units:
         size = self.size[entries]
         into = np.cumsum(size) - size
         self.ids = self.ids[np.repeat(self.at[entries] - into, size) + np.arange(int(size.sum()))]
-        self.code, self.check, self.at, self.size = self.code[entries], self.check[entries], into, size
+        self.code, self.check, self.again = self.code[entries], self.check[entries], self.again[entries]
+        self.at, self.size = into, size
 
 
 _BASE_CODE, _BASE_CHECK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
