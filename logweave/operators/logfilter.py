@@ -46,78 +46,181 @@ def allow_services(df: DataFrame, csv: str | None, service: str = "service_name"
     return df.filter(~allow_flag(F.col(service), csv))
 
 
-def _stream_fold(w_us: int, out_schema, key_names: list[str], out: str):
-    """Arrow batches of rows sorted by (keys, time, order) -> the same rows
-    with the kept flag. State carried across batches: the current group and its
-    last kept time. Inside a group the fold jumps from one kept row to the next
-    with ``searchsorted``, so the work follows the kept rows."""
+#: A key's rows are cut into slices of so many dedup windows.
+SLICE_WINDOWS = 4
+
+
+def _runs(rb, names: list[str]):
+    """Start positions of runs of equal ``names`` in a batch sorted by them (first is 0)."""
+    import numpy as np
+    import pyarrow.compute as pc
+    change = np.zeros(rb.num_rows, dtype=bool)
+    change[0] = True
+    for name in names:
+        c = rb.column(rb.schema.get_field_index(name))
+        change[1:] |= pc.not_equal(c.slice(1), c.slice(0, rb.num_rows - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(change)
+
+
+def _slice_tables(w_us: int, carried: bool):
+    """Sorted (_k, _sl, _us) to one row a slice: its first time, and its outgoing last kept
+    time as a step function of the time until which the incoming one blocks: ``outs[i]``
+    for the first i with ``upto[i]`` at or after it; later than all, the incoming one stays.
+    Without carried state the incoming time lies before the slice."""
+    import numpy as np
+    import pyarrow as pa
+
+    def table(k: str, sl: int, t) -> tuple:
+        n = len(t)
+        following = np.r_[np.searchsorted(t, t + w_us), n]
+        last = np.arange(n)
+        while True:  # a slice holds a few windows, so this is a few steps
+            ahead = following[last]
+            if not (ahead < n).any():
+                break
+            last = np.where(ahead < n, ahead, last)
+        out = t[last]
+        if not carried:  # nothing that comes before the slice blocks longer than this
+            m = int(np.searchsorted(t, sl * SLICE_WINDOWS * w_us + w_us)) + 1
+            out = out[:m]
+        ends = np.r_[np.flatnonzero(out[1:] != out[:-1]), len(out) - 1]
+        return k, sl, int(t[0]), t[ends].tolist(), out[ends].tolist()
+
+    def run(batches):
+        held, times = None, []
+        rows: list[tuple] = []
+
+        def batch():
+            cols = list(zip(*rows))
+            types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], ["_k", "_sl", "_first", "_upto", "_outs"])
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            us = rb.column(2).to_numpy(zero_copy_only=False)
+            starts = _runs(rb, ["_k", "_sl"]).tolist()
+            for a, b in zip(starts, starts[1:] + [rb.num_rows]):
+                key = (rb.column(0)[a].as_py(), rb.column(1)[a].as_py())
+                if key != held:
+                    if held is not None:
+                        rows.append(table(*held, np.concatenate(times)))
+                    held, times = key, []
+                times.append(us[a:b])
+            if len(rows) > 5000:
+                yield batch()
+                rows = []
+        if held is not None:
+            rows.append(table(*held, np.concatenate(times)))
+        if rows:
+            yield batch()
+    return run
+
+
+def _compose(w_us: int):
+    """Step functions of a key's slices in order to (_k, _sl, _in): the last kept time that
+    comes into a slice, where it matters."""
+    from bisect import bisect_left
+
+    import pyarrow as pa
+
+    def run(batches):
+        key, last = None, None
+        for rb in batches:
+            out = []
+            cols = [c.to_pylist() for c in rb.columns]
+            for k, sl, first, upto, outs in zip(*cols):
+                if k != key:
+                    key, last = k, None
+                until = None if last is None else last + w_us
+                if until is None or until <= first:
+                    last = outs[0]
+                else:
+                    out.append((k, sl, last))
+                    i = bisect_left(upto, until)
+                    if i < len(outs):
+                        last = outs[i]
+            ks, sls, ins = zip(*out) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.string()), pa.array(sls, pa.int64()), pa.array(ins, pa.int64())], ["_k", "_sl", "_in"])
+    return run
+
+
+def _slice_fold(w_us: int, out_schema):
+    """Arrow batches of rows sorted by (_k, _sl, _us, order) -> the same rows with the kept
+    flag. A slice starts from its incoming last kept time (``_in``) and jumps from one kept row
+    to the next with ``searchsorted``, so the work follows the kept rows."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     def run(batches):
-        prev_key, last = None, None
+        held, last = None, None
         for rb in batches:
             n = rb.num_rows
             if n == 0:
                 continue
-            usc = rb.column(rb.schema.get_field_index("_us"))
-            timed = pc.is_valid(usc).to_numpy(zero_copy_only=False)
+            k, sl, usc, came = (rb.column(rb.schema.get_field_index(c)) for c in ("_k", "_sl", "_us", "_in"))
             us = pc.fill_null(usc, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            cols = [rb.column(rb.schema.get_field_index(k)) for k in key_names]
-            change = np.zeros(n, dtype=bool)
-            for c in cols:
-                ne = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
-                both_null = pc.and_(pc.is_null(c.slice(1)), pc.is_null(c.slice(0, n - 1))).to_numpy(zero_copy_only=False)
-                change[1:] |= ne & ~both_null
-            first_key = tuple(c[0].as_py() for c in cols)
-            change[0] = first_key != prev_key
-            starts = np.flatnonzero(change).tolist() + [n]
-            seg_start = [0] + starts if starts[0] != 0 else starts
             flags = np.zeros(n, dtype=bool)
-            bounds = sorted(set(seg_start))
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                if change[a]:
-                    last = None
-                # rows without a time (sorted first) are kept and leave the state alone
-                untimed = int((~timed[a:b]).sum())
-                flags[a:a + untimed] = True
-                a += untimed
+            starts = _runs(rb, ["_k", "_sl"]).tolist()
+            for a, b in zip(starts, starts[1:] + [n]):
+                key = (k[a].as_py(), sl[a].as_py())
+                if key != held:
+                    held, last = key, came[a].as_py()
+                if not usc[a].is_valid:  # rows without a time have a slice of their own
+                    flags[a:b] = True
+                    continue
                 t = us[a:b]
                 i = 0 if last is None else int(np.searchsorted(t, last + w_us, side="left"))
                 while i < b - a:
                     flags[a + i] = True
                     last = int(t[i])
                     i = int(np.searchsorted(t, last + w_us, side="left"))
-            prev_key = tuple(c[n - 1].as_py() for c in cols)
-            yield pa.RecordBatch.from_arrays(list(rb.columns) + [pa.array(flags)],
-                                             schema=out_schema)
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(flags)], schema=out_schema)
     return run
 
 
+def dedup_key(keys: list) -> Column:
+    """One string for the key columns, different for different keys (null is a value)."""
+    return F.concat(*[F.concat(F.coalesce(F.length(_c(k).cast("string")), F.lit(-1)).cast("string"), F.lit(":"),
+                               F.coalesce(_c(k).cast("string"), F.lit(""))) for k in keys])
+
+
 def dedup_flag(df: DataFrame, keys: list, ts: str, seconds: float, order: str,
-               out: str = "kept") -> DataFrame:
+               out: str = "kept", last_kept: DataFrame | None = None) -> DataFrame:
     """Exact last-kept duplicate suppression, as a flag column.
 
     Per key, in (ts, order) order, a row is kept when no row was kept before or
     the last *kept* row is at least ``seconds`` older; a dropped row does not
-    extend the window; a row without a time is kept and changes nothing. Rows
-    are hash-partitioned by key and sorted by time; one
-    streaming pass per partition folds each key with bounded memory (state: the
-    key and its last kept time), jumping between kept rows with
-    ``searchsorted``. No group is collected, however hot the key.
+    extend the window; a row without a time is kept and changes nothing.
+    ``last_kept`` (_k as :func:`dedup_key` makes it, _us) carries the last kept times of
+    earlier data; rows at or before them are duplicates.
+
+    The rule is sequential in a key, yet no key is one task's work: a key's rows are cut
+    into slices of ``SLICE_WINDOWS`` windows. A slice's outgoing last kept time is
+    tabulated as a step function of the incoming one; the functions, one row a slice, are
+    composed along each key; then every slice is folded on its own from its incoming time.
     """
     if seconds is None or seconds <= 0:
         return df.withColumn(out, F.lit(True))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BooleanType, StructField, StructType
     w_us = int(round(seconds * 1_000_000))
-    kn = [f"_k{i}" for i in range(len(keys))]
-    cols = df.columns
-    x = df.select("*", *[_c(k).alias(n) for k, n in zip(keys, kn)], F.unix_micros(F.col(ts)).alias("_us")) \
-          .repartition(*kn).sortWithinPartitions(*kn, "_us", order)
+    us = F.unix_micros(F.col(ts))
+    sl = F.coalesce(F.floor(us / F.lit(SLICE_WINDOWS * w_us)), F.lit(-(1 << 62)))
+    # the input's columns travel as one, so they may have any names
+    x = df.select(F.struct(*[c for c in df.columns if c != out]).alias("_row"), dedup_key(keys).alias("_k"), us.alias("_us"),
+                  sl.cast("bigint").alias("_sl"), F.col(order).alias("_o"))
+    table = "_k string, _sl bigint, _first bigint, _upto array<bigint>, _outs array<bigint>"
+    steps = x.select("_k", "_sl", "_us").filter(F.col("_us").isNotNull()).repartition("_k", "_sl").sortWithinPartitions("_k", "_sl", "_us") \
+        .mapInArrow(_slice_tables(w_us, last_kept is not None), table)
+    if last_kept is not None:  # an earlier slice that always ends with the carried time
+        steps = steps.unionByName(last_kept.select("_k", F.lit(-(1 << 62)).cast("bigint").alias("_sl"), F.col("_us").alias("_first"),
+                                                   F.array("_us").alias("_upto"), F.array("_us").alias("_outs")))
+    came = steps.repartition("_k").sortWithinPartitions("_k", "_sl").mapInArrow(_compose(w_us), "_k string, _sl bigint, _in bigint")
+    x = x.repartition("_k", "_sl").join(came, ["_k", "_sl"], "left").select("_row", "_k", "_sl", "_us", "_in", "_o") \
+         .sortWithinPartitions("_k", "_sl", "_us", "_o").drop("_o")
     schema = StructType(x.schema.fields + [StructField(out, BooleanType(), False)])
-    return x.mapInArrow(_stream_fold(w_us, to_arrow_schema(schema), kn, out), schema).select(*cols, out)
+    return x.mapInArrow(_slice_fold(w_us, to_arrow_schema(schema)), schema).select("_row.*", out)
 
 
 def dedup_window(df: DataFrame, keys: list, ts: str, seconds: float, order: str) -> DataFrame:
