@@ -40,9 +40,9 @@ CACHE_SEGMENTS = 50_000
 CACHE_MAX_CHARS = 48
 #: Units that the cache of plain texts holds; over that, those met in more than one block
 #: since the last time stay, or those of the last block if these are too many.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 400_000
 #: Bytes of text of a block; longer texts are cut between two words.
-BLOCK_TEXT = 1 << 20
+BLOCK_TEXT = 1 << 19
 
 #: Plain visible characters: none of them is white space in any rule set.
 _VISIBLE = "!-~\u00a1-\u167f\u2c00-\u2fff\u3001-\ud7ff"
@@ -396,6 +396,17 @@ def _hashes(d: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return tuple(mix(np.add.reduceat(chars * powers(base, top)[pos], at) + n) for base in (_BASE_CODE, _BASE_CHECK))
 
 
+def give_back() -> None:
+    """Return memory that this worker's libraries hold for later to the system."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 _LOADED: dict[tuple[int, str], LibraryTokens] = {}
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, prepare, shuffle_width, text_buffers
-from .library_tokens import loaded, read_vocabulary, unload
+from .library_tokens import give_back, loaded, read_vocabulary, unload
 
 #: Tokens of a segment (more only for one longer document).
 SEGMENT_TOKENS = 1 << 17
@@ -137,6 +137,8 @@ def _write(spec: str, kind: str, end: bytes):
                 doc_ids.append(rb.column(0).slice(i, 1))
                 ends.append(n)
                 held.append(ids)
+            del all_ids, data
+            give_back()
         if n:
             yield flush()
     return run
@@ -167,6 +169,7 @@ def _with_start(files: DataFrame) -> DataFrame:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unload()  # a worker of the writing stage may be used again
+    give_back()
     for rb in batches:
         for r in range(rb.num_rows):
             ids = Codes(rb.column(3)[r].as_buffer()).all()
