@@ -245,11 +245,17 @@ def rate_flag(df: DataFrame, service: str, ts: str, n: int, order: str, out: str
 _RATE_COLS = ["_svc", "_hour", "_min", "_n", "_off"]
 
 
-def _rate_ranked(df: DataFrame, service: str, ts: str, n: int, order: str, counted: Column) -> tuple[DataFrame, Column]:
+def _service(service: str) -> Column:
+    return F.coalesce(F.lower(F.col(service)), F.lit(""))
+
+
+def _rate_ranked(df: DataFrame, service: str, ts: str, n: int, order: str, counted: Column,
+                 used: DataFrame | None = None) -> tuple[DataFrame, Column]:
     """Rows with their minute's offset in the hour, and the column that says
     whether a row is within the budget; only ``counted`` rows use it up, and a row
-    without a time is within it and uses nothing."""
-    svc = F.coalesce(F.lower(F.col(service)), F.lit(""))
+    without a time is within it and uses nothing. ``used`` (_svc, _hour, _used): rows of
+    earlier data within the budget."""
+    svc = _service(service)
     x = df.withColumn("_svc", svc).withColumn("_hour", F.date_trunc("hour", F.col(ts))) \
           .withColumn("_min", F.date_trunc("minute", F.col(ts)))
     # one shuffle by minute bucket, read by both the counts and the join back
@@ -258,6 +264,9 @@ def _rate_ranked(df: DataFrame, service: str, ts: str, n: int, order: str, count
     counts = x.groupBy("_svc", "_hour", "_min").agg(F.sum(uses).alias("_n"))
     wc = Window.partitionBy("_svc", "_hour").orderBy("_min").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wc), F.lit(0)))
+    if used is not None:
+        counts = counts.join(used, ["_svc", "_hour"], "left").withColumn("_off", F.col("_off") + F.coalesce("_used", F.lit(0))) \
+                       .select("_svc", "_hour", "_min", "_n", "_off")
     x = join_null_safe(x, counts, ["_svc", "_hour", "_min"])
     wr = Window.partitionBy("_svc", "_hour", "_min").orderBy(F.col(ts), F.col(order)) \
                .rowsBetween(Window.unboundedPreceding, 0)
@@ -290,6 +299,15 @@ class FilterConfig:
     max_message_length: int = 2000
 
 
+@dataclass
+class FilterState:
+    """What the filters remember of earlier data: ``last_kept`` (_k, _us), the last kept
+    time of each dedup key, and ``used`` (_svc, _hour, _used), the rows of each service and
+    hour within the rate budget. None: nothing came before."""
+    last_kept: DataFrame | None = None
+    used: DataFrame | None = None
+
+
 def filter_logs(df: DataFrame, cfg: FilterConfig = FilterConfig(), *, id_col: str = "log_id",
                 ts: str = "ts", level: str = "level", service: str = "service_name",
                 message: str = "message") -> tuple[DataFrame, DataFrame]:
@@ -299,7 +317,11 @@ def filter_logs(df: DataFrame, cfg: FilterConfig = FilterConfig(), *, id_col: st
     ``reasons`` has (reason, n) and also counts truncated messages (not dropped).
     Dedup and rate limit see only the survivors of the stages before them.
     """
-    tagged = filter_reasons(df, cfg, id_col=id_col, ts=ts, level=level, service=service, message=message)
+    return split_reasons(filter_reasons(df, cfg, id_col=id_col, ts=ts, level=level, service=service, message=message), cfg, message)
+
+
+def split_reasons(tagged: DataFrame, cfg: FilterConfig = FilterConfig(), message: str = "message") -> tuple[DataFrame, DataFrame]:
+    """``(kept, reasons)`` from the rows of :func:`filter_reasons`."""
     kept = truncate_messages(tagged.filter(F.col("_reason").isNull()).drop("_reason"), cfg.max_message_length, message)
     cut = F.col("_reason").isNull() & (F.length(message) > cfg.max_message_length)
     reasons = (tagged.select(F.when(cut, F.lit("truncated")).otherwise(F.col("_reason")).alias("reason"))
@@ -309,7 +331,8 @@ def filter_logs(df: DataFrame, cfg: FilterConfig = FilterConfig(), *, id_col: st
 
 
 def filter_reasons(df: DataFrame, cfg: FilterConfig = FilterConfig(), *, id_col: str = "log_id", ts: str = "ts",
-                   level: str = "level", service: str = "service_name", message: str = "message") -> DataFrame:
+                   level: str = "level", service: str = "service_name", message: str = "message",
+                   state: FilterState = FilterState()) -> DataFrame:
     """Every input row with ``_reason``: why the waterfall drops it, null for a kept
     one. One dedup fold and one rate count serve both the kept rows and the reasons."""
     gated = df.withColumn(
@@ -317,16 +340,45 @@ def filter_reasons(df: DataFrame, cfg: FilterConfig = FilterConfig(), *, id_col:
         F.when(severity_gate_flag(F.col(level), cfg.min_severity), F.lit("below_severity"))
          .when(allow_flag(F.col(service), cfg.allowed_services), F.lit("service_not_allowed")))
     passing = gated.filter(F.col("_reason").isNull()).drop("_reason")
-    key = [F.coalesce(F.lower(F.col(service)), F.lit("")), F.coalesce(F.col(message), F.lit(""))]
-    d = dedup_flag(passing, key, ts, cfg.dedup_seconds, id_col, out="_kept")
+    d = dedup_flag(passing, _dedup_keys(service, message), ts, cfg.dedup_seconds, id_col, out="_kept", last_kept=state.last_kept)
     if cfg.rate_limit and cfg.rate_limit > 0:
-        d, within = _rate_ranked(d, service, ts, cfg.rate_limit, id_col, F.col("_kept"))
+        d, within = _rate_ranked(d, service, ts, cfg.rate_limit, id_col, F.col("_kept"), state.used)
     else:
         within = F.lit(True)
     d = d.withColumn("_reason", F.when(~F.col("_kept"), F.lit("duplicate")).when(~within, F.lit("rate_limited")))
     return gated.filter(F.col("_reason").isNotNull()).unionByName(d.select(*df.columns, "_reason"))
 
 
+def _dedup_keys(service: str, message: str) -> list[Column]:
+    return [_service(service), F.coalesce(F.col(message), F.lit(""))]
+
+
+def next_state(tagged: DataFrame, cfg: FilterConfig = FilterConfig(), state: FilterState = FilterState(), lateness: float = 3600,
+               *, ts: str = "ts", service: str = "service_name", message: str = "message") -> FilterState:
+    """The state after the rows of :func:`filter_reasons` (whose messages are as they
+    came in). Keys whose window or hour ended ``lateness`` seconds before the newest row go."""
+    timed = tagged.filter(F.col(ts).isNotNull())
+    us = F.unix_micros(F.col(ts))
+    last = timed.filter(F.col("_reason").isNull() | (F.col("_reason") == "rate_limited")) \
+        .select(dedup_key(_dedup_keys(service, message)).alias("_k"), us.alias("_us"))
+    used = timed.filter(F.col("_reason").isNull()).groupBy(_service(service).alias("_svc"), F.date_trunc("hour", F.col(ts)).alias("_hour")) \
+        .agg(F.count(F.lit(1)).alias("_used"))
+    newest = timed.agg(F.max(us).alias("_newest"))
+    if state.last_kept is not None:
+        last = last.unionByName(state.last_kept.select("_k", "_us"))
+        newest = newest.unionByName(state.last_kept.agg(F.max("_us").alias("_newest"))).agg(F.max("_newest").alias("_newest"))
+    if state.used is not None:
+        used = used.unionByName(state.used.select("_svc", "_hour", "_used"))
+    last = last.groupBy("_k").agg(F.max("_us").alias("_us"))
+    used = used.groupBy("_svc", "_hour").agg(F.sum("_used").alias("_used"))
+    top = newest.first()["_newest"]  # one number
+    if top is not None:
+        behind = top - int(lateness * 1_000_000)
+        last = last.filter(F.col("_us") + int(round((cfg.dedup_seconds or 0) * 1_000_000)) > behind)
+        used = used.filter(F.unix_micros("_hour") + 3_600_000_000 > behind)
+    return FilterState(last, used)
+
+
 def ingest_summary(kept: DataFrame, reasons: DataFrame, level: str = "level") -> DataFrame:
     """(metric, key, n): kept total, dropped total, kept count per level (null -> UNKNOWN)."""
     by_level = kept.groupBy(F.coalesce(F.col(level), F.lit("UNKNOWN")).alias("key")) \

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..streaming import streams as ST
 from ..sources.tables import table
 from .catalog_graph import pair_events as _pair_events  # noqa: F401  (same oracle text)
-from .catalog_logs import _CONCEPT_SQL, _dedup_sql, _rate_sql
+from .catalog_logs import _CONCEPT_COLS, _CONCEPT_SQL, _concept_cols, _dedup_sql, _gate_sql, _rate_sql
 from .catalog_otlp import _BAND, _MSG, events_as_otlp
+from .catalog_parse import _PARSE_SQL
 from .registry import ORACLES, ntz, register
 from .views import VIEW_SQL, duck_view_sql
 
@@ -107,20 +108,40 @@ def stream_late_rows(spark, sf):
     return spark.createDataFrame([(ST.late_rows(q),)], "dropped_by_watermark long")
 
 
-@register("ingest_loop")
+#: Entries of the log documents, through the waterfall in one go. Entries without a time are
+#: neither duplicates nor limited.
+_INGEST_SQL = f"""WITH RECURSIVE
+lines AS (SELECT doc_id * 1000000 + entry_no AS log_id, ts, 'svc-' || CAST(doc_id % 8 AS VARCHAR) AS service_name, level, message FROM ({_PARSE_SQL})),
+s12 AS ({_gate_sql('lines')}),
+s12k AS (SELECT *, lower(service_name) AS svc_l, coalesce(message, '') AS msg_k FROM s12 WHERE ts IS NOT NULL),
+""" + _dedup_sql("s12k", "svc_l", "msg_k", 60, "dd") + f""",
+rl AS ({_rate_sql("(SELECT * FROM dd WHERE _kept)", 500)}),
+pass AS (SELECT log_id, ts, service_name, level, message FROM rl WHERE _ok UNION ALL SELECT * FROM s12 WHERE ts IS NULL),
+kept AS (SELECT * EXCLUDE (message), CASE WHEN length(message) > 2000 THEN substr(message, 1, 2000) || '… [truncated]' ELSE message END AS message FROM pass)
+""" + _CONCEPT_SQL + f"SELECT {_CONCEPT_COLS} FROM concepts"
+
+#: Micro-batches of the ingest query, and files of each.
+INGEST_BATCHES, INGEST_FILES = 4, 4
+
+
+@register("ingest_loop", _INGEST_SQL)
 def ingest_loop(spark, sf):
-    """SK8: log documents streamed in four files, one per micro-batch, through
-    parse -> filter -> concepts with per-batch idempotent deltas."""
+    """SK8: log documents streamed in four micro-batches, in time order, through
+    parse -> filter -> concepts; filter state goes from batch to batch, so the concepts are
+    those of all documents in one go."""
     from ..streaming import ingest as IN
     from .views import view
     src = ST.scratch(spark, "ingest-in")
     lines = view(spark, sf, "v_log_lines").withColumn(
         "service_name", F.concat(F.lit("svc-"), (F.col("doc_id") % 8).cast("string"))).withColumn("source", F.lit("file"))
-    lines.repartition(4, "doc_id").write.parquet(src)
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    end = lines.agg(F.max("doc_id")).first()[0]
+    for k in range(INGEST_BATCHES):  # folder after folder: the file source takes files by their age
+        lines.filter(F.floor(F.col("doc_id") * INGEST_BATCHES / F.lit((end or 0) + 1)) == k) \
+             .repartition(INGEST_FILES).write.parquet(os.path.join(src, f"part{k}"))
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", INGEST_FILES).parquet(os.path.join(src, "part*"))
     state = ST.scratch(spark, "ingest-state")
     ST.run_available(stream, "ingest", foreach_batch=lambda b, i, out: IN.ingest_batch(state)(b, i))
-    return IN.concept_table(spark, state)
+    return _concept_cols(IN.concept_table(spark, state))
 
 
 @register("stream_dedup_approx")

@@ -57,14 +57,22 @@ def stream_otlp(spark: SparkSession, path: str, max_files: int | None = None, wh
     return O.otlp_entries(O.flatten_otlp(raw))
 
 
+def _in_order(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A key's rows of this micro-batch in time order. Spark hands them over in Arrow
+    chunks in any order, so they are sorted together; the source's options (files or bytes
+    for each trigger) bound what one micro-batch holds."""
+    parts = list(pdfs)
+    if parts:
+        yield (pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]).sort_values(["_us", "_o"], kind="stable")
+
+
 def _dedup_state(w_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["_us", "_o"])
+        for pdf in _in_order(pdfs):
             keep = []
             for us in pdf["_us"].to_numpy():
                 if pd.isna(us):          # no time: kept, state unchanged (as the batch form)
@@ -107,8 +115,7 @@ def _rate_state(n: int):
             state.remove()
             return
         used = state.get[0] if state.exists else 0
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["_us", "_o"])
+        for pdf in _in_order(pdfs):
             room = max(0, n - used)
             out = pdf.iloc[:room]
             used += len(out)
@@ -153,12 +160,13 @@ def stream_drain(df: DataFrame, state_dir: str):
             F.min(F.struct(F.col("ts").alias("t"), F.col("log_id").alias("o"))).alias("_f")) \
             .select("service_name", "template", F.col("_f.t").alias("ts"), F.col("_f.o").alias("log_id"))
         known_path = os.path.join(state_dir, "templates")
-        try:
+        hpath = spark._jvm.org.apache.hadoop.fs.Path(known_path)
+        if hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath):
             known = spark.read.parquet(known_path)
             allt = known.unionByName(t).groupBy("service_name", "template").agg(
                 F.min(F.struct("ts", "log_id")).alias("_f")) \
                 .select("service_name", "template", F.col("_f.ts").alias("ts"), F.col("_f.log_id").alias("log_id"))
-        except Exception:  # noqa: BLE001 - first batch: no state yet
+        else:  # first batch
             allt = t
         allt = allt.checkpoint(eager=True)  # cut lineage before rewriting the state table
         allt.write.mode("overwrite").parquet(known_path)
@@ -173,8 +181,7 @@ def _pair_state(window_us: int):
             return
         prev = state.get if state.exists else None
         rows = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["_us", "_o"])
+        for pdf in _in_order(pdfs):
             for ent, us, t in zip(pdf["entity"], pdf["_us"], pdf["ts"]):
                 if prev is not None and prev[0] != ent and us - prev[1] <= window_us:
                     rows.append((prev[0], ent, (us - prev[1]) / 1000.0, t))
