@@ -51,14 +51,52 @@ def log_anomalies(logs: DataFrame, threshold: float = 0.3, critical: float = 0.5
                     .alias("message"), "error_count", "total_count", "error_rate", "spike_score")
 
 
+#: Steps of the value buckets of :func:`exact_percentiles`: so many for each factor of e.
+BUCKET_STEPS = 4096
+
+
+def exact_percentiles(df: DataFrame, group: str, value: str, points: dict[str, float]) -> DataFrame:
+    """(``group``, a column for each ``name: part`` of ``points``): percentiles with linear
+    interpolation, exact, without a group's values in one place.
+
+    Values fall into buckets by a monotone function; counts of (group, bucket) are
+    small and tell which bucket holds a wanted rank. Only the values of those buckets are
+    counted one by one, and running counts in a bucket find the rank. Null values do not
+    count; a group without values has no row; NaN is the largest value."""
+    v = F.col("_v")
+    # log1p rises with its argument, so buckets ascend with the values
+    step = F.when(F.isnan(v), F.lit((1 << 62) + 1)).when(v == float("inf"), F.lit(1 << 62)).when(v == float("-inf"), F.lit(-(1 << 62))) \
+            .otherwise((F.signum(v) * F.floor(F.log1p(F.abs(v)) * BUCKET_STEPS)).cast("bigint"))
+    x = df.select(F.struct(F.col(group).alias("g")).alias("_g"), F.col(value).cast("double").alias("_v")).filter(v.isNotNull()) \
+          .withColumn("_b", step)
+    counts = x.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))) \
+                   .withColumn("_all", F.sum("_n").over(Window.partitionBy("_g")))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(part) * (F.col("_all") - 1)).alias("pos"), fn(F.lit(part) * (F.col("_all") - 1)).alias("rank"))
+                       for name, part in points.items() for fn in (F.floor, F.ceil)])
+    ranks = counts.withColumn("_w", F.explode(wanted)).filter((F.col("_w.rank") >= F.col("_before")) & (F.col("_w.rank") < F.col("_before") + F.col("_n"))) \
+                  .select("_g", "_b", F.col("_w.name").alias("name"), F.col("_w.pos").alias("pos"), (F.col("_w.rank") - F.col("_before")).alias("rank"),
+                          F.col("_w.rank").alias("whole"))
+    hit = x.join(ranks.select("_g", "_b").distinct(), ["_g", "_b"], "left_semi").groupBy("_g", "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    wv = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    hit = hit.withColumn("_before", F.coalesce(F.sum("_n").over(wv), F.lit(0)))
+    found = ranks.join(hit, ["_g", "_b"]).filter((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n")))
+    ends = found.groupBy("_g", "name").agg(F.min_by("_v", "whole").alias("low"), F.max_by("_v", "whole").alias("high"),
+                                           F.min("whole").alias("a"), F.max("whole").alias("b"), F.first("pos").alias("pos"))
+    at = F.when(F.col("a") == F.col("b"), F.col("low")).otherwise((F.col("b") - F.col("pos")) * F.col("low") + (F.col("pos") - F.col("a")) * F.col("high"))
+    out = ends.groupBy("_g").agg(*[F.max(F.when(F.col("name") == name, at)).alias(name) for name in points])
+    return out.select(F.col("_g.g").alias(group), *points)
+
+
 def trace_latency(traces: DataFrame, service: str | None = None, slow_ms: float = 1000.0,
                   group: str = "service") -> DataFrame:
     """DA3: per service trace count, exact p50 / p95 latency and slow trace count."""
+    from .ordering import join_null_safe
     t = traces if service is None else traces.filter(F.col(group) == service)
-    return t.groupBy(group).agg(F.count(F.lit(1)).alias("trace_count"),
-                                F.percentile("duration_ms", 0.5).alias("p50_latency"),
-                                F.percentile("duration_ms", 0.95).alias("p95_latency"),
-                                F.count_if(F.col("duration_ms") > slow_ms).alias("slow_count"))
+    base = t.groupBy(group).agg(F.count(F.lit(1)).alias("trace_count"), F.count_if(F.col("duration_ms") > slow_ms).alias("slow_count"))
+    at = exact_percentiles(t, group, "duration_ms", {"p50_latency": 0.5, "p95_latency": 0.95})
+    return join_null_safe(base, at, [group], "left").select(group, "trace_count", "p50_latency", "p95_latency", "slow_count")
 
 
 def trace_latency_approx(traces: DataFrame, group: str = "service", accuracy: int = 10000) -> DataFrame:
@@ -142,18 +180,27 @@ def author_90d(commits: DataFrame, files: DataFrame | None = None, days: int = 9
 
 
 def deployment_errors(deploys: DataFrame, logs: DataFrame, hours: int = 1) -> DataFrame:
-    """DA7: error entries of the deployed service in the hour after each
-    deployment. Interval join on (service, hour bucket) with the deployment's
-    bucket and the next ones, then the exact time filter."""
-    lb = logs.filter(_is_error(F.col("level"))).select(
-        F.col("service_name").alias("_svc"), F.col("ts").alias("_lts"),
-        (F.unix_seconds("ts") / 3600).cast("bigint").alias("_b"))
-    d = deploys.withColumn("_b0", (F.unix_seconds("ts") / 3600).cast("bigint"))
-    d = d.withColumn("_b", F.explode(F.sequence(F.col("_b0"), F.col("_b0") + hours)))
-    j = d.join(lb, (d["service_name"] == lb["_svc"]) & (d["_b"] == lb["_b"]), "left") \
-         .withColumn("_hit", (F.col("_lts") > F.col("ts")) & (F.col("_lts") <= F.col("ts") + F.expr(f"INTERVAL {hours} HOURS")))
-    keys = [c for c in deploys.columns]
-    return j.groupBy(*keys).agg(F.count_if(F.coalesce("_hit", F.lit(False))).alias("errors_after"))
+    """DA7: error entries of the deployed service in the ``hours`` after each deployment.
+
+    No pair of a deployment and an entry is made: entries and the two ends of each
+    deployment's window stand in one time line of a service, a running count (chunked by
+    hour) gives the entries up to each end, and the difference of the two is the answer. A
+    deployment without a time has no errors after it; repeated deployments are rows of their own."""
+    from .ordering import join_null_safe, running_sums
+    errors = logs.filter(_is_error(F.col("level")) & F.col("ts").isNotNull()).select(
+        F.col("service_name").alias("_svc"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"), F.lit(0).alias("_kind"), F.lit(1).alias("_one"))
+    span = hours * 3_600_000_000
+    begin = deploys.filter(F.col("ts").isNotNull()).select(F.col("service_name").alias("_svc"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_d")).distinct()
+    # at the same time, entries come before the ends (kind 1): the window is open below, closed above
+    ends = begin.select("_svc", F.explode(F.array("_d", F.col("_d") + span)).alias("_t")).distinct() \
+                .withColumn("_kind", F.lit(1)).withColumn("_one", F.lit(0))
+    line = running_sums(errors.unionByName(ends), ["_svc"], ["_t", "_kind"], F.floor(F.col("_t") / 3_600_000_000),
+                        {"_upto": F.col("_one")}).filter("_kind = 1").select("_svc", "_t", "_upto")
+    first, last = (line.select("_svc", (F.col("_t") - back).alias("_d"), F.col("_upto").alias(name)) for back, name in ((0, "_a"), (span, "_z")))
+    n = join_null_safe(join_null_safe(begin, first, ["_svc", "_d"]), last, ["_svc", "_d"]) \
+        .select(F.col("_svc").alias("service_name"), F.col("_d"), (F.col("_z") - F.col("_a")).alias("errors_after"))
+    out = join_null_safe(deploys.withColumn("_d", F.unix_micros(F.col("ts").cast("timestamp"))), n, ["service_name", "_d"], "left")
+    return out.select(*deploys.columns, F.coalesce("errors_after", F.lit(0)).cast("long").alias("errors_after"))
 
 
 def incident_patterns(incidents: DataFrame, commits: DataFrame, files: DataFrame, level: str = "directory") -> DataFrame:

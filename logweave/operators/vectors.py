@@ -2,9 +2,11 @@
 result shaping.
 
 Exact search (:func:`knn`) broadcasts the query side only after checking its
-size; items are scored batch by batch (Arrow -> NumPy matrix product) and
-pruned to the best ``k`` per query inside each batch, so no query x item pair
-is ever materialised as a row. A final window keeps the global top ``k``.
+size, and joins larger query sets with the items block by block
+(:func:`knn_blocked`); items are scored by a NumPy matrix product and pruned to the
+best ``k`` per query at once, so no query x item pair is ever materialised as a
+row. A final window keeps the global top ``k``. :func:`ann` scores only the items of
+the inverted lists next to a query.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ HEAL_MIN_SIMILARITY = 0.25
 CROSS_REF_BOOST = 0.15
 CLIP_CHARS = 4000
 # Size bound for the broadcast query matrix (bytes); larger query sets are
-# scored in successive chunks of this size.
+# joined in blocks.
 MAX_QUERY_BYTES = 64 << 20
 
 
@@ -57,101 +59,222 @@ def clip_text(c: Column, n: int = CLIP_CHARS) -> Column:
     return F.substring(c, 1, n)
 
 
-def _score_batches(q_ids: np.ndarray, q_mat: np.ndarray, k: int, iid: str, ivec: str, out_schema):
+def _matrix(vec, dim: int):
+    """(rows with a vector of ``dim`` that is not zero, their unit vectors) of an Arrow list column."""
     import pyarrow as pa
     import pyarrow.compute as pc
-
-    dim = q_mat.shape[1]
+    if isinstance(vec, pa.ChunkedArray):
+        vec = vec.combine_chunks()
+    ok = pc.fill_null(pc.list_value_length(vec), -1).to_numpy(zero_copy_only=False) == dim
+    m = pc.list_flatten(vec.filter(pa.array(ok))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    n = np.linalg.norm(m, axis=1)
+    return np.flatnonzero(ok)[n > 0], m[n > 0] / n[n > 0][:, None]
+
+
+def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(column, row) of the best ``k`` rows of each column: similarity desc, id asc."""
+    kk = min(k, len(ids))
+    rows = []
+    for j in range(sims.shape[1]):
+        s = sims[:, j]
+        if kk < len(ids):                        # shortlist, then exact order with ties
+            cut = np.partition(-s, kk - 1)[kk - 1]
+            cand = np.nonzero(-s <= cut)[0]
+        else:
+            cand = np.arange(len(ids))
+        rows.append(cand[np.lexsort((ids[cand], -s[cand]))][:kk])
+    return np.repeat(np.arange(sims.shape[1]), kk), np.concatenate(rows) if rows else np.zeros(0, np.int64)
+
+
+def _score_batches(q_ids: np.ndarray, q_mat: np.ndarray, k: int, out_schema):
+    """Arrow batches (id, vector) of items against a broadcast query matrix."""
+    import pyarrow as pa
 
     def run(batches):
         for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            vec = rb.column(rb.schema.get_field_index(ivec))
-            lens = pc.fill_null(pc.list_value_length(vec), -1).to_numpy(zero_copy_only=False)
-            ok = lens == dim
-            if not ok.any():
-                continue
-            mask = pa.array(ok)
-            ids = rb.column(rb.schema.get_field_index(iid)).filter(mask).to_numpy(zero_copy_only=False)
-            m = pc.list_flatten(vec.filter(mask)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            n = np.linalg.norm(m, axis=1)
-            good = n > 0
-            ids, m, n = ids[good], m[good], n[good]
-            if len(ids) == 0:
+            at, m = _matrix(rb.column(1), q_mat.shape[1]) if rb.num_rows else ((), None)
+            if not len(at):
                 continue
-            sims = (m @ q_mat.T) / n[:, None]            # (items, queries)
-            kk = min(k, len(ids))
-            out_q, out_i, out_s = [], [], []
-            for j in range(q_mat.shape[0]):
-                s = sims[:, j]
-                if kk < len(ids):                        # shortlist, then exact order with ties
-                    cut = np.partition(-s, kk - 1)[kk - 1]
-                    cand = np.nonzero(-s <= cut)[0]
-                else:
-                    cand = np.arange(len(ids))
-                order = cand[np.lexsort((ids[cand], -s[cand]))][:kk]   # similarity desc, item id asc
-                out_q.append(np.repeat(q_ids[j], kk))
-                out_i.append(ids[order])
-                out_s.append(s[order])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_q)).cast(out_schema.field(0).type),
-                 pa.array(np.concatenate(out_i)).cast(out_schema.field(1).type),
-                 pa.array(np.concatenate(out_s), pa.float64())], schema=out_schema)
+            ids = rb.column(0).to_numpy(zero_copy_only=False)[at]
+            sims = m @ q_mat.T                            # (items, queries)
+            q, i = _best(sims, ids, k)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]).cast(out_schema.field(0).type),
+                                              pa.array(ids[i]).cast(out_schema.field(1).type), pa.array(sims[i, q])], schema=out_schema)
     return run
 
 
+def _score_cell(k: int, dim: int, out_schema):
+    """One cell: a block of queries (_q, _v) and a block of items (_i, _v) to the best
+    ``k`` items of each query in it."""
+    import pyarrow as pa
+
+    def run(queries: pa.Table, items: pa.Table) -> pa.Table:
+        qa, qm = _matrix(queries["_v"], dim)
+        ia, im = _matrix(items["_v"], dim)
+        if not len(qa) or not len(ia):
+            return out_schema.empty_table()
+        ids = items["_i"].to_numpy()[ia]
+        sims = im @ qm.T
+        q, i = _best(sims, ids, k)
+        return pa.Table.from_arrays([queries["_q"].take(pa.array(qa[q])).combine_chunks(), pa.array(ids[i]).cast(out_schema.field(1).type),
+                                     pa.array(sims[i, q])], schema=out_schema)
+    return run
+
+
+def _schema(queries: DataFrame, qid: str, items: DataFrame, iid: str):
+    """(DDL, Arrow schema) of scored pairs."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    ddl = f"query_id {dict(queries.select(qid).dtypes)[qid]}, item_id {dict(items.select(iid).dtypes)[iid]}, similarity double"
+    return ddl, to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of what cells or batches found; each partition cuts to ``k`` before the shuffle."""
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("item_id"))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _query_stats(queries: DataFrame, qid: str, qvec: str) -> tuple[DataFrame, int, int]:
+    """(rows with a vector as _q and _v, their number, their dimension)."""
+    q = queries.select(F.col(qid).alias("_q"), F.col(qvec).alias("_v")).filter(F.col("_v").isNotNull() & (F.size("_v") > 0))
+    st = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d"), F.min(F.size("_v")).alias("least")).first()
+    if st["n"] and st["least"] != st["d"]:
+        raise ValueError(f"vector dimension mismatch: queries of {st['least']} and of {st['d']} dimensions")
+    return q, st["n"], st["d"] or 0
+
+
 def knn(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_id", qvec: str = "embedding",
         iid: str = "item_id", ivec: str = "embedding", max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """VE5: top-``k`` items per query by cosine similarity.
 
     Returns (query_id, item_id, similarity, rank). Null, empty or zero vectors and
     items of another size are skipped; queries of different sizes are an error (VE3).
-    Ties go to the smaller item id.
+    Ties go to the smaller item id. A query set of at most ``max_query_bytes`` is
+    sent to the items, which then need no shuffle; a larger one is joined in blocks
+    (:func:`knn_blocked`), with the same result.
     """
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     spark = items.sparkSession
-    q = queries.select(F.col(qid).alias("q"), F.col(qvec).alias("v")).filter(F.col("v").isNotNull() & (F.size("v") > 0))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"),
-                  F.min(F.size("v")).alias("least")).first()
-    n_q, dim = stats["n"] or 0, stats["d"] or 0
-    if n_q and stats["least"] != dim:
-        raise ValueError(f"vector dimension mismatch: queries of {stats['least']} and of {dim} dimensions")
-    id_type = dict(items.select(iid).dtypes)[iid]
-    q_type = dict(queries.select(qid).dtypes)[qid]
-    schema = f"query_id {q_type}, item_id {id_type}, similarity double"
-    empty = spark.createDataFrame([], schema + ", rank int")
+    q, n_q, dim = _query_stats(queries, qid, qvec)
+    ddl, out_schema = _schema(queries, qid, items, iid)
     if n_q == 0:
-        return empty
-    out_schema = to_arrow_schema(StructType.fromDDL(schema))
-    per_chunk = max(1, max_query_bytes // max(1, dim * 8))
-    # a query set above the size bound is scored in hash chunks, each broadcast alone
-    n_chunks = 1 if n_q <= per_chunk else 2 * ((n_q + per_chunk - 1) // per_chunk)
-    item_side = items.select(iid, ivec)
-    parts = []
-    for c in range(n_chunks):
-        part = q if n_chunks == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(n_chunks)) == c)
-        rows = part.collect()
-        if not rows:
-            continue
-        q_ids = np.array([r["q"] for r in rows])
-        mat = np.array([r["v"] for r in rows], dtype=np.float64)
-        qn = np.linalg.norm(mat, axis=1)
-        keep = qn > 0
-        q_ids, mat = q_ids[keep], mat[keep] / qn[keep][:, None]
-        if len(q_ids) == 0:
-            continue
-        parts.append(item_side.mapInArrow(_score_batches(q_ids, mat, k, iid, ivec, out_schema), schema))
-    if not parts:
-        return empty
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("item_id"))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return spark.createDataFrame([], ddl + ", rank int")
+    if n_q * dim * 8 > max_query_bytes:
+        return knn_blocked(queries, items, k, qid=qid, qvec=qvec, iid=iid, ivec=ivec)
+    rows = q.collect()  # its size is checked above
+    mat = np.array([r["_v"] for r in rows], dtype=np.float64)
+    qn = np.linalg.norm(mat, axis=1)
+    keep = qn > 0
+    if not keep.any():
+        return spark.createDataFrame([], ddl + ", rank int")
+    q_ids = np.array([r["_q"] for r in rows])[keep]
+    return _ranked(items.select(iid, ivec).mapInArrow(_score_batches(q_ids, mat[keep] / qn[keep][:, None], k, out_schema), ddl), k)
+
+
+#: Vectors of a block of queries and of items: what a cell of the blocked join holds.
+QUERY_BLOCK, ITEM_BLOCK = 4096, 65_536
+
+
+def knn_blocked(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_id", qvec: str = "embedding",
+                iid: str = "item_id", ivec: str = "embedding", query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """VE5 for query sets of any size: both sides are dealt into blocks by a hash, every
+    pair of blocks is a cell of the shuffle, and a cell scores its block of queries
+    against its block of items with one matrix product and hands on the best ``k`` of each
+    query. Result and rules are those of :func:`knn`."""
+    q, n_q, dim = _query_stats(queries, qid, qvec)
+    ddl, out_schema = _schema(queries, qid, items, iid)
+    if n_q == 0:
+        return items.sparkSession.createDataFrame([], ddl + ", rank int")
+    it = items.select(F.col(iid).alias("_i"), F.col(ivec).alias("_v")).filter(F.size("_v") == dim)
+    n_qb, n_ib = -(-n_q // query_block), max(1, -(-it.count() // item_block))
+
+    def dealt(df: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.lit(own_blocks))) \
+                 .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_blocks - 1).cast("long"))))
+    left, right = dealt(q, "_qb", n_qb, "_ib", n_ib), dealt(it, "_ib", n_ib, "_qb", n_qb)
+    cells = left.groupBy("_qb", "_ib").cogroup(right.groupBy("_qb", "_ib"))
+    return _ranked(cells.applyInArrow(_score_cell(k, dim, out_schema), ddl), k)
+
+
+#: Lists of the approximate index at most (their centres are sent with the tasks), and rows
+#: of the sample that centres and the number of probes are fitted on (expected number).
+MAX_LISTS, INDEX_SAMPLE = 1024, 20_000
+
+
+def fit_index(items: DataFrame, k: int, recall: float = 0.95, iid: str = "item_id", vec: str = "embedding",
+              lists: int | None = None, seed: int = 7) -> tuple[np.ndarray, int]:
+    """(unit centres, probes) of an inverted-list index: cosine k-means over a hash sample
+    of about ``INDEX_SAMPLE`` items, and the fewest lists to look into so that sampled
+    items find the part ``recall`` of their ``k`` neighbours in the sample."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    it = items.select(F.col(iid).alias("_i"), F.transform(F.col(vec), lambda x: x.cast("double")).alias("_v")).filter(F.size("_v") > 0) \
+              .filter(norm(F.col("_v")) > 0)
+    n = it.count()
+    if n > INDEX_SAMPLE:
+        it = it.filter(F.pmod(F.xxhash64("_i", F.lit(seed)), F.lit(1 << 20)) < int(INDEX_SAMPLE / n * (1 << 20)))
+    sample = it.select(F.transform("_v", lambda x: x / norm(F.col("_v"))).alias("_v"))
+    m = np.array([r["_v"] for r in sample.collect()], dtype=np.float64)  # bounded by INDEX_SAMPLE
+    if not len(m):
+        return np.zeros((0, 0)), 0
+    lists = min(lists or int(2 * n ** 0.5) or 1, MAX_LISTS, len(m))
+    if lists == 1:
+        centres = m.mean(axis=0)[None, :]
+    else:
+        model = KMeans(k=lists, seed=seed, maxIter=8, distanceMeasure="cosine", featuresCol="_f").fit(
+            sample.select(array_to_vector("_v").alias("_f")))
+        centres = np.array(model.clusterCenters())
+    size = np.linalg.norm(centres, axis=1)
+    centres = centres[size > 0] / size[size > 0][:, None]
+    asked = m[:: max(1, len(m) // 300)]
+    sims = asked @ m.T
+    best = np.argsort(-sims, axis=1, kind="stable")[:, 1:k + 1] if len(m) > 1 else np.zeros((1, 1), np.int64)  # the first is the vector itself
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+    own = np.argmax(m @ centres.T, axis=1)
+    depth = np.sort(np.take_along_axis(place, own[best], axis=1).ravel())
+    return centres, int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))) - 1)]) + 1
+
+
+def ann(queries: DataFrame, items: DataFrame, k: int, recall: float = 0.95, qid: str = "query_id", iid: str = "item_id",
+        vec: str = "embedding", index: tuple[np.ndarray, int] | None = None, query_block: int = QUERY_BLOCK,
+        item_block: int = ITEM_BLOCK) -> DataFrame:
+    """VE17: approximate neighbours by inverted lists. Every item is in the list of its
+    nearest centre; a query meets the items of its ``probes`` nearest lists only, which
+    are scored exactly. Lists and the queries that probe them are cut into blocks of bounded
+    size, so a list may hold any part of the items. ``index``: what :func:`fit_index` made
+    (by default fitted here); recall follows the sample, and the number of probes with it."""
+    import pyarrow as pa
+    ddl, out_schema = _schema(queries, qid, items, iid)
+    centres, probes = index or fit_index(items, k, recall, iid, vec)
+    if not probes:
+        return items.sparkSession.createDataFrame([], ddl + ", rank int")
+    dim = centres.shape[1]
+
+    def nearest(n: int):
+        def run(batches):
+            for rb in batches:
+                at, m = _matrix(rb.column(1), dim) if rb.num_rows else (np.zeros(0, np.int64), None)
+                if len(at):
+                    lists = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :n]
+                    rows = rb.take(pa.array(np.repeat(at, lists.shape[1])))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lists.ravel().astype(np.int32))], ["_id", "_v", "_list"])
+        return run
+
+    def listed(df: DataFrame, idc: str, n: int) -> DataFrame:
+        x = df.select(F.col(idc).alias("_id"), F.col(vec).alias("_v"))
+        return x.mapInArrow(nearest(n), ", ".join(f"{c} {t}" for c, t in x.dtypes) + ", _list int")
+    q, it = listed(queries, qid, probes).withColumnRenamed("_id", "_q"), listed(items, iid, 1).withColumnRenamed("_id", "_i")
+
+    def blocks(df: DataFrame, name: str, size: int) -> DataFrame:  # a row for each list
+        return df.groupBy("_list").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("long").alias(name))
+    parts = F.broadcast(blocks(q, "_nq", query_block).join(blocks(it, "_ni", item_block), "_list"))
+
+    def dealt(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        return df.join(parts, "_list").withColumn(own, F.pmod(F.xxhash64(df.columns[0], "_v"), F.col(n_own))) \
+                 .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1))).drop("_nq", "_ni")
+    left, right = dealt(q, "_qb", "_nq", "_ib", "_ni"), dealt(it, "_ib", "_ni", "_qb", "_nq")
+    cells = left.groupBy("_list", "_qb", "_ib").cogroup(right.groupBy("_list", "_qb", "_ib"))
+    return _ranked(cells.applyInArrow(_score_cell(k, dim, out_schema), ddl), k)
 
 
 def attach(hits: DataFrame, items: DataFrame, iid: str = "item_id", cols: list[str] | None = None) -> DataFrame:
@@ -202,12 +325,12 @@ def boost_by_logs(code: DataFrame, logs: DataFrame, key: str = "query_id", path:
     Both sides are per-query result sets (bounded by k), so the theta condition
     runs only inside the equi-join on the query key."""
     refs = logs.filter(F.col(ref).isNotNull() & (F.col(ref) != "")).select(F.col(key).alias("_q"), F.col(ref).alias("_ref"))
-    code_k = code.withColumn("_row", F.monotonically_increasing_id())
-    m = code_k.join(refs, (code_k[key] == refs["_q"]) & F.col(path).contains(F.col("_ref")), "left") \
-              .groupBy("_row").agg(F.count("_ref").alias("_n"))
-    out = code_k.join(m, "_row").withColumn("cross_referenced", F.col("_n") > 0) \
-        .withColumn("similarity", F.least(F.lit(1.0), F.col("similarity") + F.lit(CROSS_REF_BOOST) * F.col("_n")))
-    return out.drop("_row", "_n")
+    m = code.select(F.col(key).alias("_q"), F.col(path).alias("_path")).distinct().join(refs, "_q") \
+            .filter(F.col("_path").contains(F.col("_ref"))).groupBy("_q", "_path").agg(F.count(F.lit(1)).alias("_n"))
+    out = code.join(m, code[key].eqNullSafe(F.col("_q")) & code[path].eqNullSafe(F.col("_path")), "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    return out.withColumn("cross_referenced", F.col("_n") > 0) \
+              .withColumn("similarity", F.least(F.lit(1.0), F.col("similarity") + F.lit(CROSS_REF_BOOST) * F.col("_n"))) \
+              .drop("_q", "_path", "_n")
 
 
 # Fixed values (must equal the reference): change-review dimensions and prompts.

@@ -77,6 +77,19 @@ def knn_topk(spark, sf):
     return _out(V.knn(_queries(spark, sf), _items(spark, sf), 5))
 
 
+_EVERY_20TH = _CENT[:_CENT.index("ex AS")] + _CENT[_CENT.index("items AS"):] + """,
+cen AS (SELECT item_id AS query_id, v AS q FROM items WHERE item_id % 20 = 0)"""
+
+
+@register("knn_blocked", f"WITH {_EVERY_20TH} {_HITS} FROM ({_knn_sql('items', 5)})")
+def knn_blocked(spark, sf):
+    """VE5 beyond one block: exact top-5 of every 20th vector among all vectors, joined in
+    blocks of 64 queries and 256 items."""
+    it = _items(spark, sf)
+    q = it.filter("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    return _out(V.knn_blocked(q, it, 5, query_block=64, item_block=256))
+
+
 @register("knn_threshold", f"WITH {_CENT} {_HITS} FROM ({_knn_sql('items', 20)}) WHERE similarity >= 0.3")
 def knn_threshold(spark, sf):
     """VE6: top-20 then similarity >= 0.3 (threshold after top-k)."""
