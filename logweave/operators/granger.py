@@ -1,5 +1,9 @@
 """Granger causality between the hourly counts of two entities (lagged OLS),
-with F and chi-square tail probabilities computed here (no statistics package)."""
+with F and chi-square tail probabilities computed here (no statistics package).
+
+A pair's series never meets in one place: the regressions need sums of products of
+lagged counts only, which are SQL aggregates; the small normal equations of
+each pair are solved from one row of sums."""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LAG = 3
@@ -97,11 +101,52 @@ def granger_pvalue(effect: np.ndarray, cause: np.ndarray, max_lag: int = MAX_LAG
     return min(ps) if ps else None
 
 
-def _granger_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("hour")
-    p = granger_pvalue(pdf["n_target"].to_numpy(), pdf["n_source"].to_numpy())
-    return pd.DataFrame({"source_entity": [pdf["source_entity"].iloc[0]], "target_entity": [pdf["target_entity"].iloc[0]],
-                         "n_points": [len(pdf)], "p_value": [p]})
+#: A fit that leaves less of the sum of squares than this is perfect, and no test.
+PERFECT = 1e-10
+
+
+def _variables(lag: int) -> list[Column]:
+    """Regressors and regressed variable of one lag: 1, own lags, lags of the other, y."""
+    return [F.lit(1.0), *[F.col(f"_y{j}") for j in range(1, lag + 1)], *[F.col(f"_x{j}") for j in range(1, lag + 1)], F.col("_y0")]
+
+
+def _sums(lag: int) -> list[Column]:
+    """The upper triangle of the Gram matrix of :func:`_variables`, over the points that have the lag."""
+    v = _variables(lag)
+    return [F.sum(F.when(F.col("_i") > lag, v[i] * v[j])) for i in range(len(v)) for j in range(i, len(v))]
+
+
+def _residual(gram: np.ndarray, keep: list[int]) -> float | None:
+    """Sum of squared residuals of the last variable on those of ``keep``; None if they depend on each other."""
+    a, b, yy = gram[np.ix_(keep, keep)], gram[keep, -1], gram[-1, -1]
+    scale = np.sqrt(np.diag(a))
+    if not (scale > 0).all():
+        return None
+    a, b = a / scale[:, None] / scale, b / scale
+    if np.linalg.matrix_rank(a, tol=1e-10) < len(keep):
+        return None
+    return float(yy - b @ np.linalg.solve(a, b))
+
+
+def pvalue_of_sums(n_points: int, sums: list[list[float]]) -> float | None:
+    """As :func:`granger_pvalue`, from the Gram sums of each lag."""
+    if n_points < MIN_POINTS:
+        return None
+    ps = []
+    for lag, upper in enumerate(sums, 1):
+        n, size = n_points - lag, 2 * lag + 2
+        if n - 2 * lag - 1 <= 0:
+            continue
+        gram = np.zeros((size, size))
+        gram[np.triu_indices(size)] = np.asarray(upper, dtype=float)
+        gram = np.triu(gram) + np.triu(gram, 1).T
+        ssr_u, ssr_r = _residual(gram, list(range(size - 1))), _residual(gram, list(range(lag + 1)))
+        if ssr_u is None or ssr_r is None or ssr_u <= PERFECT * gram[-1, -1]:
+            return None
+        gain = max(ssr_r - ssr_u, 0.0) / ssr_u
+        df_u = n - size + 1
+        ps += [f_sf(gain / lag * df_u, lag, df_u), chi2_sf(n * gain, lag), chi2_sf(n * math.log1p(gain), lag)]
+    return min(ps) if ps else None
 
 
 def hourly_series(events: DataFrame, pairs: DataFrame, entity: str = "entity", ts: str = "ts") -> DataFrame:
@@ -121,5 +166,18 @@ def hourly_series(events: DataFrame, pairs: DataFrame, entity: str = "entity", t
 
 def granger(series: DataFrame) -> DataFrame:
     """CG6: (source_entity, target_entity, n_points, p_value) per pair."""
-    schema = "source_entity string, target_entity string, n_points long, p_value double"
-    return series.groupBy("source_entity", "target_entity").applyInPandas(_granger_group, schema)
+    key = ["source_entity", "target_entity"]
+    w = Window.partitionBy(*key).orderBy("hour")
+    x = series.select(*key, "hour", F.col("n_target").cast("double").alias("_y0"), F.col("n_source").cast("double").alias("_x0"))
+    x = x.select("*", F.row_number().over(w).alias("_i"),
+                 *[F.coalesce(F.lag(f"_{v}0", j).over(w), F.lit(0.0)).alias(f"_{v}{j}") for v in "yx" for j in range(1, MAX_LAG + 1)])
+    g = x.groupBy(*key).agg(F.count(F.lit(1)).alias("n_points"),
+                            *[s.alias(f"_s{lag}_{i}") for lag in range(1, MAX_LAG + 1) for i, s in enumerate(_sums(lag))])
+    sums = F.array(*[F.array(*[F.coalesce(f"_s{lag}_{i}", F.lit(0.0)) for i in range((2 * lag + 2) * (2 * lag + 3) // 2)])
+                     for lag in range(1, MAX_LAG + 1)])
+
+    @F.pandas_udf("double")
+    def solve(n: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([pvalue_of_sums(a, b) for a, b in zip(n, s)], dtype="float64")
+    return g.select(*key, "n_points", solve("n_points", sums).alias("p_value")) \
+            .withColumn("p_value", F.when(~F.isnan("p_value"), F.col("p_value")))

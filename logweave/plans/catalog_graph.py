@@ -148,15 +148,21 @@ def confirm_not_found(spark, sf):
 _PATH_SQL = f"""WITH RECURSIVE {_LADDER_SQL},
 und AS (SELECT source_entity AS a, target_entity AS b FROM edges UNION SELECT target_entity, source_entity FROM edges),
 pr AS (SELECT DISTINCT source_entity AS src, target_entity AS dst FROM edges WHERE source_entity LIKE 'error-%'),
-walk(src, dst, node, path, d) AS (
-  SELECT src, dst, src, [src], 0 FROM pr
+reach(src, dst, node, d) AS (
+  SELECT src, dst, src, 0 FROM pr
   UNION
-  SELECT w.src, w.dst, u.b, list_append(w.path, u.b), w.d + 1 FROM walk w JOIN und u ON u.a = w.node
-  WHERE w.d < 3 AND w.node <> w.dst AND NOT list_contains(w.path, u.b)
-    AND NOT ((w.node = w.src AND u.b = w.dst) OR (w.node = w.dst AND u.b = w.src))),
-hit AS (SELECT src, dst, min(d) AS d FROM walk WHERE node = dst GROUP BY ALL),
-best AS (SELECT w.src, w.dst, min(w.path) AS path FROM walk w JOIN hit h USING (src, dst)
-         WHERE w.node = w.dst AND w.d = h.d GROUP BY ALL)
+  SELECT r.src, r.dst, u.b, r.d + 1 FROM reach r JOIN und u ON u.a = r.node
+  WHERE r.node <> r.dst AND r.d < (SELECT count(DISTINCT a) FROM und)
+    AND NOT ((r.node = r.src AND u.b = r.dst) OR (r.node = r.dst AND u.b = r.src))),
+dist AS (SELECT src, dst, node, min(d) AS d FROM reach GROUP BY ALL),
+way(src, dst, node, d, path) AS (
+  SELECT src, dst, src, 0, [src] FROM pr
+  UNION ALL
+  SELECT w.src, w.dst, u.b, w.d + 1, min(list_append(w.path, u.b)) FROM way w JOIN und u ON u.a = w.node
+  JOIN dist n ON n.src = w.src AND n.dst = w.dst AND n.node = u.b AND n.d = w.d + 1
+  WHERE w.node <> w.dst AND NOT ((w.node = w.src AND u.b = w.dst) OR (w.node = w.dst AND u.b = w.src))
+  GROUP BY w.src, w.dst, u.b, w.d),
+best AS (SELECT src, dst, path FROM way WHERE node = dst)
 SELECT pr.src AS source_entity, pr.dst AS target_entity, array_to_string(best.path, '>') AS path,
        best.path IS NOT NULL AS has_path FROM pr LEFT JOIN best USING (src, dst)"""
 
@@ -164,10 +170,10 @@ SELECT pr.src AS source_entity, pr.dst AS target_entity, array_to_string(best.pa
 @register("topology_path", _PATH_SQL)
 def topology_path(spark, sf):
     """CG7: shortest undirected path for edges out of error entities, the direct
-    edge excluded (depth <= 3)."""
+    edge excluded, of any length."""
     e = _edges(spark, sf, materialise=True)
     pairs = e.filter(F.col("source_entity").startswith("error-"))
-    p = G.topology_path(e, pairs, max_depth=3, exclude_self_edge=True)
+    p = G.topology_path(e, pairs, exclude_self_edge=True)
     return p.select("source_entity", "target_entity", F.array_join("path", ">").alias("path"), "has_path")
 
 

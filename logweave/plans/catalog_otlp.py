@@ -176,3 +176,41 @@ def receiver_stats(spark, sf):
     """OT10: receiver totals (a request = one clock hour of logs)."""
     lg = view(spark, sf, "v_logs").withColumn("request_id", F.date_trunc("hour", "ts"))
     return O.receiver_stats(lg, received_at="ts").withColumn("last_received_at", ntz("last_received_at"))
+
+
+_DECIDED_SQL = _waterfall_sql() + """,
+tagged AS (SELECT v.log_id, v.service_name, v.level, v.ts, CASE WHEN s.log_id IS NULL THEN 'below_severity' WHEN NOT d._kept THEN 'duplicate'
+                  WHEN NOT r._ok THEN 'rate_limited' END AS reason
+           FROM v_logs v LEFT JOIN s12 s USING (log_id) LEFT JOIN dd d USING (log_id) LEFT JOIN rl r USING (log_id))"""
+
+
+def _decided(spark, sf):
+    from ..operators.logfilter import filter_reasons
+    return filter_reasons(view(spark, sf, "v_logs")).withColumn("request_id", F.date_trunc("hour", "ts"))
+
+
+@register("decision_counts", _DECIDED_SQL + """,
+m AS (SELECT service_name, 'received' AS metric, '' AS key, count(*) AS n FROM tagged GROUP BY ALL
+      UNION ALL SELECT service_name, 'ingested', '', count(*) FILTER (WHERE reason IS NULL) FROM tagged GROUP BY ALL
+      UNION ALL SELECT service_name, 'dropped', '', count(*) FILTER (WHERE reason IS NOT NULL) FROM tagged GROUP BY ALL
+      UNION ALL SELECT service_name, 'by_level', coalesce(level, 'UNKNOWN'), count(*) FROM tagged WHERE reason IS NULL GROUP BY ALL
+      UNION ALL SELECT service_name, 'drop_reasons', reason, count(*) FROM tagged WHERE reason IS NOT NULL GROUP BY ALL)
+SELECT service_name, metric, key, CAST(n AS BIGINT) AS n FROM m""")
+def decision_counts(spark, sf):
+    """OT9: per service totals, levels and drop reasons of the waterfall, in long form."""
+    return O.decision_counts(_decided(spark, sf))
+
+
+@register("receiver_totals", _DECIDED_SQL + """
+SELECT count(DISTINCT date_trunc('hour', ts)) AS total_requests_received, count(*) AS total_log_records_received,
+       count(*) FILTER (WHERE reason IS NULL) AS total_entries_ingested, count(*) FILTER (WHERE reason IS NOT NULL) AS total_dropped,
+       max(ts) AS last_received_at FROM tagged""")
+def receiver_totals(spark, sf):
+    """OT10: receiver totals with ingested and dropped records (a request = one clock hour of logs)."""
+    return O.receiver_totals(_decided(spark, sf), received_at="ts").withColumn("last_received_at", ntz("last_received_at"))
+
+
+@register("services_seen", f"""SELECT service_name, count(DISTINCT date_trunc('hour', ts)) AS n FROM ({duck_view_sql('v_logs')}) GROUP BY 1""")
+def services_seen(spark, sf):
+    """OT10: requests in which each service had records."""
+    return O.services_seen(view(spark, sf, "v_logs").withColumn("request_id", F.date_trunc("hour", "ts")))

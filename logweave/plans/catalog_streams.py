@@ -7,9 +7,10 @@ import os
 
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
 from ..streaming import streams as ST
 from ..sources.tables import table
-from .catalog_graph import pair_events as _pair_events  # noqa: F401  (same oracle text)
+from .catalog_graph import _edge_out
 from .catalog_logs import _CONCEPT_COLS, _CONCEPT_SQL, _concept_cols, _dedup_sql, _gate_sql, _rate_sql
 from .catalog_otlp import _BAND, _MSG, events_as_otlp
 from .catalog_parse import _PARSE_SQL
@@ -17,6 +18,10 @@ from .registry import ORACLES, ntz, register
 from .views import VIEW_SQL, duck_view_sql
 
 
+#: Micro-batches of the queries that stream in parts, and files of each.
+INGEST_BATCHES, INGEST_FILES = 4, 4
+
+
 def _events_stream(spark, sf):
     path = os.path.join(sf, "events.parquet")
     # the table is one file; a glob path lets the file source accept it
@@ -91,6 +96,21 @@ def stream_edges(spark, sf):
     return out.withColumn("ts", ntz("ts"))
 
 
+@register("stream_edge_table", ORACLES.get("edge_rollup"))
+def stream_edge_table(spark, sf):
+    """SS6 + CG1: edges merged batch by batch from a stream of events in four parts equal the batch rollup."""
+    src, state = ST.scratch(spark, "edges-in"), ST.scratch(spark, "edges-state")
+    ev = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
+                                           F.concat_ws("-", "event_type", (F.col("event_id") % 6).cast("string")).alias("entity"))
+    end = ev.agg(F.max("event_id")).first()[0]
+    for k in range(INGEST_BATCHES):
+        ev.filter(F.floor(F.col("event_id") * INGEST_BATCHES / F.lit((end or 0) + 1)) == k).repartition(INGEST_FILES).write.parquet(os.path.join(src, f"part{k}"))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", INGEST_FILES).parquet(os.path.join(src, "part*"))
+    pairs = ST.stream_edges(stream, window_s=100 * 365 * 86400, watermark="2 days")
+    _, q, _ = ST.run_available(pairs, "edge-table", foreach_batch=lambda b, i, out: ST.merge_edges(state)(b, i))
+    return _edge_out(G.lag_stats(ST.edge_table(spark, state, ST.last_batch(q))))
+
+
 @register("stream_drain")
 def stream_drain(spark, sf):
     """SS5: Drain clusters maintained across micro-batches (foreachBatch + state table)."""
@@ -120,10 +140,6 @@ pass AS (SELECT log_id, ts, service_name, level, message FROM rl WHERE _ok UNION
 kept AS (SELECT * EXCLUDE (message), CASE WHEN length(message) > 2000 THEN substr(message, 1, 2000) || '… [truncated]' ELSE message END AS message FROM pass)
 """ + _CONCEPT_SQL + f"SELECT {_CONCEPT_COLS} FROM concepts"
 
-#: Micro-batches of the ingest query, and files of each.
-INGEST_BATCHES, INGEST_FILES = 4, 4
-
-
 @register("ingest_loop", _INGEST_SQL)
 def ingest_loop(spark, sf):
     """SK8: log documents streamed in four micro-batches, in time order, through

@@ -45,12 +45,14 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local tests)
-    is a private scratch folder created."""
+    A cluster names a shared folder there. Where it is unset a local master, as in tests,
+    gets a scratch folder of its own; on any other it is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not d:
         d = sc.getCheckpointDir()
+    if not d and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="logweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

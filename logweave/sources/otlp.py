@@ -115,30 +115,38 @@ def clean_id(c: Column) -> Column:
     return F.when(s.isNull() | (s == "") | (s == ZERO_ID_B64) | s.rlike("^0+$"), F.lit(None).cast("string")).otherwise(s)
 
 
-def flatten_otlp(df: DataFrame, payload: str = "payload", request: str = "request_id") -> DataFrame:
+#: Places of a resource, a scope and a record are digits of ``record_no`` to this base: no
+#: text of 2 GB, the longest there is, holds so many of them.
+_PLACES = 1 << 31
+
+
+def flatten_otlp(df: DataFrame, payload: str = "payload", request: str = "request_id", received_at: str | None = None) -> DataFrame:
     """OT7 / SR3: one row per log record with service, scope, times, severity,
-    body, attributes and ids."""
-    p = df.select(request, F.from_json(F.col(payload), OTLP_SCHEMA).alias("_p"))
-    rl = p.select(request, F.posexplode(_nonempty_array(F.col("_p.resourceLogs"), F.col("_p.resource_logs")))
+    body, attributes and ids. ``record_no`` is unique and ascending in a payload. A record
+    with neither time takes that of ``received_at``, if a column is named."""
+    got = [F.col(received_at).cast("timestamp").alias("_got")] if received_at else [F.lit(None).cast("timestamp").alias("_got")]
+    p = df.select(F.col(request).alias(request), *got, F.from_json(F.col(payload), OTLP_SCHEMA).alias("_p"))
+    rl = p.select(request, "_got", F.posexplode(_nonempty_array(F.col("_p.resourceLogs"), F.col("_p.resource_logs")))
                   .alias("_ri", "_r"))
-    rl = rl.select(request, "_ri", "_r", attributes_map(F.coalesce(F.col("_r.resource.attributes"), F.array()))
+    rl = rl.select(request, "_got", "_ri", "_r", attributes_map(F.coalesce(F.col("_r.resource.attributes"), F.array()))
                    .alias("_ra"))
     svc = F.coalesce(F.when(F.col("_ra")["service.name"] != "", F.col("_ra")["service.name"]),
                      F.when(F.col("_ra")["service_name"] != "", F.col("_ra")["service_name"]),
                      F.lit("unknown-service"))
-    sl = rl.select(request, "_ri", svc.alias("service_name"),
+    sl = rl.select(request, "_got", "_ri", svc.alias("service_name"),
                    F.posexplode(_nonempty_array(F.col("_r.scopeLogs"), F.col("_r.scope_logs"))).alias("_si", "_s"))
-    lr = sl.select(request, "_ri", "_si", "service_name", F.coalesce(F.col("_s.scope.name"), F.lit("")).alias("scope"),
+    lr = sl.select(request, "_got", "_ri", "_si", "service_name", F.coalesce(F.col("_s.scope.name"), F.lit("")).alias("scope"),
                    F.posexplode(_nonempty_array(F.col("_s.logRecords"), F.col("_s.log_records"))).alias("_li", "_l"))
 
     def pick(a, b):
         return F.coalesce(F.when(F.col(f"_l.{a}") != "", F.col(f"_l.{a}")), F.col(f"_l.{b}"))
 
     return lr.select(
-        request, (F.col("_ri") * 1_000_000 + F.col("_si") * 1_000 + F.col("_li")).alias("record_no"),
+        request, ((F.col("_ri").cast("decimal(10,0)") * F.lit(_PLACES).cast("decimal(10,0)") + F.col("_si")) * F.lit(_PLACES).cast("decimal(10,0)")
+                  + F.col("_li")).cast("decimal(38,0)").alias("record_no"),
         "service_name", "scope",
         nanos_to_ts(pick("timeUnixNano", "time_unix_nano")).alias("time"),
-        nanos_to_ts(pick("observedTimeUnixNano", "observed_time_unix_nano")).alias("observed_time"),
+        F.coalesce(nanos_to_ts(pick("observedTimeUnixNano", "observed_time_unix_nano")), "_got").alias("observed_time"),
         otlp_level(F.col("_l.severityText"), F.col("_l.severityNumber")).alias("level"),
         otlp_body(F.col("_l.body")).alias("body"),
         attributes_map(F.coalesce(F.col("_l.attributes"), F.array())).alias("attributes"),
@@ -193,3 +201,29 @@ def receiver_stats(entries: DataFrame, request: str = "request_id", received_at:
     return entries.agg(F.count_distinct(request).alias("total_requests_received"),
                        F.count(F.lit(1)).alias("total_log_records_received"),
                        F.max(received_at).alias("last_received_at"))
+
+
+def decision_counts(tagged: DataFrame, level: str = "level", reason: str = "_reason") -> DataFrame:
+    """OT9, long form: (service_name, metric, key, n) of records with the reason that dropped
+    them (null: ingested): per service ``received``, ``ingested`` and ``dropped`` (key ''), then
+    ``by_level`` of the ingested (any level there is; null is UNKNOWN) and ``drop_reasons``."""
+    in_, out = F.col(reason).isNull(), F.col(reason).isNotNull()
+    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), k.alias("key"), c.cast("int").alias("n")) for m, k, c in (
+        ("received", F.lit(""), F.lit(True)), ("ingested", F.lit(""), in_), ("dropped", F.lit(""), out),
+        ("by_level", F.coalesce(F.col(level), F.lit("UNKNOWN")), in_), ("drop_reasons", F.coalesce(F.col(reason), F.lit("")), out))])
+    x = tagged.groupBy("service_name", F.coalesce(F.col(level), F.lit("UNKNOWN")).alias(level), reason).agg(F.count(F.lit(1)).alias("_n"))
+    x = x.select("service_name", F.explode(metrics).alias("_m"), "_n").groupBy("service_name", F.col("_m.metric").alias("metric"), F.col("_m.key").alias("key")) \
+         .agg(F.sum(F.col("_n") * F.col("_m.n")).alias("n"))
+    return x.filter((F.col("n") > 0) | F.col("metric").isin("received", "ingested", "dropped"))
+
+
+def receiver_totals(tagged: DataFrame, request: str = "request_id", received_at: str = "received_at", reason: str = "_reason") -> DataFrame:
+    """OT10: requests, records, ingested, dropped and last receive time over all requests."""
+    return tagged.agg(F.count_distinct(request).alias("total_requests_received"), F.count(F.lit(1)).alias("total_log_records_received"),
+                      F.count_if(F.col(reason).isNull()).alias("total_entries_ingested"), F.count_if(F.col(reason).isNotNull()).alias("total_dropped"),
+                      F.max(received_at).alias("last_received_at"))
+
+
+def services_seen(entries: DataFrame, request: str = "request_id") -> DataFrame:
+    """OT10: (service_name, n): the requests in which each service had records."""
+    return entries.groupBy("service_name").agg(F.count_distinct(request).alias("n"))

@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import concepts as C
 from ..operators import drain as D
+from ..operators import graph as G
 from ..session import ensure_checkpoint_dir
 from ..sources import otlp as O
 
@@ -206,6 +207,36 @@ def stream_edges(df: DataFrame, entity: str = "entity", partition: str = "user_i
         "entity string, us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def merge_edges(state_dir: str):
+    """SS6 into CG1: a ``foreachBatch`` function that merges each batch's co-occurrence
+    rows into the edge table. The rows are kept by batch; an edge that the batch touches is
+    rolled up again from its rows of all batches, every other edge is carried over. Rows
+    and table are written to folders of the batch id, so a retried batch gives the same."""
+    key = ["source_entity", "target_entity"]
+
+    def handle(batch: DataFrame, batch_id: int, out: str | None = None) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(os.path.join(state_dir, "pairs", f"batch={batch_id}"))
+        pairs = spark.read.schema(batch.schema).option("basePath", os.path.join(state_dir, "pairs")) \
+            .parquet(*[os.path.join(state_dir, "pairs", f"batch={k}") for k in range(batch_id + 1)])
+        touched = batch.select(*key).distinct()
+        edges = G.rollup_edges(pairs.join(touched, key, "left_semi"))
+        if batch_id:
+            edges = edge_table(spark, state_dir, batch_id - 1).join(touched, key, "left_anti").unionByName(edges)
+        edges.write.mode("overwrite").parquet(os.path.join(state_dir, "edges", str(batch_id)))
+    return handle
+
+
+def edge_table(spark: SparkSession, state_dir: str, batch_id: int) -> DataFrame:
+    """The edge table after a batch of :func:`merge_edges`."""
+    return spark.read.parquet(os.path.join(state_dir, "edges", str(batch_id)))
+
+
+def last_batch(query) -> int:
+    """The id of the last micro-batch of a query that has ended."""
+    return max(p["batchId"] for p in query.recentProgress)
+
+
 def late_rows(query) -> int:
     """SS7: rows dropped past the watermark in the last progress of a query."""
     p = query.lastProgress or {}

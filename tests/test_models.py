@@ -56,3 +56,29 @@ def test_granger_detects_lagged_driver():
     assert GR.granger_pvalue(y[1:], x[1:]) < 1e-6
     assert GR.granger_pvalue(rng.normal(size=200), rng.normal(size=200)) > 1e-3
     assert GR.granger_pvalue(np.ones(5), np.ones(5)) is None
+
+
+def test_granger_of_sums_equals_the_series_form(spark):
+    import datetime as dt
+    rng = np.random.default_rng(3)
+    t0 = dt.datetime(2024, 1, 1)
+    series = {}
+    for k in range(12):
+        n = [200, 60, 25, 11, 10, 9][k % 6]
+        x = rng.poisson(4, n)
+        y = np.roll(x, 1 + k % 3) * (k % 2) + rng.poisson(3, n)
+        series[f"s{k}", "t"] = (y, x)
+    series["flat", "t"] = (np.ones(50, int), rng.poisson(4, 50))
+    series["self", "t"] = (x1 := rng.poisson(4, 50), x1)
+    series["perfect", "t"] = (np.r_[0, x1[:-1]], x1)
+    rows = [(a, b, t0 + dt.timedelta(hours=i), int(v), int(u)) for (a, b), (y, x) in series.items() for i, (v, u) in enumerate(zip(y, x))]
+    df = spark.createDataFrame(rows, "source_entity string, target_entity string, hour timestamp, n_target long, n_source long")
+    got = {r["source_entity"]: (r["n_points"], r["p_value"]) for r in GR.granger(df.repartition(5)).collect()}
+    for (a, _), (y, x) in series.items():
+        want = None if a == "perfect" else GR.granger_pvalue(y, x)
+        assert got[a][0] == len(y)
+        if want is None:
+            assert got[a][1] is None, a
+        else:
+            assert abs(got[a][1] - want) <= 1e-6 * max(want, 1e-3), (a, got[a], want)
+    assert sum(v[1] is not None for v in got.values()) >= 9 and GR.granger(df.limit(0)).count() == 0

@@ -43,3 +43,27 @@ def test_flatten_both_spellings(spark):
     assert e[0]["parsed_error"] == "IOError: disk" and (e[0]["file_reference"], e[0]["line_reference"]) == ("a.py", 9)
     assert e[0]["metadata_json"]["x"] == "2" and e[0]["metadata_json"]["scope"] == "s1"
     assert e[1]["service_name"] == "unknown-service" and e[1]["level"] == "WARN"
+
+
+def test_record_numbers_of_large_scopes_and_arrival_time(spark):
+    rec = [{"body": {"stringValue": "x"}}] * 1500 + [{"timeUnixNano": "1700000000000000000"}]
+    p = {"resourceLogs": [{"scopeLogs": [{"logRecords": rec}, {"logRecords": rec[-1:]}]}, {"scopeLogs": [{"logRecords": rec[:2]}]}]}
+    df = spark.createDataFrame([(1, json.dumps(p), "2024-01-01 10:00:00")], "request_id int, payload string, received_at string") \
+        .withColumn("received_at", F.to_timestamp("received_at"))
+    flat = O.flatten_otlp(df, received_at="received_at")
+    assert flat.select("record_no").distinct().count() == 1504
+    e = O.otlp_entries(flat).groupBy(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("t")).count().collect()
+    assert {r["t"]: r["count"] for r in e} == {"2024-01-01 10:00": 1502, "2023-11-14 22:13": 2}
+    first = O.flatten_otlp(df).orderBy("record_no").limit(1).collect()[0]
+    assert first["record_no"] == 0 and first["observed_time"] is None
+
+
+def test_counts_of_any_level_and_reason(spark):
+    rows = [("a", "CRITICAL", None, 1), ("a", None, None, 1), ("a", "INFO", "below_severity", 2), ("b", "INFO", "duplicate", 2), (None, "X", None, 3)]
+    df = spark.createDataFrame(rows, "service_name string, level string, _reason string, request_id int")
+    got = {tuple(r) for r in O.decision_counts(df).collect()}
+    assert {("a", "received", "", 3), ("a", "ingested", "", 2), ("a", "dropped", "", 1), ("a", "by_level", "CRITICAL", 1),
+            ("a", "by_level", "UNKNOWN", 1), ("a", "drop_reasons", "below_severity", 1), ("b", "ingested", "", 0), (None, "by_level", "X", 1)} <= got
+    assert not any(r[3] == 0 and r[1] in ("by_level", "drop_reasons") for r in got)
+    t = O.receiver_totals(df.withColumn("received_at", F.lit(1))).first()
+    assert tuple(t)[:4] == (3, 5, 3, 2) and {tuple(r) for r in O.services_seen(df).collect()} == {("a", 2), ("b", 1), (None, 1)}
