@@ -18,7 +18,8 @@ bitmap (a bit an entry, lowest first, padded to whole 64 bytes) and its director
 Documents are range-partitioned by id, so parts ascend; segments are bounded in tokens
 (one document at least). A part's start comes from the parts' totals: a row for each
 writing task, which is few enough to broadcast, so that codes are read without a shuffle.
-Null texts count as empty; a null id comes first; repeated ids keep their rows in text order.
+Null texts count as empty; a null id comes first; rows of a repeated id stand in the order of their
+ids' bytes, so a retried task writes the same.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare, shuffle_width, text_buffers
+from .common import id_text, prepare, scratch, shuffle_width, text_buffers
 from .library_tokens import give_back, loaded, read_vocabulary, unload
 
 #: Tokens of a segment (more only for one longer document).
@@ -109,52 +110,66 @@ class Codes:
         return out
 
 
-def _write(spec: str, kind: str, end: bytes):
+def _encode(spec: str, kind: str, end: bytes):
+    """Rows (id, text) to rows (id, wide, ids): ids of two bytes each where all fit, else of four."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        part, segment = TaskContext.get().partitionId(), 0
         tok = loaded(spec, kind)
-        doc_ids, ends, held, n, before = [], [], [], 0, 0
-
-        def flush() -> pa.RecordBatch:
-            codes = encode_codes(np.frombuffer(b"".join(held), "<u4"))
-            ids = pa.concat_arrays(doc_ids)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()),
-                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([ends], pa.list_(pa.int32())),
-                 pa.array([n], pa.int32()), pa.array([before], pa.int64()), pa.array([codes], pa.binary())],
-                ["part", "segment", "doc_ids", "ends", "n_tokens", "before", "codes"])
+        last = np.frombuffer(end, "<u4")
         for rb in batches:
             data, offs = text_buffers(rb.column(1))
-            all_ids, at = tok.encode_texts(data, offs)
+            ids, at = tok.encode_texts(data, offs)
+            out, wide = [], []
             for i in range(rb.num_rows):
-                ids = all_ids[at[i]:at[i + 1]].tobytes() + end
-                if n and n + len(ids) // 4 > SEGMENT_TOKENS:
-                    yield flush()
-                    segment, before = segment + 1, before + n
-                    doc_ids, ends, held, n = [], [], [], 0
-                n += len(ids) // 4
-                doc_ids.append(rb.column(0).slice(i, 1))
-                ends.append(n)
-                held.append(ids)
-            del all_ids, data
-            give_back()
-        if n:
-            yield flush()
+                own = np.concatenate([ids[at[i]:at[i + 1]], last])
+                wide.append(bool(own.max() > 0xFFFF))
+                out.append((own if wide[-1] else own.astype("<u2")).tobytes())
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(wide), pa.array(out, pa.binary())], ["_id", "_wide", "_ids"])
     return run
 
 
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+    unload()  # a worker of the encoding stage may be used again
+    give_back()
+    part, segment = TaskContext.get().partitionId(), 0
+    doc_ids, ends, held, n, before = [], [], [], 0, 0
+
+    def flush() -> pa.RecordBatch:
+        codes = encode_codes(np.concatenate(held))
+        ids = pa.concat_arrays(doc_ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([segment], pa.int32()),
+             pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([ends], pa.list_(pa.int32())),
+             pa.array([n], pa.int32()), pa.array([before], pa.int64()), pa.array([codes], pa.binary())],
+            ["part", "segment", "doc_ids", "ends", "n_tokens", "before", "codes"])
+    for rb in batches:
+        for i in range(rb.num_rows):
+            ids = np.frombuffer(rb.column(2)[i].as_buffer(), "<u4" if rb.column(1)[i].as_py() else "<u2").astype("<u4")
+            if n and n + len(ids) > SEGMENT_TOKENS:
+                yield flush()
+                segment, before = segment + 1, before + n
+                doc_ids, ends, held, n = [], [], [], 0
+            n += len(ids)
+            doc_ids.append(rb.column(0).slice(i, 1))
+            ends.append(n)
+            held.append(ids)
+    if n:
+        yield flush()
+
+
 def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id",
                  text_col: str = "text") -> None:
-    """Write every document's ids (byte vocabulary, ``end_id`` after each) to the folder ``path``."""
+    """Write every document's ids (byte vocabulary, ``end_id`` after each) to the folder ``path``.
+    Texts are encoded where they are read; only their ids are sorted and shuffled."""
     spark = prepare(df.sparkSession)
     spec = read_vocabulary(vocabulary)
     x = id_text(df, id_col, text_col)
     kind = x.schema["_id"].dataType.simpleString()
-    x.repartitionByRange(max(shuffle_width(spark), 1), "_id").sortWithinPartitions("_id", "_text") \
-     .mapInArrow(_write(spec, "bytes", int(end_id).to_bytes(4, "little")),
-                 f"part int, segment int, doc_ids array<{kind}>, ends array<int>, n_tokens int, before bigint, codes binary") \
-     .write.parquet(path)
+    # a table of its own, since the range partitioner reads its input twice
+    ids = scratch(x.mapInArrow(_encode(spec, "bytes", int(end_id).to_bytes(4, "little")), f"_id {kind}, _wide boolean, _ids binary"), "ids")
+    ids.repartitionByRange(max(shuffle_width(spark), 1), "_id").sortWithinPartitions("_id", "_wide", "_ids") \
+       .mapInArrow(_write, f"part int, segment int, doc_ids array<{kind}>, ends array<int>, n_tokens int, before bigint, codes binary") \
+       .write.parquet(path)
 
 
 def _with_start(files: DataFrame) -> DataFrame:
