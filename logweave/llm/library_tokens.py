@@ -40,7 +40,7 @@ CACHE_SEGMENTS = 50_000
 CACHE_MAX_CHARS = 48
 #: Units that the cache of plain texts holds; over that, those met in more than one block
 #: since the last time stay, or those of the last block if these are too many.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 250_000
 #: Bytes of text of a block; longer texts are cut between two words.
 BLOCK_TEXT = 1 << 19
 

@@ -38,6 +38,8 @@ from .library_tokens import give_back, loaded, read_vocabulary, unload
 
 #: Tokens of a segment (more only for one longer document).
 SEGMENT_TOKENS = 1 << 17
+#: Rows of an Arrow batch of texts: small, since workers share an executor with its sort buffers.
+BATCH_ROWS = 500
 STRIDE = 512
 MAGIC = b"DAC1"
 
@@ -123,7 +125,10 @@ def _encode(spec: str, kind: str, end: bytes):
                 own = np.concatenate([ids[at[i]:at[i + 1]], last])
                 wide.append(bool(own.max() > 0xFFFF))
                 out.append((own if wide[-1] else own.astype("<u2")).tobytes())
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(wide), pa.array(out, pa.binary())], ["_id", "_wide", "_ids"])
+            done = pa.RecordBatch.from_arrays([rb.column(0), pa.array(wide), pa.array(out, pa.binary())], ["_id", "_wide", "_ids"])
+            del data, ids, out
+            give_back()
+            yield done
     return run
 
 
@@ -162,6 +167,7 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_
     """Write every document's ids (byte vocabulary, ``end_id`` after each) to the folder ``path``.
     Texts are encoded where they are read; only their ids are sorted and shuffled."""
     spark = prepare(df.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spec = read_vocabulary(vocabulary)
     x = id_text(df, id_col, text_col)
     kind = x.schema["_id"].dataType.simpleString()
