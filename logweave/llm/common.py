@@ -43,13 +43,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
+def scratch(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back: cuts the
     lineage at a place every executor can read. The folder goes when the
     session ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath.getParent())
     return spark.read.schema(df.schema).parquet(path)

@@ -40,6 +40,8 @@ from .library_tokens import give_back, loaded, read_vocabulary, unload
 SEGMENT_TOKENS = 1 << 17
 #: Rows of an Arrow batch of texts: small, since workers share an executor with its sort buffers.
 BATCH_ROWS = 500
+#: Ids and codes are a third smaller on disk with it.
+CODEC = "zstd"
 STRIDE = 512
 MAGIC = b"DAC1"
 
@@ -172,10 +174,10 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_
     x = id_text(df, id_col, text_col)
     kind = x.schema["_id"].dataType.simpleString()
     # a table of its own, since the range partitioner reads its input twice
-    ids = scratch(x.mapInArrow(_encode(spec, "bytes", int(end_id).to_bytes(4, "little")), f"_id {kind}, _wide boolean, _ids binary"), "ids")
+    ids = scratch(x.mapInArrow(_encode(spec, "bytes", int(end_id).to_bytes(4, "little")), f"_id {kind}, _wide boolean, _ids binary"), "ids", CODEC)
     ids.repartitionByRange(max(shuffle_width(spark), 1), "_id").sortWithinPartitions("_id", "_wide", "_ids") \
        .mapInArrow(_write, f"part int, segment int, doc_ids array<{kind}>, ends array<int>, n_tokens int, before bigint, codes binary") \
-       .write.parquet(path)
+       .write.option("compression", CODEC).option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def _with_start(files: DataFrame) -> DataFrame:
