@@ -40,6 +40,8 @@ from .library_tokens import give_back, loaded, read_vocabulary, unload
 SEGMENT_TOKENS = 1 << 17
 #: Rows of an Arrow batch of texts: small, since workers share an executor with its sort buffers.
 BATCH_ROWS = 500
+#: Batches after which a worker returns freed memory to the system.
+GIVE_BACK = 8
 #: Ids and codes are a third smaller on disk with it.
 CODEC = "zstd"
 STRIDE = 512
@@ -119,7 +121,7 @@ def _encode(spec: str, kind: str, end: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = loaded(spec, kind)
         last = np.frombuffer(end, "<u4")
-        for rb in batches:
+        for k, rb in enumerate(batches):
             data, offs = text_buffers(rb.column(1))
             ids, at = tok.encode_texts(data, offs)
             out, wide = [], []
@@ -129,7 +131,8 @@ def _encode(spec: str, kind: str, end: bytes):
                 out.append((own if wide[-1] else own.astype("<u2")).tobytes())
             done = pa.RecordBatch.from_arrays([rb.column(0), pa.array(wide), pa.array(out, pa.binary())], ["_id", "_wide", "_ids"])
             del data, ids, out
-            give_back()
+            if k % GIVE_BACK == 0:
+                give_back()
             yield done
     return run
 
