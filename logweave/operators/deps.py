@@ -50,12 +50,14 @@ def _rule_row(i: int, kind: str):
     return row
 
 
-def extract_matches(files: DataFrame, content: str = "content") -> DataFrame:
-    """SD1: every match of every rule: (…, rule, pos, dependency_type, raw,
-    source_pattern). One scan: the per-rule match lists are concatenated in a
-    single projection and exploded once."""
+def extract_matches(files: DataFrame, content: str = "content", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """SD1: every match of every rule (of the named ``kinds``): (…, rule, pos,
+    dependency_type, raw, source_pattern). One scan: the per-rule match lists are
+    concatenated in a single projection and exploded once."""
     per_rule = []
     for i, (kind, rx) in enumerate(RULES):
+        if kinds is not None and kind not in kinds:
+            continue
         z = F.arrays_zip(F.regexp_extract_all(F.col(content), F.lit(rx), 0).alias("g0"),
                          F.regexp_extract_all(F.col(content), F.lit(rx), 1).alias("g1"))
         per_rule.append(F.transform(z, _rule_row(i, kind)))
@@ -63,37 +65,38 @@ def extract_matches(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select(*keep, F.explode(F.concat(*per_rule)).alias("_m")).select(*keep, "_m.*")
 
 
-MAX_KNOWN_INLINE = 200_000   # size bound for shipping known names inside the expression
+def _known_imports(imports: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """Import matches with a component among the names. Equal rows are counted, then each row
+    meets the names by its distinct components; one that meets several comes out once, and as
+    often as it was there. The names are not made distinct: a semi join does not need it, and
+    adaptive execution splits a hot component only where both sides come straight from a shuffle."""
+    names = known.select(F.lower(F.col(name)).alias("_comp"))
+    cols = imports.columns
+    counted = imports.groupBy(*cols).agg(F.count(F.lit(1)).alias("_times"))
+    comps = F.array_distinct(F.split(F.lower(F.col("raw")), "[./]"))
+    hit = counted.withColumn("_comp", F.explode(comps)).join(names, "_comp", "left_semi")
+    return hit.select(*cols, "_times").dropDuplicates() \
+              .withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*cols)
 
 
 def filter_imports(matches: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
     """SD3: import matches stay only when a ``.`` / ``/`` component of the raw
-    module name is a known service (case-insensitive); other kinds pass.
-
-    Known names are repository names; when their number is within
-    ``MAX_KNOWN_INLINE`` they become a hash set inside one filter expression (no
-    join, one pass). Larger registries go through an explode + semi join."""
-    kn = known.select(F.lower(F.col(name)).alias("_comp")).distinct()
-    comps = F.split(F.lower(F.col("raw")), "[./]")
-    if kn.limit(MAX_KNOWN_INLINE + 1).count() <= MAX_KNOWN_INLINE:
-        names = [r[0] for r in kn.collect() if r[0] is not None]
-        hit = F.exists(comps, lambda c: c.isin(names)) if names else F.lit(False)
-        return matches.filter((F.col("dependency_type") != "import") | hit)
-    imp = matches.filter(F.col("dependency_type") == "import")
-    ex = imp.select("*", F.explode(comps).alias("_comp"))
-    ok = ex.join(kn, "_comp", "left_semi").drop("_comp").dropDuplicates(["_mid"])
-    return matches.filter(F.col("dependency_type") != "import").unionByName(ok)
+    module name is a known service (case-insensitive); other kinds pass. Names are
+    joined, however many there are; a null name or raw module matches nothing, repeated rows
+    stay repeated."""
+    imports = matches.filter(F.col("dependency_type") == "import")
+    return matches.filter(F.col("dependency_type") != "import").unionByName(_known_imports(imports, known, name))
 
 
 def extract_dependencies(files: DataFrame, known: DataFrame, repo: str = "repo", content: str = "content") -> DataFrame:
     """SD1-SD4: matches -> normalised targets (null dropped) -> import filter ->
-    self-dependencies dropped."""
-    m = extract_matches(files, content).withColumn("target_name", normalise_target(F.col("raw"))) \
-        .filter(F.col("target_name").isNotNull())
-    m = m.withColumn("_mid", F.concat_ws("\u0000", F.col(repo), F.col("file_path"), F.col("rule").cast("string"),
-                                         F.col("pos").cast("string")))
-    m = filter_imports(m, known).drop("_mid")
-    return drop_self(m, repo)
+    self-dependencies dropped. Import rules run apart from the others, so that only their
+    matches are joined and every rule runs once."""
+    def targets(kinds: tuple[str, ...]) -> DataFrame:
+        m = extract_matches(files, content, kinds).withColumn("target_name", normalise_target(F.col("raw")))
+        return drop_self(m.filter(F.col("target_name").isNotNull()), repo)
+    others = tuple(sorted({kind for kind, _ in RULES} - {"import"}))
+    return targets(others).unionByName(_known_imports(targets(("import",)), known, "name"))
 
 
 def drop_self(df: DataFrame, repo: str = "source_repo", target: str = "target_name") -> DataFrame:

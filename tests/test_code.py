@@ -71,6 +71,16 @@ def test_dependency_rules(spark):
     assert D.extract_dependencies(misses, known).count() == 0
 
 
+def test_import_filter_joins_names(spark):
+    m = [("r", 0, "import", "acme/Pay.pay", "p"), ("r", 0, "import", "acme/Pay.pay", "p"), ("r", 1, "import", "pay.core", None),
+         ("r", 2, "import", "payroll", "p"), ("r", 3, "import", None, "p"), (None, 4, "import", "core", "p"), ("r", 5, "http", "x", "p")]
+    df = spark.createDataFrame(m, "repo string, pos int, dependency_type string, raw string, source_pattern string")
+    known = spark.createDataFrame([("PAY",), ("pay",), ("Core",), (None,)], "name string")
+    assert sorted(rows(D.filter_imports(df, known)), key=str) == sorted([m[0], m[1], m[2], m[5], m[6]], key=str)
+    assert rows(D.filter_imports(df, known.limit(0))) == [m[6]]
+    assert rows(D.filter_imports(df.limit(0), known)) == []
+
+
 def test_normalise_and_blast(spark):
     df = spark.createDataFrame([("http://Billing_API:80",), ("localhost",), ("ab",), ("PAY.SERVICE_URL",)], "r string")
     assert [r[0] for r in df.select(D.normalise_target(F.col("r"))).collect()] == ["billing-api", None, None, "pay-service"]

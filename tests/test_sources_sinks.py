@@ -27,6 +27,20 @@ def test_read_code_files(spark, tmp_path):
     assert rows(df, "repo", "file_path") == [("demo", "src/a.py")]
 
 
+def test_code_file_bytes_names_and_sizes(spark, tmp_path):
+    broken = [b"x = 1 \xff\xe2\x82A\xc3\xa9", b"\xed\xa0\x80y\xf0\x9f\x98\x80", b"z \xef\xbf\xbd \xc3", b"\xf4\x90\x80\x80q\xe0\x80\x80"]
+    for i, raw in enumerate(broken):
+        (tmp_path / f"f {i}+%41.PY").write_bytes(raw)
+    (tmp_path / "at.py").write_bytes(b"a" * 1_000_000)
+    (tmp_path / "over.py").write_bytes(b"a" * 1_000_001)
+    (tmp_path / ".py").write_text("x = 1")
+    df = read_code_files(spark, str(tmp_path))
+    got = dict(rows(df, "file_path", "content"))
+    assert got.pop("at.py") == "a" * 1_000_000
+    assert got == {f"f {i}+%41.PY": raw.decode("utf-8", errors="ignore") for i, raw in enumerate(broken)}
+    assert "LessThanOrEqual(length,1000000)" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merges(spark):
     t = spark.createDataFrame([(1, "a", 10.0), (2, "b", 20.0)], "k long, name string, v double")
     b = spark.createDataFrame([(2, None, 25.0), (3, "c", None), (3, "c2", 1.0)], "k long, name string, v double")
