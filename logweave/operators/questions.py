@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import embed as E
 from . import graph as G
 from . import vectors as V
 
@@ -79,22 +80,46 @@ def plan_struct(plans: DataFrame) -> DataFrame:
         "graph_direction"))
 
 
+#: Columns of a question's vectors, one for each domain: code, and logs with their concepts.
+DOMAIN_VECTORS = {"code": "code_embedding", "log": "log_embedding"}
+
+
+def embed_questions(df: DataFrame, dim: int, col: str = "question", fn: dict | None = None) -> DataFrame:
+    """A vector of the question in each domain, as the items of the domain are embedded.
+    ``fn`` names a supplied model (:func:`embed.embed`) for a domain."""
+    for domain, out in DOMAIN_VECTORS.items():
+        df = E.embed(df, col, domain, dim, out=out, fn=(fn or {}).get(domain))
+    return df
+
+
 def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataFrame | None = None,
-             threshold: float = V.SIMILARITY_THRESHOLD, top_k: int = 5, qid: str = "query_id") -> DataFrame:
+             threshold: float = V.SIMILARITY_THRESHOLD, top_k: int = 5, qid: str = "query_id",
+             rerank: bool | None = None, scorer=None) -> DataFrame:
     """QP5: each question runs only its enabled layers with its own fetch size
-    and threshold; code hits are boosted by log hits (VE11), then cut to
-    ``top_k`` (VE13). Returns (query_id, layer, item_id, similarity, rank),
-    no rows where no question asks for a layer."""
+    and threshold; code hits are boosted by log hits (VE11), reranked on their text (VE12),
+    then cut to ``top_k`` (VE13). Returns (query_id, layer, item_id, similarity, rank) and,
+    where hits are reranked, rerank_score; no rows where no question asks for a layer.
+
+    Questions with the vectors of :func:`embed_questions` meet each layer in its own domain;
+    with a single ``embedding`` that one serves all. ``rerank`` is on where the questions hold
+    ``question`` and the code ``content``, unless it is given; ``scorer`` as in
+    :func:`embed.rerank`. The score is null for the other layers."""
     thr = F.coalesce(F.col("similarity_threshold_override"), F.lit(threshold))
-    q = plans.select(qid, "embedding", "use_code_retrieval", "use_log_retrieval", "use_concept_retrieval",
+    own = {d: F.col(c if c in plans.columns else "embedding").alias(DOMAIN_VECTORS[d]) for d, c in DOMAIN_VECTORS.items()}
+    q = plans.select(qid, *own.values(), "use_code_retrieval", "use_log_retrieval", "use_concept_retrieval",
                      "code_fetch_k", "log_fetch_k", "concept_fetch_k", thr.alias("thr"))
+    if rerank is None:
+        rerank = "question" in plans.columns and "content" in code.columns
+    no_score = F.lit(None).cast("double").alias("rerank_score")
+    columns = ["query_id", "layer", "item_id", "similarity", "rank"]
 
     def layer(items, switch, k_col, name, cols):
         qs = q.filter(F.col(switch))
         kmax = qs.agg(F.max(k_col)).first()[0]
         if kmax is None:
             return None
-        h = V.knn(qs.select(qid, "embedding"), items, int(kmax), qid=qid)
+        vec = DOMAIN_VECTORS["code" if name == "code" else "log"]
+        h = V.knn(qs.select(qid, F.col(vec).alias("embedding")), items, int(kmax), qid=qid)
         # per-question limits: the join side grows with the questions, so AQE picks the strategy
         h = h.join(qs.select(F.col(qid).alias("query_id"), k_col, "thr"), "query_id") \
              .filter((F.col("rank") <= F.col(k_col)) & (F.col("similarity") >= F.col("thr")))
@@ -102,28 +127,33 @@ def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataF
         return h.withColumn("layer", F.lit(name))
 
     out = []
-    ch = layer(code, "use_code_retrieval", "code_fetch_k", "code", ["file_path"])
+    ch = layer(code, "use_code_retrieval", "code_fetch_k", "code", ["file_path", "content"] if rerank else ["file_path"])
     lg = layer(logs, "use_log_retrieval", "log_fetch_k", "log", ["file_reference"])
     if ch is not None:
         if lg is not None:
             ch = V.boost_by_logs(ch, lg)
         else:
             ch = ch.withColumn("cross_referenced", F.lit(False))
-        out.append(V.top_k(ch.drop("rank"), top_k).select("query_id", "layer", "item_id", "similarity", "rank"))
+        if rerank:
+            asked = plans.select(F.col(qid).alias("query_id"), "question")
+            best = E.rerank(ch.drop("rank"), asked, top_k, scorer).withColumnRenamed("rerank_rank", "rank")
+            out.append(best.select(*columns, "rerank_score"))
+        else:
+            out.append(V.top_k(ch.drop("rank"), top_k).select(*columns, no_score))
     if lg is not None:
-        out.append(V.top_k(lg.drop("rank"), top_k).select("query_id", "layer", "item_id", "similarity", "rank"))
+        out.append(V.top_k(lg.drop("rank"), top_k).select(*columns, no_score))
     if concepts is not None:
         cc = layer(concepts, "use_concept_retrieval", "concept_fetch_k", "concept", None)
         if cc is not None:
-            out.append(V.top_k(cc.drop("rank"), top_k).select("query_id", "layer", "item_id", "similarity", "rank"))
+            out.append(V.top_k(cc.drop("rank"), top_k).select(*columns, no_score))
     if not out:  # no question, or none that asks for a layer
         kinds = dict(plans.dtypes)[qid], dict(code.dtypes)["item_id"]
         return plans.sparkSession.createDataFrame(
-            [], f"query_id {kinds[0]}, layer string, item_id {kinds[1]}, similarity double, rank int")
+            [], f"query_id {kinds[0]}, layer string, item_id {kinds[1]}, similarity double, rank int" + ", rerank_score double" * rerank)
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
-    return res
+    return res if rerank else res.drop("rerank_score")
 
 
 def graph_context(plans: DataFrame, edges: DataFrame, qid: str = "query_id", compat: bool = True) -> DataFrame:

@@ -277,6 +277,26 @@ def ann(queries: DataFrame, items: DataFrame, k: int, recall: float = 0.95, qid:
     return _ranked(cells.applyInArrow(_score_cell(k, dim, out_schema), ddl), k)
 
 
+def mean_vectors(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """(key, embedding): the mean vector of each key's rows, element by element with partial
+    aggregation; only the elements of a mean, as many as its dimension, meet in one row. Null
+    and empty vectors count for nothing."""
+    ex = df.select(F.col(key), F.posexplode(vec).alias("_i", "_x"))
+    m = ex.groupBy(key, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
+    return m.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("embedding"))
+
+
+#: What a concept hit carries of its concept.
+CONCEPT_FIELDS = ["service_name", "template", "severity", "total_occurrences", "trend"]
+
+
+def search_concepts(queries: DataFrame, concepts: DataFrame, k: int, t: float = SIMILARITY_THRESHOLD) -> DataFrame:
+    """VE9: top-k concepts by their own vectors, threshold, concept fields attached; concepts
+    without a vector are not searched. Ties go to the smaller concept id."""
+    items = concepts.filter(F.col("embedding").isNotNull()).withColumnRenamed("concept_id", "item_id")
+    return search(queries, items, k, t, cols=CONCEPT_FIELDS)
+
+
 def attach(hits: DataFrame, items: DataFrame, iid: str = "item_id", cols: list[str] | None = None) -> DataFrame:
     """Join item attributes to top-k hits. The hits (queries x k) are usually far
     smaller than the items; AQE broadcasts them from their measured size."""

@@ -7,8 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import concepts as C
 from ..operators import vectors as V
 from ..sources.tables import table
+from .catalog_logs import _CONCEPT_SQL
 from .registry import r4, register
 from .views import duck_view_sql, view
 
@@ -16,10 +18,7 @@ from .views import duck_view_sql, view
 def centroids(emb):
     """Per-label mean vector (posexplode + partial aggregation; output is bounded
     by labels x dimension)."""
-    ex = emb.select("label", F.posexplode("embedding").alias("i", "x"))
-    m = ex.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return m.groupBy(F.col("label").alias("query_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+    return V.mean_vectors(emb, "label").withColumnRenamed("label", "query_id")
 
 
 def _items(spark, sf):
@@ -121,11 +120,31 @@ def search_logs(spark, sf):
                     "message", "file_reference")
 
 
-@register("search_concepts", f"""WITH {_CENT}, h AS ({_knn_sql('(SELECT * FROM items WHERE repo_id < 5)', 10)})
-{_HITS} FROM h WHERE similarity >= 0.3""")
+def concept_vectors(spark, sf):
+    """Concepts of all logs with a vector: the mean of the vectors of their entries."""
+    tc = C.with_templates(view(spark, sf, "v_logs"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("log_id"), "embedding")
+    means = V.mean_vectors(e.join(tc.select("log_id", "concept_id"), "log_id"), "concept_id")
+    return C.rollup_concepts(tc).join(means, "concept_id")
+
+
+_CONCEPT_ITEMS = f"""kept AS ({duck_view_sql('v_logs')}){_CONCEPT_SQL},
+ce AS (SELECT tc.concept_id, generate_subscripts(e.embedding, 1) AS i, unnest(e.embedding) AS x
+       FROM embeddings e JOIN tc ON e.vec_id = tc.log_id),
+cv AS (SELECT concept_id, list(x ORDER BY i) AS v FROM (SELECT concept_id, i, avg(CAST(x AS DOUBLE)) AS x FROM ce GROUP BY ALL)
+       GROUP BY concept_id),
+ci AS (SELECT cv.concept_id AS item_id, cv.v, c.* FROM cv JOIN concepts c USING (concept_id))"""
+
+
+@register("search_concepts", f"""WITH {_CENT}, {_CONCEPT_ITEMS},
+h AS ({_knn_sql('ci', 10)})
+SELECT h.query_id, h.item_id, round(h.similarity, 4) AS similarity, h.rank, ci.service_name, ci.template, ci.severity,
+       ci.total_occurrences, ci.trend FROM h JOIN ci USING (item_id) WHERE h.similarity >= 0.3""")
 def search_concepts(spark, sf):
-    """VE9: concept-vector search (top-10, threshold)."""
-    return _out(V.search(_queries(spark, sf), _items(spark, sf).filter("repo_id < 5"), 10, 0.3))
+    """VE9: the 10 nearest log concepts of every label centroid by the concepts' own vectors
+    (threshold 0.3), with service, template, severity, occurrences and trend."""
+    h = V.search_concepts(_queries(spark, sf), concept_vectors(spark, sf), 10, 0.3)
+    return h.select("query_id", "item_id", r4("similarity").alias("similarity"), "rank", *V.CONCEPT_FIELDS)
 
 
 _RECENT = "(SELECT item_id AS query_id, v AS q FROM items WHERE repo_id >= 5 ORDER BY item_id DESC LIMIT 10)"
