@@ -34,9 +34,30 @@ from .library_tokens import CACHE_MAX_CHARS, Generations, byte_letters, read_voc
 
 #: Unicode's White_Space characters.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Code points that count as neither letters nor numbers in the tokenizers library, whose
+#: character classes are those of Unicode 16, though a later Unicode version (and so the
+#: regex package, depending on its release) has made them so.
+LATER_LETTERS = (
+    r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a"
+    r"\U00011db0-\U00011ddb\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3"
+    r"\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191"
+    r"\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81"
+    r"\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5"
+    r"\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e"
+    r"\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f")
+LATER_NUMBERS = r"\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
+#: Capitals that the library lowers and Python's older tables leave: runs (first, last, step, distance).
+LATER_CAPITALS = ((0x1C89, 0x1C89, 1, 1), (0xA7CB, 0xA7CB, 1, 0x264 - 0xA7CB), (0xA7CC, 0xA7CE, 2, 1), (0xA7D2, 0xA7D4, 2, 1),
+                  (0xA7DA, 0xA7DA, 1, 1), (0xA7DC, 0xA7DC, 1, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 1, 32), (0x16EA0, 0x16EB8, 1, 27))
+_LOWER = {c: chr(c + d) for a, b, step, d in LATER_CAPITALS for c in range(a, b + 1, step)}
+_L, _N = rf"[\p{{L}}--[{LATER_LETTERS}]]", rf"[\p{{N}}--[{LATER_NUMBERS}]]"
+_OTHER = rf"[[^{_WHITE}]--{_L}--{_N}]"
 #: Fixed split rules of the two published vocabularies.
-WORD_RULE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+"
-BYTE_RULE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+WORD_RULE = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{_L}+|{_N}|{_OTHER}+"
+BYTE_RULE = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?{_OTHER}+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+#: The word rule for ASCII text, where the classes need no exceptions.
+ASCII_WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+"
 
 
 def merge_symbols(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -82,6 +103,7 @@ class Codec:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.lower = spec["normalizer"] is not None
         self.rule = regex.compile(WORD_RULE if self.lower else BYTE_RULE)
+        self.ascii_rule = regex.compile(ASCII_WORD_RULE) if self.lower else self.rule
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.vocab = vocab
@@ -111,8 +133,10 @@ class Codec:
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
-        if self.lower and not (text.isascii() and text.islower()):
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text)) if not text.isascii() else text.lower()
+        if text.isascii():
+            return b"".join(map(self._run, self.ascii_rule.findall(text.lower() if self.lower else text)))
+        if self.lower:
+            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text).translate(_LOWER))
         return b"".join(map(self._run, self.rule.findall(text)))
 
     def _segment(self, text: str) -> bytes:

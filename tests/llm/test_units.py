@@ -1,12 +1,15 @@
 """Ids joined from units and segments against whole-text ids of the library."""
 
 import random
+from array import array
 
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from logweave.llm import library_tokens
+from logweave.llm.bpe import Codec
 from logweave.llm.library_tokens import LibraryTokens, read_vocabulary
 
 FILES = {"words": "word_bpe_49k.json", "bytes": "byte_bpe_50k.json"}
@@ -67,3 +70,17 @@ def test_small_blocks_caches_and_cuts_of_long_texts(tok, monkeypatch):
 def test_no_texts(tok):
     ids, at = tok.encode_texts(np.zeros(0, np.uint8), np.zeros(1, np.int64))
     assert len(ids) == 0 and at.tolist() == [0]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_code_point_between_a_letter_and_a_digit(name):
+    """Letters, numbers and capitals of the library's Unicode version, not of Python's."""
+    path = public_tokenizers.path(name)
+    with open(path, encoding="utf-8") as f:
+        own = Codec(f.read())
+    library = Tokenizer.from_file(path)
+    for low in range(0x80, 0x40000, 1024):
+        text = " ".join(f"a{chr(c)}1{chr(c)}b" for c in range(low, low + 1024) if not 0xD800 <= c <= 0xDFFF)
+        ids = array("I")
+        ids.frombytes(own.encode(text.encode()))
+        assert list(ids) == library.encode(text, add_special_tokens=False).ids, hex(low)
