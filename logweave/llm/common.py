@@ -67,6 +67,23 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return out.drop(*[f"_jk{i}" for i in range(len(keys))])
 
 
+def with_row_key(df: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """(``df`` with a further column, its name): an integer of each row alone, ``id_col``
+    itself where one row only has that id. Rows without an id, or whose id others have too,
+    get numbers above all ids, in the order read; only those rows are written apart.
+    The ids that others have are found from a count of ids; no text moves for it."""
+    key = "_key"
+    while key in df.columns:
+        key += "_"
+    odd = scratch(df.groupBy(F.col(id_col).alias("_odd")).agg(F.count(F.lit(1)).alias("_n"))
+                  .filter(F.col("_odd").isNull() | (F.col("_n") > 1)).select("_odd"), "ids")
+    top = df.agg(F.max(F.col(id_col).cast("long"))).first()[0]
+    repeated = df[id_col].eqNullSafe(odd["_odd"])
+    apart = scratch(df.join(odd, repeated, "left_semi")
+                    .withColumn(key, F.monotonically_increasing_id() + F.lit(max(-1 if top is None else top, -1) + 1)), "apart")
+    return df.join(odd, repeated, "left_anti").withColumn(key, F.col(id_col).cast("long")).unionByName(apart), key
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names of its own (an input may
     carry any other columns)."""
