@@ -2,48 +2,59 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last
 return the columns of ``docs``. ``run`` writes each stage's result as Parquet in the shared
-scratch folder and reads it again for the next. Rows without a doc_id pass the dedup
-stages as documents of their own.
+scratch folder and reads it again for the next.
+
+Every stage judges rows, not ids: a row whose doc_id is null or another row's too goes
+through the stages under a number of its own and counts as later than all other rows
+(``with_row_key``). Null texts are empty texts; other columns, whatever their names, pass
+unchanged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import exact, oddsketch, packing, substring
 from logweave.llm import quality as quality_rules
-from logweave.llm.common import join_on, prepare, scratch
+from logweave.llm.common import prepare, scratch, with_row_key
 
 
-def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The documents whose verdict is kept."""
-    return join_on(docs, verdict.filter("kept").select("doc_id").distinct(), ["doc_id"], "left_semi")
+def _only(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows that ``judge``, given the rows and the name of their key, keeps."""
+    prepare(docs.sparkSession)
+    keyed, key = with_row_key(docs)
+    kept = judge(keyed, key).filter("kept").select(key)
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality_rules.quality(docs))
+    return _only(docs, quality_rules.quality)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact.exact_dedup(docs))
+    return _only(docs, exact.exact_dedup)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8 or more; one document of each group stays."""
-    return _only(docs, oddsketch.near_dedup(docs, words=5, percent=80, bands=30, rows=5))
+    return _only(docs, lambda rows, key: oddsketch.near_dedup(rows, words=5, percent=80, bands=30, rows=5, id_col=key))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that an earlier document has are cut out of the texts."""
-    cut = substring.substring_dedup(docs, 50).filter(F.col("cut_text").isNotNull()) \
-        .select(F.col("doc_id"), F.col("cut_text").alias("_cut")).dropDuplicates(["doc_id"])
-    out = join_on(docs, cut, ["doc_id"], "left")
-    changed = {"text": F.coalesce("_cut", "text")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_cut").isNotNull(), F.length("_cut").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).select(*docs.columns)
+    prepare(spark)
+    keyed, key = with_row_key(docs)
+    cut = substring.substring_dedup(keyed, 50, id_col=key).filter(F.col("cut_text").isNotNull()) \
+        .select(F.col(key).alias("_cut_key"), F.col("cut_text").alias("_cut"))
+    x = keyed.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_of")).join(cut, F.col("_of") == F.col("_cut_key"), "left")
+    done = F.col("_cut").isNotNull()
+    changed = {"text": F.coalesce("_cut", "_doc.text"),
+               "n_chars": F.when(done, F.length("_cut").cast("long")).otherwise(F.col("_doc.n_chars")) if "n_chars" in docs.columns else None}
+    return x.select(*[changed[c].alias(c) if c in changed else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
