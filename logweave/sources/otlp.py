@@ -18,14 +18,15 @@ from .logs import entry_from_map
 SEVERITY_BANDS = ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"]
 EXCEPTION_KEYS = ["code.filepath", "code.lineno", "exception.type", "exception.message", "exception.stacktrace"]
 ZERO_ID_B64 = "AAAAAAAAAAAAAAAAAAAAAA=="
-ANY_VALUE_DEPTH = 3
+#: Levels of nesting that are rendered; a value below them stays JSON text.
+ANY_VALUE_DEPTH = 8
 
 # An AnyValue decoded one level deep; nested values stay JSON text.
 _AV = ("struct<stringValue:string,intValue:string,doubleValue:string,boolValue:string,"
        "arrayValue:struct<values:array<string>>,kvlistValue:struct<values:array<struct<key:string,value:string>>>>")
 _KV = f"array<struct<key:string,value:{_AV}>>"
 _RECORD = ("struct<timeUnixNano:string,time_unix_nano:string,observedTimeUnixNano:string,"
-           "observed_time_unix_nano:string,severityNumber:string,severity_number:string,severityText:string,"
+           "observed_time_unix_nano:string,severityNumber:variant,severity_number:string,severityText:string,"
            f"severity_text:string,body:string,attributes:{_KV},traceId:string,trace_id:string,spanId:string,"
            "span_id:string>")
 _SCOPE = f"struct<scope:struct<name:string>,logRecords:array<{_RECORD}>,log_records:array<{_RECORD}>>"
@@ -47,21 +48,25 @@ def _let(expr: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(expr), fn), 1)
 
 
+def _parts(v: Column, depth: int) -> tuple[Column, Column]:
+    """(whether an AnyValue is a list, texts of its members): arrays and key-value lists are
+    brought to one form first, so the expression grows by one decoding a level, not by two."""
+    arr, kvs = v["arrayValue"]["values"], v["kvlistValue"]["values"]
+    members = F.coalesce(
+        F.transform(arr, lambda x: F.struct(F.lit("").alias("name"), F.lit("None").alias("none"), x.alias("value"))),
+        F.transform(kvs, lambda kv: F.struct(F.concat(F.coalesce(kv["key"], F.lit("")), F.lit("=")).alias("name"),
+                                             F.lit("{}").alias("none"), kv["value"].alias("value"))))
+    return arr.isNotNull(), F.transform(members, lambda m: F.concat(m["name"], F.coalesce(any_value(m["value"], depth - 1), m["none"])))
+
+
 def render_any(v: Column, depth: int = ANY_VALUE_DEPTH) -> Column:
     """OT4 on a decoded AnyValue: scalars as text (booleans as True/False),
     arrays ``[a, b]``, kvlists ``{k=v, ...}``, nested up to ``depth`` levels;
-    anything else as JSON."""
+    anything else as JSON. A null member of an array is ``None``, a key without value ``k={}``."""
     out = F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"], _bool_text(v["boolValue"]))
     if depth > 0:
-        arr = v["arrayValue"]["values"]
-        kvs = v["kvlistValue"]["values"]
-        out = F.coalesce(
-            out,
-            F.when(arr.isNotNull(), F.concat(F.lit("["), F.array_join(
-                F.transform(arr, lambda x: any_value(x, depth - 1)), ", "), F.lit("]"))),
-            F.when(kvs.isNotNull(), F.concat(F.lit("{"), F.array_join(
-                F.transform(kvs, lambda kv: F.concat(F.coalesce(kv["key"], F.lit("")), F.lit("="),
-                                                     any_value(kv["value"], depth - 1))), ", "), F.lit("}"))))
+        is_list, parts = _parts(v, depth)
+        out = F.coalesce(out, F.concat(F.when(is_list, "[").otherwise("{"), F.array_join(parts, ", "), F.when(is_list, "]").otherwise("}")))
     return F.coalesce(out, F.to_json(v))
 
 
@@ -98,6 +103,11 @@ def otlp_level(text: Column, num: Column) -> Column:
     return F.when(t.isNotNull() & (t != ""), F.when(t == "WARNING", F.lit("WARN")).otherwise(t)).otherwise(band)
 
 
+def whole_number(v: Column) -> Column:
+    """A JSON value that is a whole number, else null: text such as "17" and 17.0 are none."""
+    return F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+
+
 def nanos_to_ts(ns: Column) -> Column:
     """OT2: epoch nanoseconds (text or number) -> timestamp; empty, 0 or invalid -> null.
 
@@ -147,7 +157,7 @@ def flatten_otlp(df: DataFrame, payload: str = "payload", request: str = "reques
         "service_name", "scope",
         nanos_to_ts(pick("timeUnixNano", "time_unix_nano")).alias("time"),
         F.coalesce(nanos_to_ts(pick("observedTimeUnixNano", "observed_time_unix_nano")), "_got").alias("observed_time"),
-        otlp_level(F.col("_l.severityText"), F.col("_l.severityNumber")).alias("level"),
+        otlp_level(F.col("_l.severityText"), whole_number(F.col("_l.severityNumber"))).alias("level"),
         otlp_body(F.col("_l.body")).alias("body"),
         attributes_map(F.coalesce(F.col("_l.attributes"), F.array())).alias("attributes"),
         clean_id(pick("traceId", "trace_id")).alias("trace_id"),

@@ -67,3 +67,22 @@ def test_counts_of_any_level_and_reason(spark):
     assert not any(r[3] == 0 and r[1] in ("by_level", "drop_reasons") for r in got)
     t = O.receiver_totals(df.withColumn("received_at", F.lit(1))).first()
     assert tuple(t)[:4] == (3, 5, 3, 2) and {tuple(r) for r in O.services_seen(df).collect()} == {("a", 2), ("b", 1), (None, 1)}
+
+
+def test_nested_values_and_missing_members(spark):
+    v, want = {"stringValue": "x"}, "x"
+    for i in range(O.ANY_VALUE_DEPTH):
+        v, want = ({"arrayValue": {"values": [v, {"intValue": i}]}}, f"[{want}, {i}]") if i % 2 else \
+            ({"kvlistValue": {"values": [{"key": "k", "value": v}, {"key": "n", "value": {"boolValue": False}}]}}, f"{{k={want}, n=False}}")
+    odd = {"arrayValue": {"values": [None, {"kvlistValue": {"values": [{"key": "k"}, {"value": {"stringValue": "y"}}]}}, {"arrayValue": {"values": []}}]}}
+    df = spark.createDataFrame([(json.dumps(v),), (json.dumps(odd),), (None,)], "j string")
+    assert [r[0] for r in df.select(O.any_value(F.col("j"))).collect()] == [want, "[None, {k={}, =y}, []]", None]
+
+
+def test_severity_numbers_are_whole_numbers(spark):
+    numbers = [17, "17", 17.0, 13.5, None, 0, 25, [17], {"a": 1}, 1]
+    p = {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"severityNumber": n, "body": {"stringValue": str(i)}} for i, n in enumerate(numbers)]
+                                          + [{"body": {"stringValue": "none"}}]}]}]}
+    df = spark.createDataFrame([(1, json.dumps(p))], "request_id int, payload string")
+    got = [r.level for r in O.flatten_otlp(df).orderBy("record_no").collect()]
+    assert got == ["ERROR", None, None, None, None, None, None, None, None, "TRACE", None]
