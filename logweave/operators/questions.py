@@ -119,7 +119,8 @@ def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataF
         if kmax is None:
             return None
         vec = DOMAIN_VECTORS["code" if name == "code" else "log"]
-        h = V.knn(qs.select(qid, F.col(vec).alias("embedding")), items, int(kmax), qid=qid)
+        # boost, rerank and output read the hits: search once
+        h = G._cut(V.knn(qs.select(qid, F.col(vec).alias("embedding")), items, int(kmax), qid=qid))
         # per-question limits: the join side grows with the questions, so AQE picks the strategy
         h = h.join(qs.select(F.col(qid).alias("query_id"), k_col, "thr"), "query_id") \
              .filter((F.col("rank") <= F.col(k_col)) & (F.col("similarity") >= F.col("thr")))
@@ -127,7 +128,7 @@ def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataF
         return h.withColumn("layer", F.lit(name))
 
     out = []
-    ch = layer(code, "use_code_retrieval", "code_fetch_k", "code", ["file_path", "content"] if rerank else ["file_path"])
+    ch = layer(code, "use_code_retrieval", "code_fetch_k", "code", ["file_path"])
     lg = layer(logs, "use_log_retrieval", "log_fetch_k", "log", ["file_reference"])
     if ch is not None:
         if lg is not None:
@@ -136,7 +137,7 @@ def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataF
             ch = ch.withColumn("cross_referenced", F.lit(False))
         if rerank:
             asked = plans.select(F.col(qid).alias("query_id"), "question")
-            best = E.rerank(ch.drop("rank"), asked, top_k, scorer).withColumnRenamed("rerank_rank", "rank")
+            best = E.rerank(ch.drop("rank"), asked, top_k, scorer, items=code).withColumnRenamed("rerank_rank", "rank")
             out.append(best.select(*columns, "rerank_score"))
         else:
             out.append(V.top_k(ch.drop("rank"), top_k).select(*columns, no_score))
