@@ -25,6 +25,12 @@ RULES: list[tuple[str, str]] = [
     ("env_ref", r"""(?iU)os\.(?:environ\.get|getenv)\s*\(\s*['"]([A-Z][A-Z0-9_]*(?:_URL|_HOST|_ENDPOINT|_SERVICE|_ADDR))['"]"""),
     ("env_ref", r"""(?U)process\.env\.([A-Z][A-Z0-9_]*(?:_URL|_HOST|_ENDPOINT|_SERVICE|_ADDR))"""),
 ]
+# A text that every match of a rule holds (lower: looked for in the lower-cased file); a file
+# without it is not searched. Of the rules that ignore case only letters count that no other
+# character folds to (not i, k, s). Rules left out are searched in every file.
+RULE_TEXTS: dict[int, tuple[str, bool]] = {
+    0: ("://", False), 1: ("://", False), 2: ("://", False), 3: ("grpc", True), 4: ("grpc.Dial", False), 5: ("producer", True),
+    7: ("projec", True), 8: ("queueurl", True), 10: ("github.com/", False), 11: ("env", True), 12: ("process.env.", False)}
 # Generic names never taken as services.
 IGNORED_TARGETS = ["localhost", "127-0-0-1", "0-0-0-0", "example", "example-com", "your-service",
                    "service", "host", "api", "internal", ""]
@@ -58,8 +64,13 @@ def extract_matches(files: DataFrame, content: str = "content", kinds: tuple[str
     for i, (kind, rx) in enumerate(RULES):
         if kinds is not None and kind not in kinds:
             continue
-        z = F.arrays_zip(F.regexp_extract_all(F.col(content), F.lit(rx), 0).alias("g0"),
-                         F.regexp_extract_all(F.col(content), F.lit(rx), 1).alias("g1"))
+        # a match found again in its own text has the same group 1: no rule looks beyond its match
+        z = F.transform(F.regexp_extract_all(F.col(content), F.lit(rx), 0),
+                        lambda g: F.struct(g.alias("g0"), F.regexp_extract(g, rx, 1).alias("g1")))
+        if i in RULE_TEXTS:
+            text, lower = RULE_TEXTS[i]
+            z = F.when(F.contains(F.lower(content) if lower else F.col(content), F.lit(text)), z).otherwise(
+                F.array().cast("array<struct<g0:string,g1:string>>"))
         per_rule.append(F.transform(z, _rule_row(i, kind)))
     keep = [c for c in files.columns if c != content]
     return files.select(*keep, F.explode(F.concat(*per_rule)).alias("_m")).select(*keep, "_m.*")

@@ -51,7 +51,7 @@ x AS (SELECT * FROM nt1 WHERE target_name IS NOT NULL
 SELECT repo, file_path, rule, pos, dependency_type, target_name, source_pattern FROM x""")
 def extract_dependencies(spark, sf):
     """SD1-SD4: 13 rules over whole source files -> normalised, filtered targets."""
-    f = view(spark, sf, "v_files")
+    f = view(spark, sf, "v_files", spread=True)
     d = D.extract_dependencies(f, _repos(spark, sf))
     return d.select("repo", "file_path", "rule", "pos", "dependency_type", "target_name", "source_pattern")
 
@@ -63,7 +63,7 @@ SELECT repo AS source_repo, target_name, dependency_type, file_path AS source_fi
 FROM x GROUP BY ALL""")
 def rollup_file_dependencies(spark, sf):
     """SD5 + SD6 over extracted matches: call counts, first pattern, resolved target id."""
-    f = view(spark, sf, "v_files")
+    f = view(spark, sf, "v_files", spread=True)
     d = D.extract_dependencies(f, _repos(spark, sf)).withColumnRenamed("repo", "source_repo") \
          .withColumnRenamed("file_path", "source_file")
     r = D.resolve_target(D.rollup_dependencies(d), _repos(spark, sf))

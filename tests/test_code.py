@@ -88,3 +88,29 @@ def test_normalise_and_blast(spark):
     svc = spark.createDataFrame([("A",), ("b",), ("c",)], "service_name string")
     got = dict(rows(D.blast_radius(deps, svc), "service_name", "blast_radius_level"))
     assert got == {"A": "high", "b": "medium", "c": "low"}
+
+
+def test_rules_search_only_files_that_hold_their_text(spark, monkeypatch):
+    texts = ["REQUEſTS.get('HTTPS://Svc-A.b/x')", "fetch('http://a-b/y') got(`'https://c')", 'u = f"https://{PAY_URL}/v"', "GRPC.Secure_Channel('pay-x:1')",
+             'c := grpc.Dial("pay-y:5")', "KafKaProducer(\n a, Bootstrap_Servers = 'brok:9'\n) Producer(x bootstrap.servers: 'b2')", "client.publish('t-1') PRODUCER.SEND(\"t2\")",
+             "PubliſherClient()\n.publish('PROJECTS/p/topics/t9')", "sqs.send_message( QueueUrl = 'https://q/1/jobs' )", "import pay.client\nfrom a.b import c\n x import y",
+             '"github.com/org/lib"', "OS.environ.get('PAY_URL') os.getenv(\"A_HOST\")", "process.env.PAY_ADDR process.env.x", "", None]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("all", "\n".join(t for t in texts if t))], "file_path string, content string")
+    out = ("file_path", "rule", "pos", "dependency_type", "raw", "source_pattern")
+    got = sorted(rows(D.extract_matches(files), *out))
+    assert {r[1] for r in got} == set(range(len(D.RULES)))
+    monkeypatch.setattr(D, "RULE_TEXTS", {})
+    assert got == sorted(rows(D.extract_matches(files), *out))
+    whole = files.select("file_path", *[F.arrays_zip(F.regexp_extract_all("content", F.lit(rx), 0).alias("g0"), F.regexp_extract_all("content", F.lit(rx), 1).alias("g1"))
+                                        .alias(f"r{i}") for i, (_, rx) in enumerate(D.RULES)])
+    want = [(r["file_path"], i, pos, kind, m["g1"], m["g0"][:200]) for r in whole.collect() for i, (kind, _) in enumerate(D.RULES)
+            for pos, m in enumerate(r[f"r{i}"] or [])]
+    assert got == sorted(want)
+
+
+def test_source_files_of_a_small_table_are_dealt_out(spark):
+    from logweave.plans.views import view
+    sf = "/root/testdata/sf0.001"
+    f = view(spark, sf, "v_files", spread=True)
+    assert f.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert sorted(rows(f)) == sorted(rows(view(spark, sf, "v_files")))
