@@ -206,12 +206,13 @@ def deployment_errors(deploys: DataFrame, logs: DataFrame, hours: int = 1) -> Da
 def incident_patterns(incidents: DataFrame, commits: DataFrame, files: DataFrame, level: str = "directory") -> DataFrame:
     """DA8: per changed pattern (directory, or file with ``level='file'``):
     commits touching it, those with an incident, and the incident rate."""
-    inc = incidents.select("sha").distinct().withColumn("_inc", F.lit(1))
+    # one row a commit with its flag: files are joined once, and not sorted again for the incidents
+    known = commits.select("sha", F.lit(1).alias("_com"), F.lit(0).alias("_inc")) \
+        .unionByName(incidents.select("sha", F.lit(0).alias("_com"), F.lit(1).alias("_inc"))) \
+        .groupBy("sha").agg(F.max("_com").alias("_com"), F.max("_inc").alias("_inc")).filter("_com = 1").drop("_com")
     pat = F.col("file_path") if level == "file" else F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)
-    cf = commits.select("sha").join(files.select("sha", "file_path"), "sha") \
-                .withColumn("pattern", pat).select("sha", "pattern").distinct()
-    j = cf.join(inc, "sha", "left")
-    return j.groupBy("pattern").agg(F.count(F.lit(1)).alias("commits"), F.sum(F.coalesce("_inc", F.lit(0))).alias("incidents")) \
+    j = known.join(files.select("sha", "file_path"), "sha").withColumn("pattern", pat).select("sha", "pattern", "_inc").distinct()
+    return j.groupBy("pattern").agg(F.count(F.lit(1)).alias("commits"), F.sum("_inc").alias("incidents")) \
             .withColumn("incident_rate", F.col("incidents") / F.col("commits"))
 
 
