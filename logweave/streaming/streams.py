@@ -13,6 +13,7 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,23 +176,45 @@ def stream_drain(df: DataFrame, state_dir: str):
     return handle
 
 
+#: Groups that the partition keys of the pairing are dealt into: a group is one call of the
+#: Python worker and one row of state for all of its keys.
+PAIR_GROUPS = 1024
+
+
 def _pair_state(window_us: int):
+    """Pairs of one group of keys; its state is the last event of each of its keys."""
+    def live(keys, entities, times, watermark_ms, state):
+        ends = [t // 1000 + window_us // 1000 + 1 for t in times]
+        kept = [i for i, end in enumerate(ends) if end > watermark_ms]
+        if not kept:
+            if state.exists:
+                state.remove()
+            return
+        state.update(([keys[i] for i in kept], [entities[i] for i in kept], [times[i] for i in kept]))
+        state.setTimeoutTimestamp(min(ends[i] for i in kept))
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, entities, times = (list(x) for x in state.get) if state.exists else ([], [], [])
         if state.hasTimedOut:
-            state.remove()
+            live(keys, entities, times, state.getCurrentWatermarkMs(), state)
             return
-        prev = state.get if state.exists else None
-        rows = []
-        for pdf in _in_order(pdfs):
-            for ent, us, t in zip(pdf["entity"], pdf["_us"], pdf["ts"]):
-                if prev is not None and prev[0] != ent and us - prev[1] <= window_us:
-                    rows.append((prev[0], ent, (us - prev[1]) / 1000.0, t))
-                prev = (ent, int(us))
-        if rows:
-            yield pd.DataFrame(rows, columns=["source_entity", "target_entity", "lag_ms", "ts"])
-        if prev is not None:
-            state.update(prev)
-            state.setTimeoutTimestamp(int(prev[1] // 1000 + window_us // 1000 + 1))
+        new = pd.concat(list(pdfs), ignore_index=True)
+        n = len(keys)
+        of, names = pd.factorize(np.concatenate([np.array(keys, object), new["_p"].to_numpy(object)]), use_na_sentinel=False)
+        ent = np.concatenate([np.array(entities, object), new["entity"].to_numpy(object)])
+        us = np.concatenate([np.array(times, np.int64), new["_us"].to_numpy(np.int64)])
+        # a key's last event before this micro-batch comes first, whatever its time
+        order = np.lexsort((np.arange(len(us)), np.r_[np.zeros(n, np.int64), new["_o"].fillna(0).to_numpy(np.int64)], us, np.arange(len(us)) >= n, of))
+        kind = pd.factorize(ent)[0]
+        prev, here = order[:-1], order[1:]
+        pair = (of[prev] == of[here]) & (kind[prev] >= 0) & (kind[here] >= 0) & (kind[prev] != kind[here]) & (us[here] - us[prev] <= window_us)
+        prev, here = prev[pair], here[pair]
+        if len(here):
+            yield pd.DataFrame({"source_entity": ent[prev], "target_entity": ent[here], "lag_ms": (us[here] - us[prev]) / 1000.0,
+                                "ts": new["ts"].to_numpy()[here - n]})
+        last = order[np.r_[of[order][1:] != of[order][:-1], True]]
+        live([None if pd.isna(x) else x for x in names[of[last]]], [None if pd.isna(x) else x for x in ent[last]], us[last].tolist(),
+             state.getCurrentWatermarkMs(), state)
     return fn
 
 
@@ -199,31 +222,48 @@ def stream_edges(df: DataFrame, entity: str = "entity", partition: str = "user_i
                  order: str = "event_id", window_s: float = 86400, watermark: str = "1 hour") -> DataFrame:
     """SS6: co-occurrence rows from a stream: each event paired with the previous
     event of its partition key (state = that event), as the batch pairing does;
-    the rows feed the edge rollup (CG1) in ``foreachBatch`` or a later batch job."""
-    x = df.withWatermark(ts, watermark).select(F.col(partition).alias("_p"), F.col(entity).alias("entity"), ts,
-                                               F.unix_micros(F.col(ts)).alias("_us"), F.col(order).cast("bigint").alias("_o"))
-    return x.groupBy("_p").applyInPandasWithState(
+    the rows feed the edge rollup (CG1) in ``foreachBatch`` or a later batch job. Keys are dealt
+    into ``PAIR_GROUPS`` groups by a hash, each paired in one call; events without a time pair with none."""
+    x = df.withWatermark(ts, watermark).filter(F.col(ts).isNotNull()) \
+          .select(F.pmod(F.xxhash64(partition), F.lit(PAIR_GROUPS)).alias("_g"), F.col(partition).cast("string").alias("_p"), F.col(entity).alias("entity"), ts,
+                  F.unix_micros(F.col(ts)).alias("_us"), F.col(order).cast("bigint").alias("_o"))
+    return x.groupBy("_g").applyInPandasWithState(
         _pair_state(int(window_s * 1_000_000)), "source_entity string, target_entity string, lag_ms double, ts timestamp",
-        "entity string, us long", "append", GroupStateTimeout.EventTimeTimeout)
+        "keys array<string>, entities array<string>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def merge_edges(state_dir: str):
     """SS6 into CG1: a ``foreachBatch`` function that merges each batch's co-occurrence
-    rows into the edge table. The rows are kept by batch; an edge that the batch touches is
-    rolled up again from its rows of all batches, every other edge is carried over. Rows
-    and table are written to folders of the batch id, so a retried batch gives the same."""
+    rows into the edge table. The batch is read once, when its rows are written; its summary is
+    merged with that of the batches before, and gives every edge whose summary tells all. An
+    edge that needs its rows (a first lag below zero, or incidents without a lag) is rolled up again from those of all
+    batches if this one touches it, else carried over. Rows, summaries and table are written to
+    folders of the batch id, so a retried batch gives the same."""
     key = ["source_entity", "target_entity"]
 
     def handle(batch: DataFrame, batch_id: int, out: str | None = None) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(os.path.join(state_dir, "pairs", f"batch={batch_id}"))
-        pairs = spark.read.schema(batch.schema).option("basePath", os.path.join(state_dir, "pairs")) \
-            .parquet(*[os.path.join(state_dir, "pairs", f"batch={k}") for k in range(batch_id + 1)])
-        touched = batch.select(*key).distinct()
-        edges = G.rollup_edges(pairs.join(touched, key, "left_semi"))
+
+        def at(name: str, k: int = batch_id) -> str:
+            return os.path.join(state_dir, name, str(k))
+
+        def rows(first: int) -> DataFrame:
+            return spark.read.schema(batch.schema).parquet(*[at("pairs", k) for k in range(first, batch_id + 1)])
+        batch.write.mode("overwrite").parquet(at("pairs"))
+        new = G.summarize_edges(rows(batch_id))
         if batch_id:
-            edges = edge_table(spark, state_dir, batch_id - 1).join(touched, key, "left_anti").unionByName(edges)
-        edges.write.mode("overwrite").parquet(os.path.join(state_dir, "edges", str(batch_id)))
+            new = G.merge_summaries(spark.read.parquet(at("summaries", batch_id - 1)), new)
+        new.write.mode("overwrite").parquet(at("summaries"))
+        summaries = spark.read.parquet(at("summaries"))
+        edges = G.edges_of_summaries(summaries)
+        rest = summaries.filter(~F.coalesce(G.summary_tells(), F.lit(False))).select(*key)
+        if not rest.isEmpty():
+            touched = rest.join(rows(batch_id).select(*key).distinct(), key, "left_semi")
+            edges = edges.unionByName(G.rollup_edges(rows(0).join(touched, key, "left_semi")))
+            if batch_id:
+                kept = edge_table(spark, state_dir, batch_id - 1).join(rest, key, "left_semi").join(touched, key, "left_anti")
+                edges = edges.unionByName(kept)
+        edges.write.mode("overwrite").parquet(at("edges"))
     return handle
 
 
