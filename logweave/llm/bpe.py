@@ -9,7 +9,9 @@ strings.
 
 Rows are independent: one Arrow pass to encode, one to decode, no shuffle. The
 vocabulary file (a few MB, a fixed file) is read on the driver and sent with the
-tasks. A worker keeps the ids of recent words in a cache of bounded size.
+tasks. A worker keeps the ids of recent words in a cache of bounded size; numpy cuts plain
+texts into units and looks them up (``library_tokens.BlockTexts``), and units that the cache
+does not hold are merged as above.
 
 Nulls and empty texts have no ids and decode to an empty text; repeated rows are
 encoded each on their own; other columns of the input are not read.
@@ -24,13 +26,14 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, list_array, prepare, text_buffers
-from .library_tokens import CACHE_MAX_CHARS, Generations, byte_letters, read_vocabulary
+from .common import blocks, id_text, list_array, prepare, text_buffers
+from .library_tokens import BLOCK_TEXT, CACHE_MAX_CHARS, BlockTexts, Generations, Units, byte_letters, read_vocabulary
 
 #: Unicode's White_Space characters.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -60,40 +63,45 @@ BYTE_RULE = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?{_OTHER}+|[{_WHITE
 ASCII_WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+"
 
 
-def merge_symbols(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Ids of one split after all merges. ``ranks``: pair -> (rank, merged id)."""
+def merge_symbols(symbols: list[int], ranks: dict[tuple[int, int], int], merged: list[int]) -> list[int]:
+    """Ids of one split after all merges. ``ranks``: pair -> rank; ``merged``: the id a rank merges to.
+
+    A queue entry is ``rank * n + place``, so equal ranks merge from the left; it is stale where the pair
+    at its place has another rank by now."""
     n = len(symbols)
-    if n < 2:
+    get = ranks.get
+    here = list(map(get, zip(symbols, symbols[1:])))
+    queue = [r * n + i for i, r in enumerate(here) if r is not None]
+    if not queue:
         return symbols
-    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    queue = []
-    for i in range(n - 1):
-        r = ranks.get((symbols[i], symbols[i + 1]))
-        if r:
-            queue.append((r[0], i, symbols[i], symbols[i + 1], r[1]))
     heapq.heapify(queue)
+    pop, push = heapq.heappop, heapq.heappush
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     gone = -1
     while queue:
-        _, i, a, b, merged = heapq.heappop(queue)
-        j = right[i]
-        if symbols[i] != a or j >= n or symbols[j] != b:
+        rank, i = divmod(pop(queue), n)
+        if here[i] != rank:
             continue  # stale: a neighbour has merged since
-        symbols[i], symbols[j] = merged, gone
+        j = right[i]
+        new = symbols[i] = merged[rank]
+        symbols[j] = gone
         k = right[i] = right[j]
+        here[i] = None
         if k < n:
+            here[j] = None
             left[k] = i
-            r = ranks.get((merged, symbols[k]))
-            if r:
-                heapq.heappush(queue, (r[0], i, merged, symbols[k], r[1]))
+            r = here[i] = get((new, symbols[k]))
+            if r is not None:
+                push(queue, r * n + i)
         h = left[i]
         if h >= 0:
-            r = ranks.get((symbols[h], merged))
-            if r:
-                heapq.heappush(queue, (r[0], h, symbols[h], merged, r[1]))
+            r = here[h] = get((symbols[h], new))
+            if r is not None:
+                push(queue, r * n + h)
     return [s for s in symbols if s != gone]
 
 
-class Codec:
+class Codec(BlockTexts):
     """Encoder and decoder of one vocabulary file (BPE model, byte-level symbols)."""
 
     def __init__(self, tokenizer_json: str):
@@ -108,9 +116,11 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.vocab = vocab
         self.ranks = {}
+        self.merged = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.ranks.setdefault((vocab[a], vocab[b]), rank)
+            self.merged.append(vocab[a + b])
         self.letters = byte_letters()
         by_id = {i: s for s, i in (vocab | self.special).items()}
         self.joined = spec.get("decoder") is None  # strings with a space between, else bytes
@@ -120,18 +130,23 @@ class Codec:
         for i, s in by_id.items():
             self.strings[i] = s.encode() if self.joined or i in own else bytes(back[c] for c in s)
         self.words, self.runs = Generations(), Generations()
+        self.kind, self.units = "words" if self.lower else "bytes", Units()
 
     def _run(self, run: str) -> bytes:
         """Ids of one split."""
         ids = self.runs.get(run)
         if ids is None:
-            chars = run if self.lower and run.isascii() and run.isprintable() else run.encode().decode("latin-1").translate(self.letters)
-            symbols = [*chars[:-1], chars[-1] + self.suffix]
-            known = [self.vocab[c] for c in symbols if c in self.vocab]
-            ids = self.runs.new[run] = array("I", merge_symbols(known, self.ranks)).tobytes()
+            ids = self.runs.new[run] = self._merged(run)
         return ids
 
-    def _plain(self, text: str) -> bytes:
+    def _merged(self, run: str) -> bytes:
+        chars = run if self.lower and run.isascii() and run.isprintable() else run.encode().decode("latin-1").translate(self.letters)
+        symbols = list(map(self.vocab.get, [*chars[:-1], chars[-1] + self.suffix]))
+        if None in symbols:
+            symbols = [s for s in symbols if s is not None]
+        return array("I", merge_symbols(symbols, self.ranks, self.merged)).tobytes()
+
+    def _plain_text(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
         if text.isascii():
             return b"".join(map(self._run, self.ascii_rule.findall(text.lower() if self.lower else text)))
@@ -141,10 +156,27 @@ class Codec:
 
     def _segment(self, text: str) -> bytes:
         if self.cut is None or "<" not in text:
-            return self._plain(text)
-        return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self._plain(p)
+            return self._plain_text(text)
+        return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self._plain_text(p)
                         for p in self.cut.split(text) if p)
 
+    def _ask(self, units: list[bytes]) -> list[bytes]:
+        """Ids of units of plain texts that the cache does not hold; a unit of letters is one split."""
+        self.runs.turn()
+        out = []
+        for u in units:
+            if u.isalpha():  # ASCII letters
+                text = u.decode()
+                out.append(self._merged(text.lower() if self.lower else text))
+            elif not self.lower and u[:1] == b" " and u[1:].isalpha():
+                out.append(self._merged(u.decode()))
+            else:
+                out.append(self._plain_text(u.decode()))
+        return out
+
+    def _odd(self, text: bytes) -> bytes:
+        return self.encode(text)
+
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not self.lower:
@@ -195,15 +227,11 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         own = codec(spec)
         for rb in batches:
             data, offs = text_buffers(rb.column(1))
-            step = 200
-            for i in range(0, rb.num_rows, step):
-                n = min(step, rb.num_rows - i)
-                ids = [own.encode(data[offs[j]:offs[j + 1]].tobytes()) for j in range(i, i + n)]
-                flat = pa.py_buffer(b"".join(ids))
-                total = flat.size // 4
-                values = pa.Array.from_buffers(pa.int32(), total, [None, flat])
+            for i, j, d, o in blocks(data, offs, 4 * BLOCK_TEXT):
+                ids, at = own.encode_texts(d, o)
+                values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
                 yield pa.RecordBatch.from_arrays(
-                    [rb.column(0).slice(i, n), list_array(values, [len(x) // 4 for x in ids], pa.int32())], ["_id", "ids"])
+                    [rb.column(0).slice(i, j - i), list_array(values, np.diff(at), pa.int32())], ["_id", "ids"])
 
     x = id_text(df, id_col, text_col)
     kind = x.schema["_id"].dataType.simpleString()

@@ -84,3 +84,23 @@ def test_every_code_point_between_a_letter_and_a_digit(name):
         ids = array("I")
         ids.frombytes(own.encode(text.encode()))
         assert list(ids) == library.encode(text, add_special_tokens=False).ids, hex(low)
+
+
+def test_own_encoder_merges_a_unit_once_whatever_comes_between(monkeypatch):
+    """120 000 other words between two uses of a word; plain and other texts, both vocabularies."""
+    from logweave.llm import bpe
+    words = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{i:x}".translate(str.maketrans("0123456789", "uvwxyzhgfe")) for i in range(120_000)]
+    texts = [t.encode() for t in (" ".join(words[:60_000]), " ".join(words[60_000:]), " ".join(words[:100]), "", " It's\n\t<|endoftext|> Àé x× ?!. 12ab ")]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        calls, real = [], bpe.merge_symbols
+        with open(path, encoding="utf-8") as f:
+            own = Codec(f.read())
+        monkeypatch.setattr(bpe, "merge_symbols", lambda *a: calls.append(1) or real(*a))
+        ids, at = own.encode_texts(data, offs)
+        monkeypatch.undo()
+        assert len(calls) <= len(set(words)) + 40
+        library = Tokenizer.from_file(path)
+        for i in range(2, len(texts)):
+            assert ids[at[i]:at[i + 1]].tolist() == library.encode(texts[i].decode(), add_special_tokens=False).ids
