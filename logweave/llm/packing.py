@@ -105,7 +105,7 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     for k, b in enumerate(bins):
         home[b] = k
     alive = len(bins)
-    improved = True
+    improved, seen = True, None
     while improved and alive > least:
         improved = False
         under = np.flatnonzero((fill > 0) & (fill < capacity))
@@ -115,18 +115,47 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
             if fill[v] == 0 or fill[v] >= capacity:
                 continue
             for x in sorted(bins[v], key=lambda i: -lengths[i]):
-                if home[x] == v and _better_place(x, v, bins, size, fill, home, capacity):
-                    improved = True
+                if home[x] != v:
+                    continue
+                seen = seen or _with_room(size, fill, home, capacity)
+                if _better_place(x, v, bins, size, fill, home, seen):
+                    improved, seen = True, None
             alive -= fill[v] == 0
     return [b for b in bins if b]
 
 
+def _with_room(size: np.ndarray, fill: np.ndarray, home: np.ndarray, capacity: int) -> tuple:
+    """What an exchange can use, as long as no bin changes: the room of each bin, the bin with
+    most of it and how much the others have at most; the pieces in bins with room, by size (then
+    number), their sizes, and the largest piece that can take their place; the sums of two such
+    pieces of one bin, ascending, the largest piece that can take theirs, and their bins."""
+    room = np.where(fill > 0, capacity - fill, 0)
+    widest = int(np.argmax(room))
+    others = int(np.delete(room, widest).max(initial=0))
+    items = np.flatnonzero(room[home] > 0)
+    items = items[np.argsort(size[items], kind="stable")]
+    o = items[np.argsort(home[items], kind="stable")]
+    h, sums, at = home[o], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, len(o)):
+        i = np.flatnonzero(h[d:] == h[:-d])
+        if not len(i):
+            break
+        sums.append(size[o[i]] + size[o[i + d]])
+        at.append(h[i])
+    sums, at = np.concatenate(sums), np.concatenate(at)
+    order = np.argsort(sums, kind="stable")
+    sums, at = sums[order], at[order]
+    return room, widest, others, items, size[items], size[items] + room[home[items]], sums, sums + room[at], at
+
+
 def _better_place(x: int, v: int, bins: list[list[int]], size: np.ndarray, fill: np.ndarray, home: np.ndarray,
-                  capacity: int) -> bool:
+                  seen: tuple) -> bool:
     """Move piece ``x`` of bin ``v`` into a fuller bin, or exchange it for one or
-    two smaller pieces of one. True if the sum of squared fills has grown."""
+    two smaller pieces of one. True if the sum of squared fills has grown. ``seen``: what
+    :func:`_with_room` found; only sizes that can make place are read."""
     n = int(size[x])
-    room = capacity - fill
+    room, widest, others, items, sizes, reach, sums, sums_reach, pair_bin = seen
+    most = others if widest == v else int(room[widest])
 
     def exchange(b: int, back: list[int]) -> bool:
         moved = n - int(size[back].sum())
@@ -141,37 +170,36 @@ def _better_place(x: int, v: int, bins: list[list[int]], size: np.ndarray, fill:
         fill[v] -= moved
         return True
 
-    fits = np.flatnonzero((room >= n) & (fill + n > fill[v]) & (fill > 0))
-    fits = fits[fits != v]
-    if len(fits):
-        return exchange(int(fits[np.argmin(room[fits])]), [])
-    free = (room > 0) & (fill > 0)
-    free[v] = False
-    items = np.flatnonzero(free[home] & (size < n))
-    if not len(items):
-        return False
-    b, y = home[items], size[items]
-    ok = (y + room[b] >= n) & (fill[b] + n > fill[v] + y)
-    if ok.any():
-        best = np.flatnonzero(ok)[np.argmin(y[ok])]
-        return exchange(int(b[best]), [int(items[best])])
+    if most >= n:
+        fits = np.flatnonzero((room >= n) & (fill + n > fill[v]))
+        fits = fits[fits != v]
+        if len(fits):
+            return exchange(int(fits[np.argmin(room[fits])]), [])
+    s, e = np.searchsorted(sizes, [n - most, n])
+    at = s + np.flatnonzero(reach[s:e] >= n)
+    b = home[items[at]]
+    at = at[(fill[b] + n > fill[v] + sizes[at]) & (b != v)]
+    if len(at):
+        y = int(items[at[0]])
+        return exchange(int(home[y]), [y])
     # two for one: both from one bin, together smaller than x and with its room as large
-    order = np.lexsort((y, b))
-    items, b, y = items[order], b[order], y[order]
-    edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True])
-    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        k, own = int(b[s]), y[s:e]
-        if e - s < 2 or int(own[-1] + own[-2] + room[k]) < n:
-            continue
-        i, j = 0, e - s - 1
-        while i < j:  # smallest sum that still makes place
-            two = int(own[i] + own[j])
-            if two + int(room[k]) < n:
-                i += 1
-            elif two >= n or fill[k] + n <= fill[v] + two:
-                j -= 1
-            else:
-                return exchange(k, [int(items[s + i]), int(items[s + j])])
+    s, e = np.searchsorted(sums, [n - most, n])
+    at = s + np.flatnonzero(sums_reach[s:e] >= n)
+    b = pair_bin[at]
+    b = b[(fill[b] + n > fill[v] + sums[at]) & (b != v)]
+    if not len(b):
+        return False
+    k = int(b.min())
+    own = sorted((int(size[i]), i) for i in bins[k] if size[i] < n)
+    i, j = 0, len(own) - 1
+    while i < j:  # smallest sum that still makes place
+        pair = own[i][0] + own[j][0]
+        if pair + int(room[k]) < n:
+            i += 1
+        elif pair >= n or fill[k] + n <= fill[v] + pair:
+            j -= 1
+        else:
+            return exchange(k, [own[i][1], own[j][1]])
     return False
 
 
