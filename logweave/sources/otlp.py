@@ -87,8 +87,10 @@ def otlp_body(j: Column) -> Column:
 
 def attributes_map(kvs: Column) -> Column:
     """OT5: decoded KeyValue list -> map, the last occurrence of a key wins."""
-    last = F.filter(kvs, lambda x, i: ~F.exists(F.slice(kvs, i + 2, F.greatest(F.size(kvs), F.lit(1))),
-                                                lambda y: y["key"] == x["key"]))
+    keys = F.transform(kvs, lambda x: x["key"])
+    last = F.when(F.size(F.array_distinct(keys)) == F.size(kvs), kvs).otherwise(
+        F.filter(kvs, lambda x, i: ~F.exists(F.slice(kvs, i + 2, F.greatest(F.size(kvs), F.lit(1))),
+                                             lambda y: y["key"] == x["key"])))
     return F.coalesce(F.map_from_entries(F.transform(last, lambda kv: F.struct(
         F.coalesce(kv["key"], F.lit("")).alias("key"), render_any(kv["value"]).alias("value")))),
         F.create_map().cast("map<string,string>"))
@@ -169,7 +171,9 @@ def merge_exception_attrs(flat: DataFrame) -> DataFrame:
     exception type/message -> ``error``, stacktrace appended to the message,
     ``code.filepath`` / ``code.lineno`` -> file / line, other attributes merged in
     (an attribute overrides an entry key of the same name)."""
-    a = F.col("attributes")
+    # a column of its own: the filter of the entry's keys below asks for it once for each key
+    flat = flat.withColumn("_extra", F.map_filter("attributes", lambda k, v: ~k.isin(EXCEPTION_KEYS)))
+    a, extra = F.col("attributes"), F.col("_extra")
     et, em, st = a["exception.type"], a["exception.message"], a["exception.stacktrace"]
     err = F.when(em.isNotNull(), F.regexp_replace(F.concat(F.coalesce(et, F.lit("")), F.lit(": "), em),
                                                   r"^[: ]+|[: ]+$", "")).otherwise(et)
@@ -183,16 +187,19 @@ def merge_exception_attrs(flat: DataFrame) -> DataFrame:
                 a["code.lineno"], err))
     present = F.map_filter(base, lambda k, v: v.isNotNull() | k.isin("timestamp", "level", "message", "service",
                                                                         "ingestSource"))
-    extra = F.map_filter(a, lambda k, v: ~k.isin(EXCEPTION_KEYS))
     merged = F.map_concat(F.map_filter(present, lambda k, v: ~F.array_contains(F.map_keys(extra), k)), extra)
-    return flat.withColumn("entry", merged)
+    return flat.withColumn("entry", merged).drop("_extra")
 
 
 def otlp_entries(flat: DataFrame, request: str = "request_id") -> DataFrame:
     """SR3 end to end: records -> log entries (source ``otel``)."""
     e = merge_exception_attrs(flat)
+    ts, *fields = entry_from_map(F.col("entry"), F.lit(None).cast("string"))
+    # the entry's time is the text of the record's own, unless an attribute overrides it
+    at = F.coalesce(F.col("time"), F.col("observed_time"))
+    own = ~F.map_contains_key("attributes", "timestamp") & (at.isNull() | F.year(at).between(1000, 9999))
     return e.select(request, "record_no", F.col("entry")["service"].alias("service_name"),
-                    F.lit("otel").alias("source"), *entry_from_map(F.col("entry"), F.lit(None).cast("string")))
+                    F.lit("otel").alias("source"), F.when(own, at).otherwise(ts).alias("ts"), *fields)
 
 
 def otlp_batch_stats(entries: DataFrame, kept: DataFrame, reasons: DataFrame | None = None) -> DataFrame:

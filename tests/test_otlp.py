@@ -86,3 +86,21 @@ def test_severity_numbers_are_whole_numbers(spark):
     df = spark.createDataFrame([(1, json.dumps(p))], "request_id int, payload string")
     got = [r.level for r in O.flatten_otlp(df).orderBy("record_no").collect()]
     assert got == ["ERROR", None, None, None, None, None, None, None, None, "TRACE", None]
+
+
+def test_an_entrys_time_and_attributes_are_taken_once(spark):
+    import json
+
+    def rec(ns, *attrs):
+        return {"timeUnixNano": str(ns), "severityNumber": 9, "body": {"stringValue": "m"},
+                "attributes": [{"key": k, "value": {"stringValue": v}} for k, v in attrs]}
+    recs = [rec(1_700_000_000_123_456_000, ("a", "1"), ("a", "2"), ("b", "3")),
+            rec(1_700_000_000_000_000_000, ("timestamp", "2020-01-02T03:04:05+00:00"), ("code.filepath", "f.py")),
+            rec(0, ("time", "2020-01-02T03:04:05+00:00"))]
+    df = spark.createDataFrame([(1, json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": recs}]}]}))], "request_id int, payload string")
+    e = O.otlp_entries(O.flatten_otlp(df))
+    got = [(str(r["ts"]), r["file_reference"], r["metadata_json"].get("a"), r["metadata_json"].get("b")) for r in
+           e.orderBy("record_no").withColumn("ts", e["ts"].cast("string")).collect()]
+    assert got == [("2023-11-14 22:13:20.123456", None, "2", "3"), ("2020-01-02 03:04:05", "f.py", None, None), ("None", None, None, None)]
+    plan = e.select("message", "metadata_json")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("IN (code.filepath,") == 1   # not once more for each key of the entry
