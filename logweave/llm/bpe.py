@@ -160,8 +160,8 @@ class Codec(BlockTexts):
         return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self._plain_text(p)
                         for p in self.cut.split(text) if p)
 
-    def _ask(self, units: list[bytes]) -> list[bytes]:
-        """Ids of units of plain texts that the cache does not hold; a unit of letters is one split."""
+    def _ask(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of units of plain texts that the cache does not hold; a unit of letters is one split."""
         self.runs.turn()
         out = []
         for u in units:
@@ -172,7 +172,7 @@ class Codec(BlockTexts):
                 out.append(self._merged(u.decode()))
             else:
                 out.append(self._plain_text(u.decode()))
-        return out
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
     def _odd(self, text: bytes) -> bytes:
         return self.encode(text)

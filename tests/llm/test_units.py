@@ -67,6 +67,51 @@ def test_small_blocks_caches_and_cuts_of_long_texts(tok, monkeypatch):
     assert int(tok.units.size.sum()) == len(tok.units.ids) and len(tok.units.ids) < 4000
 
 
+def test_letters_reach_the_library_many_at_a_time(tok, monkeypatch):
+    """Of 30 000 new words, none is asked for alone."""
+    words = [f"{'Abé'[i % 3]}{'stuvwxyzöü'[i // 3 % 10]}" + "".join("klmnopqrst"[int(c)] for c in str(i)) for i in range(30_000)]
+    calls = []
+    monkeypatch.setattr(tok, "units", library_tokens.Units())
+    monkeypatch.setattr(tok, "_split", lambda s: calls.append(s))
+    data = " ".join(words).encode()
+    ids, at = tok.encode_texts(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert not calls and ids.tolist() == tok.tok.encode(data.decode(), add_special_tokens=False).ids
+
+
+def test_marks_after_letters_are_units_of_their_own(tok, monkeypatch):
+    """So a word is asked for once, whatever marks stand after it."""
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    same(tok, [f"{lead}{word}{m}{n}{tail}" for word in ("ab", "É") for lead in ("", " ", "\n", "(") for m in marks for n in ("", *marks)
+               for tail in ("", " c", "s d")])
+    monkeypatch.setattr(tok, "units", library_tokens.Units())
+    data = " ".join(f"{w}{m}" for w in ("one", "two", "three") for m in marks if m != "'").encode()
+    tok.encode_texts(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(tok.units.code) <= 4 + len(marks)  # the words, "one" without a blank too, and the marks alone
+
+
+def test_hashes_tell_units_apart_by_content_and_length():
+    rng = np.random.default_rng(8)
+    lens = [*range(1, 70), 200, 3000]
+    parts = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in lens] + [b"\0" * n for n in lens]
+    for p in [p for p in parts if len(p) in (1, 8, 9, 16, 17, 32, 33, 40, 41, 64, 3000)]:  # one byte differs
+        parts += [p[:k] + bytes([p[k] ^ 1]) + p[k + 1:] for k in {0, len(p) // 2, len(p) - 1}]
+    parts = sorted(set(parts))
+    two = [*parts, *reversed(parts)]
+    ends = np.cumsum([len(p) for p in two])
+    starts = ends - [len(p) for p in two]
+    for h in library_tokens._hashes(np.frombuffer(b"".join(two), np.uint8), starts, ends):
+        assert np.array_equal(h[:len(parts)], h[len(parts):][::-1]) and len(np.unique(h)) == len(parts)
+    assert len(np.unique(library_tokens._hashes(np.frombuffer(b"abab", np.uint8), np.array([0, 2]), np.array([2, 4]))[0])) == 1
+
+
+def test_letters_that_a_vocabulary_lacks():
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import ByteLevel
+    some = Tokenizer(BPE({"a": 0, "b": 1, "Ġ": 2, "ab": 3, "Ġab": 4}, [("a", "b"), ("Ġ", "ab")]))
+    some.pre_tokenizer = ByteLevel(add_prefix_space=False)
+    same(LibraryTokens(some.to_str(), "bytes"), ["ab zab abz ba", "z", "", "zz ab", "é ab"])
+
+
 def test_no_texts(tok):
     ids, at = tok.encode_texts(np.zeros(0, np.uint8), np.zeros(1, np.int64))
     assert len(ids) == 0 and at.tolist() == [0]
