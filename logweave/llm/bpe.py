@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, id_text, list_array, prepare, text_buffers
+from .common import blocks, id_text, list_array, prepare, text_buffers, worker_state
 from .library_tokens import BLOCK_TEXT, CACHE_MAX_CHARS, BlockTexts, Generations, Units, byte_letters, read_vocabulary
 
 #: Unicode's White_Space characters.
@@ -206,16 +206,13 @@ class Codec(BlockTexts):
         return text if self.joined else text.decode("utf-8", "replace").encode()
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def codec(tokenizer_json: str) -> Codec:
     """One codec for each worker process."""
-    key = hash(tokenizer_json)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(tokenizer_json)
-    return _CODECS[key]
+    held, key = worker_state("codec"), hash(tokenizer_json)
+    if key not in held:
+        held.clear()
+        held[key] = Codec(tokenizer_json)
+    return held[key]
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

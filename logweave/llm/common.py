@@ -8,6 +8,8 @@ form feed and carriage return (``[^\\x20\\x09-\\x0D]+``).
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -96,6 +98,13 @@ def shuffle_width(spark: SparkSession) -> int:
 
 # ---------------------------------------------------------------- Arrow side
 
+def worker_state(name: str) -> dict:
+    """A dictionary that this process keeps from task to task. The package is sent to the
+    workers by value, so a global of its modules is a new one in every task."""
+    held = sys.modules.setdefault("_logweave_worker_state", types.ModuleType("_logweave_worker_state"))
+    return held.__dict__.setdefault(name, {})
+
+
 def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -112,6 +112,22 @@ def test_letters_that_a_vocabulary_lacks():
     same(LibraryTokens(some.to_str(), "bytes"), ["ab zab abz ba", "z", "", "zz ab", "é ab"])
 
 
+def test_a_worker_keeps_its_tokenizer_from_task_to_task():
+    """Each task unpickles the package's functions anew, with globals of their own."""
+    from pyspark import cloudpickle
+
+    from logweave.llm import bpe
+    spec = read_vocabulary(public_tokenizers.path(FILES["bytes"]))
+    loaded, again, unload = (cloudpickle.loads(cloudpickle.dumps(f)) for f in (library_tokens.loaded, library_tokens.loaded, library_tokens.unload))
+    first = loaded(spec, "bytes")
+    assert again(spec, "bytes") is first
+    unload()
+    assert again(spec, "bytes") is not first
+    unload()
+    codec, again = (cloudpickle.loads(cloudpickle.dumps(bpe.codec)) for _ in range(2))
+    assert codec(spec) is again(spec)
+
+
 def test_no_texts(tok):
     ids, at = tok.encode_texts(np.zeros(0, np.uint8), np.zeros(1, np.int64))
     assert len(ids) == 0 and at.tolist() == [0]
