@@ -108,6 +108,7 @@ def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataF
     own = {d: F.col(c if c in plans.columns else "embedding").alias(DOMAIN_VECTORS[d]) for d, c in DOMAIN_VECTORS.items()}
     q = plans.select(qid, *own.values(), "use_code_retrieval", "use_log_retrieval", "use_concept_retrieval",
                      "code_fetch_k", "log_fetch_k", "concept_fetch_k", thr.alias("thr"))
+    q = G._cut(q)   # every layer counts, searches and joins the questions: classify and embed them once
     if rerank is None:
         rerank = "question" in plans.columns and "content" in code.columns
     no_score = F.lit(None).cast("double").alias("rerank_score")
@@ -115,12 +116,12 @@ def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataF
 
     def layer(items, switch, k_col, name, cols):
         qs = q.filter(F.col(switch))
-        kmax = qs.agg(F.max(k_col)).first()[0]
+        kmax, least = qs.agg(F.max(k_col), F.min("thr")).first()
         if kmax is None:
             return None
         vec = DOMAIN_VECTORS["code" if name == "code" else "log"]
         # boost, rerank and output read the hits: search once
-        h = G._cut(V.knn(qs.select(qid, F.col(vec).alias("embedding")), items, int(kmax), qid=qid))
+        h = G._cut(V.knn(qs.select(qid, F.col(vec).alias("embedding")), items, int(kmax), qid=qid, least=least))
         # per-question limits: the join side grows with the questions, so AQE picks the strategy
         h = h.join(qs.select(F.col(qid).alias("query_id"), k_col, "thr"), "query_id") \
              .filter((F.col("rank") <= F.col(k_col)) & (F.col("similarity") >= F.col("thr")))
