@@ -92,6 +92,10 @@ def embed_questions(df: DataFrame, dim: int, col: str = "question", fn: dict | N
     return df
 
 
+#: Hits from which on they meet their items by a merge, whatever size Spark takes a side to have.
+MANY_HITS = 100_000
+
+
 def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataFrame | None = None,
              threshold: float = V.SIMILARITY_THRESHOLD, top_k: int = 5, qid: str = "query_id",
              rerank: bool | None = None, scorer=None) -> DataFrame:
@@ -116,7 +120,7 @@ def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataF
 
     def layer(items, switch, k_col, name, cols):
         qs = q.filter(F.col(switch))
-        kmax, least = qs.agg(F.max(k_col), F.min("thr")).first()
+        kmax, least, n = qs.agg(F.max(k_col), F.min("thr"), F.count(F.lit(1))).first()
         if kmax is None:
             return None
         vec = DOMAIN_VECTORS["code" if name == "code" else "log"]
@@ -125,7 +129,9 @@ def retrieve(plans: DataFrame, code: DataFrame, logs: DataFrame, concepts: DataF
         # per-question limits: the join side grows with the questions, so AQE picks the strategy
         h = h.join(qs.select(F.col(qid).alias("query_id"), k_col, "thr"), "query_id") \
              .filter((F.col("rank") <= F.col(k_col)) & (F.col("similarity") >= F.col("thr")))
-        h = V.attach(h.drop(k_col, "thr"), items, cols=cols) if cols else h.drop(k_col, "thr")
+        h = h.drop(k_col, "thr")
+        if cols:   # of many hits neither they nor the items are to be sent to all tasks
+            h = V.attach(h.hint("merge") if n * kmax >= MANY_HITS else h, items, cols=cols)
         return h.withColumn("layer", F.lit(name))
 
     out = []
